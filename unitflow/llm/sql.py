@@ -25,11 +25,11 @@ from documents d left join n on n.doc_id = d.doc_id join least_of l on l.doc_id
 QUALITY = f"""
 with w as (select doc_id, coalesce(text, '') as text, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
 wins as (
-  select doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) as win, unnest(range(1, len(ws) - 6)) as at
+  select doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) as win, unnest(range(1, len(ws) - 6)) as pos
   from w where len(ws) >= 8),
 twice as (select doc_id, win from wins group by doc_id, win having count(*) > 1),
-hits as (select distinct wins.doc_id, unnest(range(wins.at, wins.at + 8)) as at from wins join twice on twice.doc_id = wins.doc_id and twice.win = wins.win),
-rep as (select doc_id, count(distinct at)::bigint as n_repeat_words from hits group by doc_id),
+hits as (select distinct wins.doc_id, unnest(range(wins.pos, wins.pos + 8)) as pos from wins join twice on twice.doc_id = wins.doc_id and twice.win = wins.win),
+rep as (select doc_id, count(distinct pos)::bigint as n_repeat_words from hits group by doc_id),
 lines as (
   select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as ls from w),
 m as (
@@ -51,14 +51,14 @@ from f
 SUBSTRING_DEDUP = f"""
 with w as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
 wins as (
-  select doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) as win, unnest(range(1, len(ws) - 18)) as at
+  select doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) as win, unnest(range(1, len(ws) - 18)) as pos
   from w where len(ws) >= 20),
-later as (select doc_id, at from (select doc_id, at, row_number() over (partition by win order by doc_id, at) as k from wins) where k > 1),
-gone as (select distinct doc_id, unnest(range(at, at + 20)) as at from later),
-words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as at from w),
+later as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by win order by doc_id, pos) as k from wins) where k > 1),
+gone as (select distinct doc_id, unnest(range(pos, pos + 20)) as pos from later),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
 kept as (
-  select words.doc_id, count(*) filter (where gone.at is not null) as n_removed, string_agg(word, ' ' order by words.at) filter (where gone.at is null) as kept
-  from words left join gone on gone.doc_id = words.doc_id and gone.at = words.at group by words.doc_id)
+  select words.doc_id, count(*) filter (where gone.pos is not null) as n_removed, string_agg(word, ' ' order by words.pos) filter (where gone.pos is null) as kept
+  from words left join gone on gone.doc_id = words.doc_id and gone.pos = words.pos group by words.doc_id)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from w left join kept on kept.doc_id = w.doc_id
 """
