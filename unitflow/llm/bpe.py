@@ -18,19 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import Memo, map_rows, text_bytes
-from unitflow.llm.tokens import ByteEncoder, vocabulary
+from unitflow.llm.tokens import ByteEncoder, byte_symbols, vocabulary
 
 #: Fixed: how the vocabulary's tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte in the vocabulary: itself where printable, else one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class PrefixBPE:
     def __init__(self, vocab: str):
         import ahocorasick
@@ -61,7 +54,7 @@ class PrefixBPE:
                 self.automaton.add_word(data.decode("latin-1"), (i, len(data)))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 50_000)
         self.split = regex.compile(PATTERN)
         self.apart = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 

@@ -76,16 +76,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) ->
 
 
 class Memo(dict):
-    """A bounded memo of a function of a short bytes key; get values with memo[key]."""
+    """A bounded memo of a function of a short key; get values with memo[key]. When it is full, its entries become the old
+    ones, which are kept until it is full again: what is used stays."""
 
-    def __init__(self, compute: Callable, most: int = 300_000, longest: int = 48):
+    def __init__(self, compute: Callable, most: int = 250_000, longest: int = 48):
         super().__init__()
-        self.compute, self.most, self.longest = compute, most, longest
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -18,6 +18,27 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 CHUNK = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 
 
+#: Chunks whose letters and other characters are encoded apart: of ASCII and Latin letters, without an apostrophe. The
+#: dotted capital I is no such letter: its lower case has a combining mark.
+ASCII = re.compile(rb"[ -&(-~]*")
+LATIN = re.compile("[ -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+PARTS = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[^ A-Za-z\x80-\xff]+| ")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in the vocabulary: itself where printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+SYMBOLS = dict(enumerate(byte_symbols()))
+
+
+def symbols(data: bytes) -> str:
+    return data.decode("latin-1").translate(SYMBOLS)
+
+
 def packed(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -36,14 +57,48 @@ def plain_tokenizer(vocab: str):
     return t
 
 
+class Parts:
+    """The ids of a chunk, from a second memo of its parts where its letters and other characters meet; both kinds of
+    tokenizer split there before they merge, unless an apostrophe is near."""
+
+    def __init__(self, whole: Callable[[str], list[int]], special: list[str], word: Callable[[bytes], list[int]] | None = None):
+        """word, where given, gives the ids of a part that is one word: the tokenizer's merges without the steps before them."""
+        self.whole = whole
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in special) or b"(?!)")
+
+        def ids(part: bytes) -> bytes:
+            if word and (part[-1] > 127 or part[-1:].isalpha()):
+                return packed(word(part))
+            return packed(whole(part.decode()))
+
+        self.parts = Memo(ids)
+
+    def __call__(self, chunk: bytes, text: str | None = None) -> bytes:
+        if not ASCII.fullmatch(chunk):
+            text = text or chunk.decode("utf-8", "replace")
+            if not LATIN.fullmatch(text):
+                return packed(self.whole(text))
+        if self.special.search(chunk):
+            return packed(self.whole(chunk.decode()))
+        return b"".join([self.parts[p] for p in PARTS.findall(chunk)])
+
+
 class WordEncoder:
-    """For a tokenizer that drops white space and never merges across it: chunks are what white space separates."""
+    """For a tokenizer that lower-cases, drops white space and never merges across it: chunks are what white space
+    separates. A-Z are lower-cased beforehand, so that more chunks are alike, unless combining marks (which may
+    compose with an upper-case letter otherwise) or special tokens are near."""
 
     def __init__(self, vocab: str):
         tokenizer = plain_tokenizer(vocab)
-        self.memo = Memo(lambda chunk: packed(tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids))
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        model = tokenizer.model
+        word = lambda part: [t.id for t in model.tokenize(symbols(part.decode().lower().encode()))]
+        parts = Parts(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special, word)
+        self.memo = Memo(parts, 400_000)
 
     def __call__(self, text: bytes) -> bytes:
+        if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+            text = text.lower()
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
@@ -51,15 +106,20 @@ class ByteEncoder:
     """For a byte-level tokenizer whose words take one space before them. whole gives the ids of any text; texts with
     chunks that depend on their neighbours go to it as they are."""
 
-    def __init__(self, whole: Callable[[str], list[int]], special: list[str]):
+    def __init__(self, whole: Callable[[str], list[int]], special: list[str], word: Callable[[bytes], list[int]] | None = None):
         self.whole = whole
         apart = re.compile("|".join([WIDE_SPACE.pattern, *map(re.escape, special)]))
+        alone = re.compile(rb"[!-~]*| [!-~]+")
+        special = re.compile(b"|".join(re.escape(t.encode()) for t in special) or b"(?!)")
+        parts = Parts(whole, [], word)
 
         def ids(chunk: bytes) -> bytes | None:
+            if alone.fullmatch(chunk):
+                return None if special.search(chunk) else parts(chunk)
             text = chunk.decode("utf-8", "replace")
-            return None if apart.search(text) else packed(whole(text))
+            return None if apart.search(text) else parts(chunk, text)
 
-        self.memo = Memo(ids)
+        self.memo = Memo(ids, 400_000)
 
     def __call__(self, text: bytes) -> bytes:
         try:
@@ -79,6 +139,7 @@ def library_encoder(kind: str, vocab: str):
             _encoders[key] = WordEncoder(vocab)
         else:
             tokenizer = plain_tokenizer(vocab)
-            special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            _encoders[key] = ByteEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special)
+            special, model = [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer.model
+            word = lambda part: [t.id for t in model.tokenize(symbols(part))]
+            _encoders[key] = ByteEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special, word)
     return _encoders[key]
