@@ -1,10 +1,11 @@
 """MinHash near-dedup with SuperMinHash signatures, banding, verification on full sets, and union-find grouping.
 
 Texts with equal shingle sets are one class; only class representatives go on. A bucket of a band is not
-expanded into pairs: first every member is verified against one centre of the bucket, in a few rounds with
-other centres; what is linked so needs no further pair. Pairs are then made only between members of a bucket
-that are still in different components, so a group of copies costs about its size, and no link is lost that
-a shared band can show. At likeness 0.8 a pair shares no band with a probability below 1e-7.
+expanded into pairs: first every member is verified against one centre of the bucket; what is linked so needs
+no further pair. Small buckets are then paired between members still in different components. The members of
+large ones that still hold several components are dealt anew, exactly, by their rarest shingles (prefix filter),
+with the places they stand at, and paired where components still differ. So a group of copies costs about its size, and
+no link is lost that a shared band can show. At likeness 0.8 a pair shares no band with a probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from unitflow.llm.common import map_rows, slices, text_bytes, written
 from unitflow.llm.components import components
 from unitflow.llm.hashing import GOLDEN, hash_words, join, mix, step, windows
 
 BANDS, ROWS = 32, 4
-ROUNDS = 4
+#: Buckets of so many members are paired directly: a bounded number of pairs a member.
+SMALL = 16
+#: Rounds of verification against centres before any pairing; more rounds leave fewer pairs, and none decides a result.
+STARS = 3
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -102,6 +107,14 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return map_rows(chosen, ["id", text_bytes()], work, "id long, items binary")
 
 
+#: Sizes of sets are classed by powers of this.
+RATIO = 1.02
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(RATIO)).astype(np.int64)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -124,6 +137,77 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, id) with their component's label, and n, of buckets that still hold several components."""
+    now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    several = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
+    return written(now.join(several, "key"), "open-buckets")
+
+
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """One centre a bucket, by a hash of its id that differs by turn, paired with the members of other components."""
+    by = F.xxhash64(F.lit(turn), F.col("id"))
+    centre = members.groupBy("key").agg(F.min_by(F.struct("id", "label"), by).alias("c"))
+    return members.join(centre, "key").filter("id <> c.id and label <> c.label").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """The pairs of a bucket that are in different components."""
+    return members.alias("x").join(members.alias("y"), "key").filter("x.label < y.label").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets in different components that a prefix filter with places leaves; no linked pair is lost.
+
+    All items stand in one order, rarest first. Linked sets x and y, x not the smaller, share at least
+    need = ceil(percent * (|x| + |y|) / (100 + percent)) items, so their first shared item stands at most at |x| - need in x
+    and |y| - need in y. Each set is dealt by the items of its first places: once by its own size's class, and, as
+    the larger one, to each class of smaller sizes for which that place still suffices. Documents that all hold one
+    passage, or copies that differ from each other in more than a link allows, have items of their own in these
+    places and don't meet. Where one component has most of a bucket, only the others are paired with it."""
+
+    def listed(batches):
+        for batch in batches:
+            for i, items in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(items.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(np.full(len(x), len(x))), pa.array(x)], ["id", "n", "item"])
+
+    def dealt(batches):
+        need = lambda m: -(-percent * m // (100 + percent))
+        for batch in batches:
+            i, label, n, at, item = (np.asarray(c.to_numpy()) for c in batch.columns)
+            own = size_class(n)
+            out = []
+            for below in range(0, 2 + int(size_class(np.array([100 * 100]))[0] - size_class(np.array([100 * percent]))[0])):
+                low = np.maximum(np.floor(RATIO ** (own - below)).astype(np.int64) - 1, -(-percent * n // 100))
+                pick = np.flatnonzero(at <= n - need(n + low))
+                out.append((pick, own[pick] - below, 1))
+            pick = np.flatnonzero(at <= n - need(2 * n))
+            out.append((pick, own[pick], 0))
+            for pick, cls, larger in out:
+                if len(pick):
+                    key = join(item[pick].view(np.uint64), cls.astype(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i[pick]), pa.array(label[pick]), pa.array(n[pick]), pa.array(at[pick].astype(np.int64)), pa.array(np.full(len(pick), larger, np.int64))], ["key", "id", "label", "n", "place", "larger"])
+
+    items = written(sets.select("id", "items").mapInArrow(listed, "id long, n long, item long"), "items")
+    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    by_id = Window.partitionBy("id")
+    # items of one set alone come first in its order
+    placed = items.join(shared, "item").withColumn("place", F.col("n") - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("held", "item")) - 1)
+    placed = placed.filter(f"place <= n - cast(ceil(n * {percent} / 100.0) as bigint)").join(labels, "id", "left")
+    rows = placed.select("id", F.coalesce("label", "id").alias("label"), "n", F.col("place").cast("long").alias("place"), "item").mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long")
+    rows = written(rows, "rare-items")
+    per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max("larger").alias("hi"), F.min("larger").alias("lo"))
+    mixed = per_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).filter("labels > 1 and lo = 0 and hi = 1").select("key", "most")
+    rows = written(rows.join(mixed, "key"), "rare-buckets")
+    x, y = rows.filter("larger = 1").alias("x"), rows.filter("larger = 0").alias("y")
+    fits = f"x.label <> y.label and y.n <= x.n and 100 * y.n >= {percent} * x.n and {100 + percent} * (1 + least(x.n - 1 - x.place, y.n - 1 - y.place)) >= {percent} * (x.n + y.n)"
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    others = x.join(y.filter("label <> most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
+    with_most = x.filter("label <> most").join(y.filter("label = most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
+    return others.unionByName(with_most).distinct()
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -144,30 +228,20 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # a doc_id with texts of several classes ties these together
     several = known.withColumn("h", F.xxhash64("set_key")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key")
-    links, labels = written(ties.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links"), None
-    left = members.withColumn("label", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        if turn:
-            open_ones = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-            left = written(left.join(open_ones, "key"), "open-buckets")
-            rows_left, pairs_left = left.agg(F.count(F.lit(1)), F.sum("n")).first()
-            if not rows_left:
-                break
-            left = left.drop("n")
-        if turn == 0 or (turn < ROUNDS and pairs_left > 16 * rows_left):
-            centre = left.groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(turn), F.col("id"))).alias("c"), F.min_by("label", F.xxhash64(F.lit(turn), F.col("id"))).alias("c_label"))
-            pairs = left.join(centre, "key").filter("id <> c and label <> c_label").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-            done = False
-        else:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, "key").filter("x.label < y.label").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-            done = True
-        found = _linked(pairs, sets, percent)
-        links = written(found.unionByName(links), "links")
-        labels = components(links)
-        if done:
-            break
-        left = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    links = written(ties.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links")
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = written(_linked(pairs, sets, percent).unionByName(links), "links")
+        return both, components(both)
+
+    links, labels = linked(_stars(members.withColumn("label", F.col("id")), 0))
+    left = _open(members, labels)
+    for turn in range(1, STARS):
+        links, labels = linked(_stars(left, turn))
+        left = _open(left.select("key", "id"), labels)
+    links, labels = linked(_pairs(left.filter(F.col("n") <= SMALL)))
+    large = _open(left.filter(F.col("n") > SMALL).select("key", "id"), labels)
+    links, labels = linked(_rare(sets.join(large.select("id").distinct(), "id", "left_semi"), labels, percent))
 
     ids = known.select("set_key", "doc_id").distinct().join(classes.select("set_key", "id"), "set_key").join(labels, "id", "left")
     joined = ids.select("doc_id", F.coalesce("label", "id").alias("label"))
