@@ -54,7 +54,7 @@ class PrefixBPE:
                 self.automaton.add_word(data.decode("latin-1"), (i, len(data)))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words = Memo(self._word, 50_000)
+        self.words = Memo(self.word, 50_000)
         self.split = regex.compile(PATTERN)
         self.apart = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
@@ -95,7 +95,7 @@ class PrefixBPE:
         left, right, _ = self.halves[token]
         return self.is_own(left) and self.is_own(right) and self.crossing(left, right) == (left, right)
 
-    def _word(self, data: bytes) -> list[int]:
+    def word(self, data: bytes) -> list[int]:
         last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
         fits = self.fits
         for end, (token, n) in self.automaton.iter(data.decode("latin-1")):
@@ -141,7 +141,7 @@ _coders: dict = {}
 def coder(vocab: str) -> tuple[PrefixBPE, ByteEncoder]:
     if hash(vocab) not in _coders:
         bpe = PrefixBPE(vocab)
-        _coders[hash(vocab)] = bpe, ByteEncoder(bpe.encode, list(bpe.special))
+        _coders[hash(vocab)] = bpe, ByteEncoder(bpe.word, bpe.encode, list(bpe.special))
     return _coders[hash(vocab)]
 
 

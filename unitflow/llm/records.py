@@ -115,7 +115,7 @@ def write_records(docs: DataFrame, vocab_path: str, uri: str, end_id: int = 0) -
                 system.move(f"{root}/.{shard:06d}-{mark}.{kind}", f"{root}/{shard:06d}.{kind}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_records": [n], "n_ids": [total]}, pa.schema([("shard", pa.int32()), ("n_records", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).orderBy(F.asc_nulls_first("doc_id"), "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return written(ordered.mapInArrow(work, "shard int, n_records long, n_ids long"), "shards")
 
 

@@ -18,11 +18,11 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 CHUNK = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 
 
-#: Chunks whose letters and other characters are encoded apart: of ASCII and Latin letters, without an apostrophe. The
-#: dotted capital I is no such letter: its lower case has a combining mark.
-ASCII = re.compile(rb"[ -&(-~]*")
-LATIN = re.compile("[ -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
-PARTS = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[^ A-Za-z\x80-\xff]+| ")
+#: Text of ASCII and Latin letters. The dotted capital I is no such letter: its lower case has a combining mark.
+LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+#: Fixed: how the two tokenizers split such a text before merging (the word tokenizer's is lower-cased by then).
+BYTE_SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^ \t-\rA-Za-z\x80-\xff0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+WORD_SPLIT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^ \t-\ra-z\x80-\xff0-9]+")
 
 
 def byte_symbols() -> list[str]:
@@ -57,73 +57,51 @@ def plain_tokenizer(vocab: str):
     return t
 
 
-class Parts:
-    """The ids of a chunk, from a second memo of its parts where its letters and other characters meet; both kinds of
-    tokenizer split there before they merge, unless an apostrophe is near."""
+class Plain:
+    """Whether a text is of ASCII and Latin letters, without a special token's string: then words are split by a pattern on bytes."""
 
-    def __init__(self, whole: Callable[[str], list[int]], special: list[str], word: Callable[[bytes], list[int]] | None = None):
-        """word, where given, gives the ids of a part that is one word: the tokenizer's merges without the steps before them."""
-        self.whole = whole
+    def __init__(self, special: list[str]):
         self.special = re.compile(b"|".join(re.escape(t.encode()) for t in special) or b"(?!)")
 
-        def ids(part: bytes) -> bytes:
-            if word and (part[-1] > 127 or part[-1:].isalpha()):
-                return packed(word(part))
-            return packed(whole(part.decode()))
-
-        self.parts = Memo(ids)
-
-    def __call__(self, chunk: bytes, text: str | None = None) -> bytes:
-        if not ASCII.fullmatch(chunk):
-            text = text or chunk.decode("utf-8", "replace")
-            if not LATIN.fullmatch(text):
-                return packed(self.whole(text))
-        if self.special.search(chunk):
-            return packed(self.whole(chunk.decode()))
-        return b"".join([self.parts[p] for p in PARTS.findall(chunk)])
+    def __call__(self, text: bytes) -> bool:
+        return bool(text.isascii() or LATIN.fullmatch(text.decode("utf-8", "replace"))) and not self.special.search(text)
 
 
 class WordEncoder:
-    """For a tokenizer that lower-cases, drops white space and never merges across it: chunks are what white space
-    separates. A-Z are lower-cased beforehand, so that more chunks are alike, unless combining marks (which may
-    compose with an upper-case letter otherwise) or special tokens are near."""
+    """For a tokenizer that lower-cases, drops white space and never merges across it. Other texts than plain ones are
+    encoded by what white space separates."""
 
     def __init__(self, vocab: str):
         tokenizer = plain_tokenizer(vocab)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        model = tokenizer.model
-        word = lambda part: [t.id for t in model.tokenize(symbols(part.decode().lower().encode()))]
-        parts = Parts(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special, word)
-        self.memo = Memo(parts, 400_000)
+        model, self.plain = tokenizer.model, Plain([t.content for t in tokenizer.get_added_tokens_decoder().values()])
+        self.words = Memo(lambda word: packed([t.id for t in model.tokenize(symbols(word.decode().lower().encode()))]), 400_000)
+        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids), 100_000)
 
     def __call__(self, text: bytes) -> bytes:
-        if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
-            text = text.lower()
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        if self.plain(text):
+            return b"".join(map(self.words.__getitem__, WORD_SPLIT.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 class ByteEncoder:
-    """For a byte-level tokenizer whose words take one space before them. whole gives the ids of any text; texts with
-    chunks that depend on their neighbours go to it as they are."""
+    """For a byte-level tokenizer whose words take one space before them. word gives the ids of one split word, whole those
+    of any text; other texts than plain ones are encoded by chunks, and as they are if a chunk depends on its neighbours."""
 
-    def __init__(self, whole: Callable[[str], list[int]], special: list[str], word: Callable[[bytes], list[int]] | None = None):
-        self.whole = whole
+    def __init__(self, word: Callable[[bytes], list[int]], whole: Callable[[str], list[int]], special: list[str]):
+        self.whole, self.plain = whole, Plain(special)
         apart = re.compile("|".join([WIDE_SPACE.pattern, *map(re.escape, special)]))
-        alone = re.compile(rb"[!-~]*| [!-~]+")
-        special = re.compile(b"|".join(re.escape(t.encode()) for t in special) or b"(?!)")
-        parts = Parts(whole, [], word)
 
         def ids(chunk: bytes) -> bytes | None:
-            if alone.fullmatch(chunk):
-                return None if special.search(chunk) else parts(chunk)
             text = chunk.decode("utf-8", "replace")
-            return None if apart.search(text) else parts(chunk, text)
+            return None if apart.search(text) else packed(whole(text))
 
-        self.memo = Memo(ids, 400_000)
+        self.words, self.chunks = Memo(lambda w: packed(word(w)), 400_000), Memo(ids, 100_000)
 
     def __call__(self, text: bytes) -> bytes:
+        if self.plain(text):
+            return b"".join(map(self.words.__getitem__, BYTE_SPLIT.findall(text)))
         try:
-            return b"".join(map(self.memo.__getitem__, CHUNK.findall(text)))
+            return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
         except TypeError:  # a chunk without ids of its own
             return packed(self.whole(text.decode("utf-8", "replace")))
 
@@ -141,5 +119,5 @@ def library_encoder(kind: str, vocab: str):
             tokenizer = plain_tokenizer(vocab)
             special, model = [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer.model
             word = lambda part: [t.id for t in model.tokenize(symbols(part))]
-            _encoders[key] = ByteEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special, word)
+            _encoders[key] = ByteEncoder(word, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, special)
     return _encoders[key]
