@@ -1,6 +1,290 @@
-"""Queries of the driver contract over the shared tables."""
+"""Queries of the driver contract: each operator over a stand-in among the shared tables, with DuckDB SQL for it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from unitflow.functions import text as T
+from unitflow.operators import graph, ranges
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nation_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each customer nation calls the nation that supplies most of its lines, the least on ties."""
+    get = lambda n: table(spark, sf_dir, n)
+    counts = (
+        get("lineitem").select("l_orderkey", "l_suppkey")
+        .join(get("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+        .join(get("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+        .join(get("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+        .groupBy("c_nationkey", "s_nationkey")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    top = counts.groupBy("c_nationkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "s_nationkey")).alias("t"))
+    nodes = get("nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("fn_id"))
+    return nodes, top.select(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("caller"), F.lpad(F.col("t.s_nationkey").cast("string"), 2, "0").alias("callee"), F.lit(0).cast("long").alias("ord"))
+
+
+def nation_graph(spark: SparkSession, sf_dir: str):
+    nodes, edges = nation_edges(spark, sf_dir)
+    members = graph.components(nodes, edges)
+    return nodes, edges, members, graph.units(members, edges)
+
+
+NATION = """
+with recursive counts as (
+  select c_nationkey, s_nationkey, count(*) as n from lineitem join orders on o_orderkey = l_orderkey
+  join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey group by 1, 2),
+edges as (
+  select lpad(c_nationkey::varchar, 2, '0') as caller, lpad(s_nationkey::varchar, 2, '0') as callee
+  from (select *, row_number() over (partition by c_nationkey order by n desc, s_nationkey) as k from counts) where k = 1),
+nodes as (select lpad(n_nationkey::varchar, 2, '0') as fn_id from nation),
+reach as (select caller, callee from edges union select r.caller, e.callee from reach r join edges e on e.caller = r.callee),
+scc as (
+  select fn_id, least(fn_id, coalesce(min(a.callee), fn_id)) as scc from nodes
+  left join (select x.caller, x.callee from reach x join reach y on y.caller = x.callee and y.callee = x.caller) a on a.caller = fn_id group by fn_id),
+named as (select scc, string_agg(fn_id, '+' order by fn_id) as unit_id, count(*) as n_members from scc group by scc),
+calls as (
+  select a.scc, b.scc as callee_scc, min(e.caller) as first_caller from edges e join scc a on a.fn_id = e.caller join scc b on b.fn_id = e.callee
+  where a.scc <> b.scc group by 1, 2),
+depth as (select scc, 0 as level from named union select c.scc, d.level + 1 from depth d join calls c on c.callee_scc = d.scc)
+"""
+
+
+@query(NATION + """
+select n.unit_id, n.n_members::bigint as n_members, coalesce((select string_agg(m.unit_id, ',' order by c.first_caller) from calls c join named m on m.scc = c.callee_scc where c.scc = n.scc), '') as callees
+from named n""")
+def nation_units(spark, sf_dir):
+    *_, unit_table = nation_graph(spark, sf_dir)
+    return unit_table.select("unit_id", F.col("n_members").cast("long").alias("n_members"), F.array_join("callees", ",").alias("callees"))
+
+
+@query(NATION + "select n.unit_id, max(d.level)::int as level from named n join depth d on d.scc = n.scc group by 1")
+def level_eval(spark, sf_dir):
+    *_, unit_table = nation_graph(spark, sf_dir)
+    return graph.levels(unit_table).select("unit_id", "level")
+
+
+@query(NATION + "select distinct caller, callee as reached from reach")
+def closure_reach(spark, sf_dir):
+    return graph.closure(nation_edges(spark, sf_dir)[1])
+
+
+@query(NATION + "select n.unit_id, m.unit_id as callee from calls c join named n on n.scc = c.scc join named m on m.scc = c.callee_scc")
+def unit_callees(spark, sf_dir):
+    *_, unit_table = nation_graph(spark, sf_dir)
+    return unit_table.select("unit_id", F.explode("callees").alias("callee"))
+
+
+@query("""
+with recursive steps as (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events),
+edges as (select distinct a, b from steps where b is not null), nodes as (select distinct event_type as fn_id from events),
+reach as (select a, b from edges union select r.a, e.b from reach r join edges e on e.a = r.b)
+select fn_id, least(fn_id, coalesce(min(x.b), fn_id)) as scc from nodes left join (select p.a, p.b from reach p join reach q on q.a = p.b and q.b = p.a) x on x.a = fn_id group by fn_id""")
+def event_transition_scc(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    steps = events.select(F.col("event_type").alias("caller"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("callee"))
+    edges = steps.filter("callee is not null").distinct().withColumn("ord", F.dense_rank().over(Window.partitionBy("caller").orderBy("callee")).cast("long"))
+    nodes = events.select(F.col("event_type").alias("fn_id")).distinct()
+    return graph.components_by_joins(nodes, edges)
+
+
+@query("""
+select doc_id, regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)), '\\n+$', '') as body
+from documents where len(string_split(text, chr(10))) > 1""")
+def doc_lines_slice(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.slice_lines(F.col("text"), F.lit(1), F.lit(3), F.lit(1)).alias("body")).filter("body is not null")
+
+
+DEFS = """
+with l as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as no from documents),
+defs as (select doc, no as start_line, coalesce(lead(no) over (partition by doc order by no), {tail})::int as end_line from l where no % 5 = 0)
+"""
+
+
+def doc_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+
+
+def doc_ranges(spark, sf_dir, last_span=None) -> DataFrame:
+    none = F.lit(None).cast("int")
+    defs = doc_lines(spark, sf_dir).filter("line % 5 = 0").select("doc", F.concat(F.lit("s"), "line").alias("symbol"), F.col("line").alias("ord"), F.col("line").alias("start_line"), F.lit(0).alias("start_char"), none.alias("end_line"), none.alias("end_char"))
+    return ranges.definition_ranges(defs, last_span)
+
+
+@query(DEFS.format(tail=2147483647) + "select doc, start_line, end_line from defs")
+def def_ranges(spark, sf_dir):
+    return doc_ranges(spark, sf_dir).select("doc", "start_line", "end_line")
+
+
+@query(DEFS.format(tail="no + 200") + "select doc, start_line, end_line from defs")
+def def_ranges_types(spark, sf_dir):
+    return doc_ranges(spark, sf_dir, 200).select("doc", "start_line", "end_line")
+
+
+@query(DEFS.format(tail=2147483647) + """
+select l.doc, defs.start_line, count(*)::bigint as n_refs, min(l.no)::int as first_ref from l join defs on defs.doc = l.doc and defs.start_line <= l.no and l.no < defs.end_line
+where l.line like '%e%' and l.no <> defs.start_line group by 1, 2""")
+def containment_edges(spark, sf_dir):
+    refs = doc_lines(spark, sf_dir).filter(F.contains("body", F.lit("e"))).select("doc", "line", F.lit(0).alias("char"))
+    edges = ranges.contained(refs, doc_ranges(spark, sf_dir)).filter("line <> start_line")
+    return edges.groupBy("doc", "start_line").agg(F.count(F.lit(1)).alias("n_refs"), F.min("line").alias("first_ref"))
+
+
+@query("""
+with s as (select user_id, epoch_us(ts) as start, coalesce(lead(epoch_us(ts)) over (partition by user_id order by ts, event_id), 9223372036854775807) as stop from events where event_type = 'signup')
+select e.user_id, s.start, count(*)::bigint as n from events e join s on s.user_id = e.user_id and s.start <= epoch_us(e.ts) and epoch_us(e.ts) < s.stop group by 1, 2""")
+def event_window_containment(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    # ranges that end at the next start hold a point in the last one that starts before it: a running window, no join
+    starts = F.when(F.col("event_type") == "signup", F.col("at"))
+    held = events.withColumn("start", F.max(starts).over(Window.partitionBy("user_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return held.filter("start is not null").groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select min(doc_id) as doc_id, sha256(text) as text_sha256 from documents group by text")
+def first_wins_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return docs.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("select doc_id from (select doc_id, row_number() over (partition by text order by doc_id) as k from documents) where k > 1")
+def dup_warnings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return ranges.repeats(docs, ["h"], [F.col("doc_id")]).select("doc_id")
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
+def last_wins(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+
+
+@query("select source, lang from (select source, lang, row_number() over (partition by source order by count(*) desc, lang) as k from documents group by source, lang) where k = 1")
+def majority_language(spark, sf_dir):
+    return ranges.majority(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("select n_name, string_agg(c_name, ',' order by c_custkey) as methods from customer join nation on n_nationkey = c_nationkey group by n_name")
+def method_type_link(spark, sf_dir):
+    named = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    methods = named.groupBy("n_name").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("m"))
+    return methods.select("n_name", F.array_join(F.transform("m", lambda x: x["c_name"]), ",").alias("methods"))
+
+
+@query("select a.s_suppkey, count(b.s_suppkey)::bigint as n_siblings, coalesce(min(b.s_name), '') as first_sibling from supplier a left join supplier b on b.s_nationkey = a.s_nationkey and b.s_suppkey <> a.s_suppkey group by 1")
+def sibling_methods(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier")
+    groups = suppliers.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("s_suppkey", "s_name"), F.struct("s_name", "s_suppkey")).alias("one"), F.min("s_name").alias("lo"))
+    others = suppliers.join(groups.select("s_nationkey", F.col("one.s_suppkey").alias("one"), "n", "lo"), "s_nationkey")
+    second = others.filter("s_suppkey <> one").groupBy("s_nationkey").agg(F.min("s_name").alias("next"))
+    return others.join(second, "s_nationkey", "left").select("s_suppkey", (F.col("n") - 1).alias("n_siblings"), F.coalesce(F.when(F.col("s_suppkey") == F.col("one"), F.col("next")).otherwise(F.col("lo")), F.lit("")).alias("first_sibling"))
+
+
+@query("select distinct l_suppkey from lineitem where l_suppkey not in (select s_suppkey from supplier join nation on n_nationkey = s_nationkey where n_regionkey = 3)")
+def external_callees(spark, sf_dir):
+    internal = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation").filter("n_regionkey = 3")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().join(internal, "l_suppkey", "left_anti")
+
+
+@query("select page_id, regexp_replace(url, '^[a-z]+://', '') as path from pages where regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[^/]*/[^/]*/[^/]*$') or regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[^/]*\\.com/[^/]*$')")
+def glob_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return pages.filter(T.matches_any(F.col("path"), ["*/*/*", "*.com/*"]))
+
+
+@query("select p_partkey, case when p_type like 'PROMO%' or p_type like 'STANDARD%' then 'function' when p_type like 'ECONOMY%' or p_type like 'SMALL%' then 'type' end as class from part")
+def classify(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for x in ("PROMO", "Function", "STANDARD", "Method", "ECONOMY", "Class", "SMALL", "Struct")])
+    kind = F.coalesce(F.element_at(kinds, F.substring_index("p_type", " ", 1)), F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", T.symbol_class(kind, F.lit("Term")).alias("class"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then p_brand || '.(' || p_type || ').' || p_name else p_brand || '.' || p_name end || case when p_size % 3 = 0 then '(+1)' else '' end as fn_id from part")
+def function_id(spark, sf_dir):
+    receiver = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", T.function_id(F.col("p_brand"), F.col("p_name"), receiver, F.when(F.col("p_size") % 3 == 0, "+1").otherwise("")).alias("fn_id"))
+
+
+@query("select page_id, regexp_replace(url, '^https?://', '/') as path from pages")
+def uri_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_file_uri(F.regexp_replace("url", "^https?://", "file:///")).alias("path"))
+
+
+@query("select doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as line_sha256 from documents")
+def collapse_ws(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.collapse_space(F.col("text")), 256).alias("line_sha256"))
+
+
+@query("select doc_id, sha256(source || lang || text) as cache_key from documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("cache_key"))
+
+
+@query("select case when l.doc_id is null then 'miss' else 'hit' end as state, count(*)::bigint as n from documents d left join labels l on l.doc_id = d.doc_id group by 1")
+def cache_split(spark, sf_dir):
+    cached = table(spark, sf_dir, "labels").select("doc_id").withColumn("hit", F.lit(1))
+    both = table(spark, sf_dir, "documents").select("doc_id").join(cached, "doc_id", "left")
+    return both.groupBy(F.when(F.col("hit").isNull(), "miss").otherwise("hit").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def resume_remaining(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("select n_nationkey, pass, ord from nation, (values ('baseline', 1), ('security', 3)) as p(pass, ord)")
+def units_x_passes(spark, sf_dir):
+    passes = spark.createDataFrame([("summary", 0, True), ("baseline", 1, True), ("correctness", 2, False), ("security", 3, True)], "pass string, ord int, enabled boolean")
+    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(passes.filter("enabled and pass <> 'summary'").select("pass", "ord")))
+
+
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def issue_decode(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as no, trim(string_split(text, chr(10))[2][1:4]) as code from documents where len(string_split(text, chr(10))) > 1)
+select doc_id, coalesce(arg_min(no, abs(no - 3) * 100000 + no) filter (where contains(line, code)), 3)::int as line from l group by doc_id""")
+def locate_snippet(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("second", F.get(F.split("text", "\n", -1), F.lit(1))).filter("second is not null")
+    return docs.select("doc_id", T.locate_snippet(F.col("text"), F.substring("second", 1, 4), F.lit(3)).alias("line"))
+
+
+SEVERITY = "case when value < 20 then 'critical' when value < 40 then 'high' when value < 60 then 'medium' when value < 80 then 'low' else 'info' end"
+
+
+@query(f"select {SEVERITY} as severity, count(*)::bigint as n, count(distinct user_id)::bigint as n_units from events group by 1")
+def severity_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.expr(SEVERITY).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_units"))
+
+
+@query("select user_id, row_number() over (order by min(epoch_us(ts)), user_id)::int as place from events where value < 20 group by user_id")
+def critical_units(spark, sf_dir):
+    first = table(spark, sf_dir, "events").filter("value < 20").groupBy("user_id").agg(F.min("ts").alias("first"))
+    # one row a unit with a critical issue: the report's own list, ordered once
+    return first.select("user_id", F.row_number().over(Window.orderBy("first", "user_id")).alias("place"))
+
+
+@query(f"select distinct event_type as rule, case {SEVERITY} when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level from events")
+def sarif_levels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), T.sarif_level(F.expr(SEVERITY)).alias("level")).distinct()
