@@ -62,7 +62,7 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias("text")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of text, so that memory doesn't follow Arrow's batch size."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
@@ -79,7 +79,7 @@ class Memo(dict):
     """A bounded memo of a function of a short key; get values with memo[key]. When it is full, its entries become the old
     ones, which are kept until it is full again: what is used stays."""
 
-    def __init__(self, compute: Callable, most: int = 250_000, longest: int = 48):
+    def __init__(self, compute: Callable, most: int = 150_000, longest: int = 48):
         super().__init__()
         self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 

@@ -174,7 +174,7 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 pred = model.value.predict(part.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in (*names, "held_out")), pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())], [*names, "held_out", "lang_pred", "score"])
 

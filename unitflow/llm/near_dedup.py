@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 #: Sizes of sets are classed by powers of this.
-RATIO = 1.02
+RATIO = 1.05
 
 
 def size_class(n: np.ndarray) -> np.ndarray:

@@ -188,7 +188,7 @@ def repeated_windows(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> Da
 
         def work(batches):
             for batch in batches:
-                for piece in slices(batch, most=4 << 20):
+                for piece in slices(batch, most=2 << 20):
                     part = Slice(piece.column(2).to_pylist())
                     hashes, at = part.anchors()
                     twice = known.value
@@ -230,7 +230,7 @@ def _joined_entries(base: DataFrame, anchors: DataFrame, n_buckets: int) -> Data
 
     def work(batches):
         for batch in batches:
-            for piece in slices(batch, most=4 << 20):
+            for piece in slices(batch, most=2 << 20):
                 part = Slice(piece.column(2).to_pylist())
                 at = np.concatenate([np.asarray(a, np.int64) + s for a, s in zip(piece.column(3).to_pylist(), part.starts)])
                 ids, ofs = (np.asarray(piece.column(c).to_numpy()) for c in (0, 1))

@@ -74,8 +74,8 @@ class WordEncoder:
     def __init__(self, vocab: str):
         tokenizer = plain_tokenizer(vocab)
         model, self.plain = tokenizer.model, Plain([t.content for t in tokenizer.get_added_tokens_decoder().values()])
-        self.words = Memo(lambda word: packed([t.id for t in model.tokenize(symbols(word.decode().lower().encode()))]), 400_000)
-        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids), 100_000)
+        self.words = Memo(lambda word: packed([t.id for t in model.tokenize(symbols(word.decode().lower().encode()))]), 200_000)
+        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids), 50_000)
 
     def __call__(self, text: bytes) -> bytes:
         if self.plain(text):
@@ -95,7 +95,7 @@ class ByteEncoder:
             text = chunk.decode("utf-8", "replace")
             return None if apart.search(text) else packed(whole(text))
 
-        self.words, self.chunks = Memo(lambda w: packed(word(w)), 400_000), Memo(ids, 100_000)
+        self.words, self.chunks = Memo(lambda w: packed(word(w)), 200_000), Memo(ids, 50_000)
 
     def __call__(self, text: bytes) -> bytes:
         if self.plain(text):
