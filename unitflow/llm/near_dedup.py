@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from unitflow.llm.common import map_rows, slices, text_bytes, written
 from unitflow.llm.components import components
@@ -109,6 +108,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 #: Sizes of sets are classed by powers of this.
 RATIO = 1.05
+#: Cells of the table of counts that orders items.
+CELLS = 1 << 20
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -166,16 +167,32 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     passage, or copies that differ from each other in more than a link allows, have items of their own in these
     places and don't meet. Where one component has most of a bucket, only the others are paired with it."""
 
-    def listed(batches):
+    # the order: by the count of an item's cell among CELLS, then by item. Any order is exact; this one is nearly by rarity, and
+    # its table has one size at any input
+    def counted(batches):
         for batch in batches:
-            for i, items in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(items.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(np.full(len(x), len(x))), pa.array(x)], ["id", "n", "item"])
+            cells, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]) % np.uint64(CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    table = sets.select("items").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    held = sets.sparkSession.sparkContext.broadcast(counts)
 
     def dealt(batches):
         need = lambda m: -(-percent * m // (100 + percent))
+        cells = held.value
         for batch in batches:
-            i, label, n, at, item = (np.asarray(c.to_numpy()) for c in batch.columns)
+            listed = []
+            for i, items, label in zip(*(batch.column(c).to_pylist() for c in ("id", "items", "label"))):
+                x = np.frombuffer(items, np.uint64)
+                often = cells[x % np.uint64(CELLS)]
+                first = np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]
+                at = np.flatnonzero(often[first] > 1)  # an item alone in its cell is in no other set
+                listed.append((np.full(len(at), i), np.full(len(at), label), np.full(len(at), len(x)), at, x[first[at]].view(np.int64)))
+            if not listed:
+                continue
+            i, label, n, at, item = (np.concatenate(c) for c in zip(*listed))
             own = size_class(n)
             out = []
             for below in range(0, 2 + int(size_class(np.array([100 * 100]))[0] - size_class(np.array([100 * percent]))[0])):
@@ -189,13 +206,8 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                     key = join(item[pick].view(np.uint64), cls.astype(np.uint64)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i[pick]), pa.array(label[pick]), pa.array(n[pick]), pa.array(at[pick].astype(np.int64)), pa.array(np.full(len(pick), larger, np.int64))], ["key", "id", "label", "n", "place", "larger"])
 
-    items = written(sets.select("id", "items").mapInArrow(listed, "id long, n long, item long"), "items")
-    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    by_id = Window.partitionBy("id")
-    # items of one set alone come first in its order
-    placed = items.join(shared, "item").withColumn("place", F.col("n") - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("held", "item")) - 1)
-    placed = placed.filter(f"place <= n - cast(ceil(n * {percent} / 100.0) as bigint)").join(labels, "id", "left")
-    rows = placed.select("id", F.coalesce("label", "id").alias("label"), "n", F.col("place").cast("long").alias("place"), "item").mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long")
+    labelled = sets.join(labels, "id", "left").select("id", "items", F.coalesce("label", "id").alias("label"))
+    rows = labelled.mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long")
     rows = written(rows, "rare-items")
     per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max("larger").alias("hi"), F.min("larger").alias("lo"))
     mixed = per_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).filter("labels > 1 and lo = 0 and hi = 1").select("key", "most")
