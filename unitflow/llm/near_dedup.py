@@ -110,6 +110,15 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 RATIO = 1.05
 #: Cells of the table of counts that orders items.
 CELLS = 1 << 20
+#: Longs of a set's parity bitmap, and the columns that hold them.
+BITS = 9
+PARITY = [f"s{k}" for k in range((1 << BITS) // 64)]
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """A bitmap in which every item flips one bit: two sets' bitmaps differ in at most as many bits as the sets in items."""
+    odd = np.bincount((items >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -165,7 +174,8 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     and |y| - need in y. Each set is dealt by the items of its first places: once by its own size's class, and, as
     the larger one, to each class of smaller sizes for which that place still suffices. Documents that all hold one
     passage, or copies that differ from each other in more than a link allows, have items of their own in these
-    places and don't meet. Where one component has most of a bucket, only the others are paired with it."""
+    places and don't meet. Where one component has most of a bucket, only the others are paired with it. Linked sets differ in
+    at most (100 - percent) * (|x| + |y|) / (100 + percent) items, so a pair whose parity bitmaps differ in more bits is none."""
 
     # the order: by the count of an item's cell among CELLS, then by item. Any order is exact; this one is nearly by rarity, and
     # its table has one size at any input
@@ -183,16 +193,18 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         need = lambda m: -(-percent * m // (100 + percent))
         cells = held.value
         for batch in batches:
-            listed = []
+            listed, maps = [], []
             for i, items, label in zip(*(batch.column(c).to_pylist() for c in ("id", "items", "label"))):
                 x = np.frombuffer(items, np.uint64)
                 often = cells[x % np.uint64(CELLS)]
                 first = np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]
                 at = np.flatnonzero(often[first] > 1)  # an item alone in its cell is in no other set
-                listed.append((np.full(len(at), i), np.full(len(at), label), np.full(len(at), len(x)), at, x[first[at]].view(np.int64)))
+                listed.append((np.full(len(at), i), np.full(len(at), label), np.full(len(at), len(x)), at, x[first[at]].view(np.int64), np.full(len(at), len(maps))))
+                maps.append(parity(x))
             if not listed:
                 continue
-            i, label, n, at, item = (np.concatenate(c) for c in zip(*listed))
+            i, label, n, at, item, row = (np.concatenate(c) for c in zip(*listed))
+            maps = np.stack(maps)
             own = size_class(n)
             out = []
             for below in range(0, 2 + int(size_class(np.array([100 * 100]))[0] - size_class(np.array([100 * percent]))[0])):
@@ -204,16 +216,18 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             for pick, cls, larger in out:
                 if len(pick):
                     key = join(item[pick].view(np.uint64), cls.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i[pick]), pa.array(label[pick]), pa.array(n[pick]), pa.array(at[pick].astype(np.int64)), pa.array(np.full(len(pick), larger, np.int64))], ["key", "id", "label", "n", "place", "larger"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i[pick]), pa.array(label[pick]), pa.array(n[pick]), pa.array(at[pick].astype(np.int64)), pa.array(np.full(len(pick), larger, np.int64)), *[pa.array(maps[row[pick], k]) for k in range(len(PARITY))]], ["key", "id", "label", "n", "place", "larger", *PARITY])
 
     labelled = sets.join(labels, "id", "left").select("id", "items", F.coalesce("label", "id").alias("label"))
-    rows = labelled.mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long")
+    rows = labelled.mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long, " + ", ".join(f"{c} long" for c in PARITY))
     rows = written(rows, "rare-items")
     per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max("larger").alias("hi"), F.min("larger").alias("lo"))
     mixed = per_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).filter("labels > 1 and lo = 0 and hi = 1").select("key", "most")
     rows = written(rows.join(mixed, "key"), "rare-buckets")
     x, y = rows.filter("larger = 1").alias("x"), rows.filter("larger = 0").alias("y")
     fits = f"x.label <> y.label and y.n <= x.n and 100 * y.n >= {percent} * x.n and {100 + percent} * (1 + least(x.n - 1 - x.place, y.n - 1 - y.place)) >= {percent} * (x.n + y.n)"
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
+    fits += f" and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     others = x.join(y.filter("label <> most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
     with_most = x.filter("label <> most").join(y.filter("label = most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
