@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed: symbol kinds of functions and of types, and SARIF levels by severity.
-FUNCTION_KINDS = ["Function", "Method", "Constructor", "Macro", "StaticMethod", "AbstractMethod", "Getter", "Setter", "TraitMethod", "ProtocolMethod", "PureVirtualMethod", "MethodSpecification", "TypeClassMethod"]
+FUNCTION_KINDS = ["Function", "Method", "AbstractMethod", "StaticMethod", "Constructor", "MethodSpecification", "ProtocolMethod", "PureVirtualMethod", "TraitMethod", "TypeClassMethod", "SingletonMethod", "MethodAlias", "Macro"]
 TYPE_KINDS = ["Class", "Struct", "Interface", "Enum", "Trait", "Protocol", "Type", "TypeAlias", "Union", "TypeClass"]
 LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
