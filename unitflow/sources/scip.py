@@ -9,6 +9,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed: numbers of the symbol kinds that are functions or types.
 KINDS = {7: "Class", 9: "Constructor", 11: "Enum", 17: "Function", 21: "Interface", 25: "Macro", 26: "Method", 42: "Protocol", 49: "Struct", 53: "Trait", 54: "Type", 55: "TypeAlias", 56: "TypeClass", 59: "Union", 66: "AbstractMethod", 67: "MethodSpecification", 68: "ProtocolMethod", 69: "PureVirtualMethod", 70: "TraitMethod", 71: "TypeClassMethod", 74: "MethodAlias", 76: "SingletonMethod", 80: "StaticMethod"}
@@ -87,16 +89,13 @@ def decode(data) -> list[dict]:
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """documents (path, ord, doc, language, text, root), symbols, occurrences (with doc), external_symbols."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(DOCUMENT))
+    schema = to_arrow_schema(StructType.fromDDL(DOCUMENT))
 
     def work(batches):
         for batch in batches:
             for at, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    rows = decode(memoryview(content.as_buffer()))
+                    rows = decode(memoryview(content.as_buffer()).cast("B"))
                 except (IndexError, TypeError, ValueError, AttributeError) as error:
                     raise ValueError(f"{at} is no index: {error}") from error
                 for start in range(0, len(rows), 64):
@@ -177,9 +176,7 @@ def parse_symbol(symbol: str | None) -> dict | None:
 
 def with_parsed(symbols: DataFrame) -> DataFrame:
     """symbols with the column parsed (null where parse_symbol gives none), an Arrow batch at a time."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = symbols.schema.add("parsed", DESCRIPTOR) if "parsed" not in symbols.columns else symbols.schema
+    schema = StructType([*symbols.schema.fields, *StructType.fromDDL(f"parsed {DESCRIPTOR}").fields])
     arrow = to_arrow_schema(schema)
 
     def work(batches):
