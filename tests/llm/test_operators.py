@@ -252,6 +252,15 @@ def test_pii_bootstraps_and_redacts(spark):
     assert text[0] == "write to <EMAIL> or key AB00CD7788XY now <CARD>" and text[10] == "please write to <ID> today" and text[21] is None and text[None] == "mail <EMAIL>"
 
 
+def test_pii_bootstraps_until_nothing_is_added(spark):
+    name = lambda hop, k: f"ab{hop}{k}cd77" if hop else f"u{k}@a.org"
+    lines = [(hop, k, f"w{'abcdefgh'[hop]}{'abcd'[k]} {x}") for hop in range(1, 8) for k in range(4) for x in [*(name(hop - 1, i) for i in range(4)), name(hop, k)]]
+    df = spark.createDataFrame([(i, x) for i, (*_, x) in enumerate(lines)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.op7_pii(df).collect()}
+    assert all(spans[i] == (f"id:4:{len(x)}" if "@" not in x else f"email:4:{len(x)}") for i, (*_, x) in enumerate(lines))
+    assert all(r.text[4:] in ("<ID>", "<EMAIL>") for r in pii.redact(df).collect())
+
+
 def test_quality(docs, rows):
     got = {r.doc_id: r for r in quality.op8_quality(docs).collect()}
     for i, t, *_ in rows:

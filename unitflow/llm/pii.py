@@ -4,7 +4,7 @@ Base matches are the seeds. Every identifier-like token (a word of at least MIN_
 more) and every seed is an instance; the one or two words before it and its leading letters are its lexical
 patterns. Spark scores the graph of patterns and instances in rounds: a pattern is trusted if enough of its
 distinct instances are known and few are not; an instance of a trusted pattern becomes known. Tokens found so
-are spans of kind `id`. Graph and tokens stay distributed; only the number of rounds is fixed.
+are spans of kind `id`. Rounds go on until nothing more becomes known. Graph and tokens stay distributed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import map_rows, text_bytes, written
+from unitflow.llm.common import drop_written, map_rows, text_bytes, written
 
 #: Fixed: the base kinds in the order of results; what the method finds comes after them.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -29,7 +29,7 @@ DIGITS = re.compile("[^0-9]+")
 ANY = re.compile(rb"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIN_LENGTH, MIN_DIGITS = 8, 2
-ROUNDS, MIN_KNOWN, MIN_SHARE = 3, 4, 0.8
+MIN_KNOWN, MIN_SHARE = 4, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -129,14 +129,18 @@ def _nest(fields: str) -> str:
     return re.sub(r"(\w+) ", r"\1: ", fields.replace(", ", ",")).replace(",", ", ")
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE) -> DataFrame:
-    """edges (pattern, number, seed), distinct, to the numbers of instances that became known without being seeds."""
-    known = edges.filter("seed").select("number").distinct()
-    for _ in range(rounds):
+def bootstrap(edges: DataFrame, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE) -> DataFrame:
+    """edges (pattern, number, seed), distinct, to the numbers of instances that became known without being seeds. What is known
+    and trusted only grows, so the rounds end: when one adds nothing."""
+    known = written(edges.filter("seed").select("number").distinct(), "known")
+    size = -1
+    while size != (n := known.count()):
+        size = n
         scored = edges.join(known.withColumn("is_known", F.lit(1)), "number", "left")
         trusted = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("is_known").alias("k")).filter((F.col("k") >= min_known) & (F.col("k") >= min_share * F.col("n"))).select("pattern")
         found = edges.filter("not seed").join(trusted, "pattern", "left_semi").select("number")
-        known = written(known.union(found).distinct(), "known")
+        before, known = known, written(known.union(found).distinct(), "known")
+        drop_written(before)
     return known.join(edges.filter("not seed").select("number").distinct(), "number", "left_semi")
 
 
