@@ -261,6 +261,20 @@ def test_pii_bootstraps_until_nothing_is_added(spark):
     assert all(r.text[4:] in ("<ID>", "<EMAIL>") for r in pii.redact(df).collect())
 
 
+def test_pii_finds_runs_and_short_words(spark):
+    table = [(i, f"ask the desk under u{i}@m.org") for i in range(12)] + [(12, "ask the desk under 555 123 4567, please"), (13, "ask the desk under K7."), (14, "lines 555 123 4567 and K7 alone"), (15, "ask the desk under noon")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(12, 16)] == ["ask the desk under <ID>, please", "ask the desk under <ID>.", "lines <ID> and K7 alone", "ask the desk under noon"]
+
+
+def test_pii_instances():
+    found = lambda x: [(x[i["start"] : i["end"]], i["tier"]) for i in pii.analyse(x)[1]]
+    assert found("(4111 1111 1111 1112) 12 345. 1 2a") == [("4111 1111 1111 1112", pii.LONG), ("12 345", pii.SHORT), ("1", pii.SHORT), ("2a", pii.SHORT)]
+    assert found("+1 555 123 4567 x 12345678 90") == [("+1 555 123 4567", pii.TOKEN), ("12345678 90", pii.LONG), ("12345678", pii.TOKEN)]
+    assert found("555 123 4567, (555) 123 4567. 7 ... 1") == [("555 123 4567", pii.LONG), ("(555) 123 4567", pii.LONG), ("7", pii.SHORT), ("1", pii.SHORT)]
+    pii.analyse("1 " * 100_000 + "a")
+
+
 def test_quality(docs, rows):
     got = {r.doc_id: r for r in quality.op8_quality(docs).collect()}
     for i, t, *_ in rows:

@@ -5,6 +5,10 @@ more) and every seed is an instance; the one or two words before it and its lead
 patterns. Spark scores the graph of patterns and instances in rounds: a pattern is trusted if enough of its
 distinct instances are known and few are not; an instance of a trusted pattern becomes known. Tokens found so
 are spans of kind `id`. Rounds go on until nothing more becomes known. Graph and tokens stay distributed.
+
+Runs of digit groups and other words with a digit are looser instances. They are found only after patterns that are trusted
+with all of them counted, and never cost a pattern its trust for identifier-like tokens. A run of MIN_LENGTH digits or more
+becomes known like a token; anything shorter is common elsewhere, so it is a span only where such a pattern stands before it.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile("[^0-9]+")
 ANY = re.compile(rb"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+GROUP = r"(?:\([0-9]++\)|[0-9]++(?:[./-][0-9]++)*+)"
+RUN = re.compile(rf"(?<![^\x20\x09-\x0D])[(\[{{<\"']*?({GROUP}(?: {GROUP})+)(?=[.,;:!?\"')\]}}>]*(?:[\x20\x09-\x0D]|\Z))")
+DIGIT = re.compile("[0-9]")
+STRIP = ".,;:!?\"'()[]{}<>"
+#: Tiers of instances: identifier-like tokens and seeds, long runs of digit groups, anything shorter with a digit.
+TOKEN, LONG, SHORT = 0, 1, 2
 MIN_LENGTH, MIN_DIGITS = 8, 2
 MIN_KNOWN, MIN_SHARE = 4, 0.8
 
@@ -81,7 +91,7 @@ def _patterns(before: list[str], token: str) -> list[int]:
 
 
 def analyse(text: str) -> tuple[list[dict], list[dict]]:
-    """The base spans, and the instances: start, end, number, seed, patterns."""
+    """The base spans, and the instances: start, end, number, seed, tier, patterns."""
     base = base_spans(text)
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     covered = sorted((s, e) for _, s, e in base)
@@ -89,6 +99,12 @@ def analyse(text: str) -> tuple[list[dict], list[dict]]:
     seeds = {}
     for kind, s, e in base:
         seeds.setdefault(s, (e, kind))
+    runs = {m.start(): m.span(1) for m in RUN.finditer(text)}
+    run_end = 0
+
+    def add(start: int, end: int, kind: str, patterns: list[int], seed: bool = False, tier: int = TOKEN) -> None:
+        instances.append({"start": start, "end": end, "number": _number(kind, text[start:end]), "seed": seed, "tier": tier, "patterns": patterns})
+
     for s, e in words:
         while k < len(covered) and covered[k][1] <= s:
             k += 1
@@ -97,23 +113,29 @@ def analyse(text: str) -> tuple[list[dict], list[dict]]:
             if s <= covered[k][0]:
                 start = covered[k][0]
                 end = seeds[start][0]
-                instances.append({"start": start, "end": end, "number": _number("base", text[start:end]), "seed": True, "patterns": _patterns(before, text[s:e])})
-        elif e - s >= MIN_LENGTH:
-            token = text[s:e].strip(".,;:!?\"'()[]{}<>")
+                add(start, end, "base", _patterns(before, text[s:e]), seed=True)
+        elif DIGIT.search(text, s, e):
+            if s in runs and not (k < len(covered) and covered[k][0] < runs[s][1]):
+                start, run_end = runs[s]
+                run = text[start:run_end]
+                add(start, run_end, "run", _patterns(before, run), tier=LONG if len(DIGITS.sub("", run)) >= MIN_LENGTH else SHORT)
+            token = text[s:e].strip(STRIP)
+            start = text.index(token, s)
             if len(token) >= MIN_LENGTH and sum(map(token.count, "0123456789")) >= MIN_DIGITS:
-                start = text.index(token, s)
-                instances.append({"start": start, "end": start + len(token), "number": _number("token", token), "seed": False, "patterns": _patterns(before, token)})
+                add(start, start + len(token), "token", _patterns(before, token))
+            elif s >= run_end:
+                add(start, start + len(token), "short", _patterns(before, token), tier=SHORT)
         before = [*before[-1:], text[s:e]]
     return [{"kind": kind, "start": s, "end": e} for kind, s, e in base], instances
 
 
 SPAN = "kind string, start int, end int"
-INSTANCE = "start int, end int, number long, seed boolean, patterns array<long>"
+INSTANCE = "start int, end int, number long, seed boolean, tier int, patterns array<long>"
 
 
 def _analysed(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    instance = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("number", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.int64()))]))
+    instance = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("number", pa.int64()), ("seed", pa.bool_()), ("tier", pa.int32()), ("patterns", pa.list_(pa.int64()))]))
 
     def work(batches):
         for batch in batches:
@@ -129,19 +151,25 @@ def _nest(fields: str) -> str:
     return re.sub(r"(\w+) ", r"\1: ", fields.replace(", ", ",")).replace(",", ", ")
 
 
-def bootstrap(edges: DataFrame, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE) -> DataFrame:
-    """edges (pattern, number, seed), distinct, to the numbers of instances that became known without being seeds. What is known
-    and trusted only grows, so the rounds end: when one adds nothing."""
+def bootstrap(edges: DataFrame, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+    """edges (pattern, number, seed, tier), distinct, to the numbers of instances that became known without being seeds, and the
+    patterns trusted with all tiers counted. What is known and trusted only grows, so the rounds end: when one adds nothing."""
+
+    def trusted(known: DataFrame) -> DataFrame:
+        scored = edges.join(known.withColumn("is_known", F.lit(1)), "number", "left")
+        token = F.col("tier") == TOKEN
+        counts = [F.count(F.when(token, 1)).alias("n_token"), F.count(F.when(token, F.col("is_known"))).alias("k_token"), F.count(F.lit(1)).alias("n"), F.count("is_known").alias("k")]
+        enough = lambda n, k: (F.col(k) >= min_known) & (F.col(k) >= min_share * F.col(n))
+        return scored.groupBy("pattern").agg(*counts).select("pattern", enough("n_token", "k_token").alias("for_tokens"), enough("n", "k").alias("for_all")).filter("for_tokens or for_all")
+
     known = written(edges.filter("seed").select("number").distinct(), "known")
     size = -1
     while size != (n := known.count()):
         size = n
-        scored = edges.join(known.withColumn("is_known", F.lit(1)), "number", "left")
-        trusted = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("is_known").alias("k")).filter((F.col("k") >= min_known) & (F.col("k") >= min_share * F.col("n"))).select("pattern")
-        found = edges.filter("not seed").join(trusted, "pattern", "left_semi").select("number")
+        found = edges.filter((~F.col("seed")) & (F.col("tier") < SHORT)).join(trusted(known), "pattern").filter((F.col("tier") == TOKEN) & F.col("for_tokens") | F.col("for_all")).select("number")
         before, known = known, written(known.union(found).distinct(), "known")
         drop_written(before)
-    return known.join(edges.filter("not seed").select("number").distinct(), "number", "left_semi")
+    return known.join(edges.filter("not seed").select("number").distinct(), "number", "left_semi"), trusted(known).filter("for_all").select("pattern")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -152,12 +180,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     gives an empty table; other columns are ignored."""
     table = written(_analysed(docs), "pii")
     single = table.select("doc_id", "of", F.explode("instances").alias("x")).select("doc_id", "of", "x.*")
-    edges = written(single.select(F.explode("patterns").alias("pattern"), "number", "seed").distinct(), "pattern-graph")
-    found = bootstrap(edges)
+    edges = written(single.select(F.explode("patterns").alias("pattern"), "number", "seed", "tier").distinct(), "pattern-graph")
+    found, patterns = bootstrap(edges)
+    short = single.filter(F.col("tier") == SHORT).withColumn("pattern", F.explode("patterns")).join(patterns, "pattern", "left_semi")
     added = (
         single.filter("not seed")
         .join(found, "number", "left_semi")
         .select("doc_id", "of", "start", "end")
+        .unionByName(short.select("doc_id", "of", "start", "end"))
         .distinct()
         .groupBy("doc_id", "of")
         .agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("added"))
