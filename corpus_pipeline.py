@@ -7,7 +7,7 @@ columns of documents; each is written to the shared folder and read again before
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import read_documents, written
@@ -36,10 +36,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id, once. Shingles have five words."""
-    kept = near_components(docs).filter("kept").select("doc_id").distinct()
-    known = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each group of near copies stays: the one with the smallest doc_id. Shingles have five words. Where rows share a
+    doc_id, each distinct text counts as a document of its own, ordered by (doc_id, text); of equal texts one row stays,
+    the first by its other columns. Rows without a doc_id stay."""
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        kept = near_components(docs).filter("kept and doc_id is not null").select("doc_id")
+        stay = known.join(kept, "doc_id", "left_semi")
+    else:
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*others or ["doc_id"]))
+        rows = known.withColumn("_place", place).filter("_place = 1").orderBy("doc_id", "text")
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pipeline-near-rows")
+        kept = near_components(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row"))
+        stay = rows.join(kept, "_row", "left_semi")
+    return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,6 +372,15 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == set(texts)
 
 
+def test_near_stage_keeps_distinct_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "fr", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a + " end", "en", "s", 1), (2, c, "en", "s", 1), (3, b, "en", "s", 1), (4, d, "en", "s", 1), (None, a, "en", "s", 1)]
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, r.text, r.lang) for r in kept) == [(0, a, "en"), (1, a, "en"), (1, b, "en"), (2, c, "en"), (4, d, "en")]
+
+
 def test_oracles_run_over_whole_tables():
     from unitflow.llm import queries
 
