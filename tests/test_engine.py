@@ -41,6 +41,13 @@ def test_components_both_ways(spark):
     assert {x.fn_id: x.scc for x in graph.components(nodes, table, exact_edges=0).collect()} == want
 
 
+def test_components_by_joins_are_ordered(spark):
+    nodes = spark.createDataFrame([(x,) for x in "ABCDE"], "fn_id string")
+    edges = spark.createDataFrame([("D", "A", 0), ("A", "B", 0), ("A", "C", 1), ("B", "C", 0), ("C", "B", 0)], "caller string, callee string, ord long")
+    got = {x.fn_id: x.ordinal for x in graph.components(nodes, edges, exact_edges=0).collect()}
+    assert got == {"B": 0, "C": 0, "E": 1, "A": 2, "D": 3}
+
+
 def test_units_and_levels(spark):
     nodes = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "fn_id string")
     edges = spark.createDataFrame([("D", "A", 0), ("A", "B", 0), ("A", "C", 1), ("B", "C", 0), ("C", "B", 0)], "caller string, callee string, ord long")

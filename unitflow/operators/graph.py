@@ -50,10 +50,10 @@ def tarjan(graph: dict[str, list[str]]) -> list[list[str]]:
 
 def components(nodes: DataFrame, edges: DataFrame, exact_edges: int = EXACT_EDGES) -> DataFrame:
     """nodes (fn_id) and edges (caller, callee, ord) to (fn_id, scc, ordinal): scc is the least member; ordinal the callees-first
-    place, or null for graphs beyond exact_edges, which are condensed by joins."""
+    place; graphs beyond exact_edges are condensed by joins and ordered by (level, scc)."""
     edges = written(edges.join(nodes.select(F.col("fn_id").alias("caller")), "caller", "left_semi").join(nodes.select(F.col("fn_id").alias("callee")), "callee", "left_semi").select("caller", "callee", "ord"))
     if edges.count() > exact_edges or nodes.count() > exact_edges:
-        return components_by_joins(nodes, edges).withColumn("ordinal", F.lit(None).cast("int"))
+        return ordered(written(components_by_joins(nodes, edges)), edges)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         graph = {n: [] for n in pdf.loc[pdf.callee.isna(), "caller"]}
@@ -66,6 +66,16 @@ def components(nodes: DataFrame, edges: DataFrame, exact_edges: int = EXACT_EDGE
     return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "fn_id string, scc string, ordinal int")
 
 
+def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (fn_id, scc) with ordinal: the place of their component by (level, scc), so callees first."""
+    of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
+    calls = edges.join(of("caller", "unit_id"), "caller").join(of("callee", "to"), "callee").filter("unit_id <> to").groupBy("unit_id").agg(F.collect_set("to").alias("callees"))
+    table = members.select(F.col("scc").alias("unit_id")).distinct().join(calls, "unit_id", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
+    placed = levels(written(table)).orderBy("level", "unit_id").select("unit_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    places = members.sparkSession.createDataFrame(placed, "scc string, ordinal long").select("scc", F.col("ordinal").cast("int").alias("ordinal"))
+    return members.join(places, "scc").select("fn_id", "scc", "ordinal")
+
+
 def components_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Membership alone, for large graphs: trim nodes without a way in or out, spread the least label forwards, and take
     what reaches the label's root backwards within its colour; again with the rest. Each step is written, not collected."""
