@@ -98,9 +98,15 @@ def slice_lines(text: Column, start: Column, end_line: Column, end_char: Column)
     return F.when((start >= 0) & (start < F.size(lines)), F.regexp_replace(F.array_join(F.slice(lines, start + 1, last - start + 1), "\n"), "\\n+$", ""))
 
 
+def trim_space(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def locate_snippet(body: Column, code: Column, hint: Column) -> Column:
     """Line (from 1) of the body that holds the trimmed code nearest to the hint, earliest on ties; the first without a hint; the
-    hint itself where no line holds it."""
-    found = F.filter(F.transform(F.split(body, "\n", -1), lambda line, i: F.when(F.contains(line, F.trim(code)), i + 1)), lambda i: i.isNotNull())
+    hint itself where no line holds it; 0 for blank code."""
+    wanted = trim_space(code)
+    found = F.filter(F.transform(F.split(body, "\n", -1), lambda line, i: F.when(F.contains(line, wanted), i + 1)), lambda i: i.isNotNull())
     nearest = F.array_min(F.transform(found, lambda i: F.struct(F.abs(i - hint).alias("far"), i.alias("line"))))["line"]
-    return F.when(F.size(found) == 0, hint).when((hint <= 0) | (F.size(found) == 1), F.get(found, F.lit(0))).otherwise(nearest)
+    return F.when(wanted == "", 0).when(F.size(found) == 0, hint).when((hint <= 0) | (F.size(found) == 1), F.get(found, F.lit(0))).otherwise(nearest)

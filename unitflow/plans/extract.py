@@ -13,7 +13,7 @@ from unitflow.operators import graph, ranges
 from unitflow.sources.scip import read_index, with_parsed
 
 #: Fixed: tags of type kinds; others are "type".
-KIND_TAGS = {"Class": "class", "Struct": "struct", "Interface": "interface", "Trait": "trait", "Enum": "enum", "TypeAlias": "alias", "Protocol": "protocol", "Union": "union"}
+KIND_TAGS = {"Class": "class", "Struct": "struct", "Interface": "interface", "Trait": "trait", "Enum": "enum", "Protocol": "protocol", "Union": "union", "TypeClass": "typeclass", "TypeAlias": "type"}
 TYPE_SPAN = 200
 
 
@@ -87,7 +87,7 @@ def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sour
     receiver = F.when(F.col("class") == "function", receiver_of(F.col("parsed.descriptors"))).otherwise("")
     named = written(named.select(*order, "doc", "symbol", "class", "kind", "name", package_of(F.col("parsed")).alias("package"), receiver.alias("receiver"), last["disambiguator"].alias("disambiguator"), "signature", "documented"))
     once = written(ranges.first_wins(named, ["class", "symbol"], order))
-    doubled = ranges.repeats(named, ["class", "symbol"], order).select(F.concat(F.lit("duplicate "), "class", F.lit(" symbol "), "symbol", F.lit(" (first wins)")).alias("warning"))
+    doubled = ranges.repeats(named, ["class", "symbol"], order).select(F.concat(F.lit("duplicate "), "class", F.lit(" symbol "), "symbol", F.lit(" in "), F.substring_index("doc", "\n", -1), F.lit(" (first wins)")).alias("warning"))
 
     line, char, _, _ = _point(F.col("range"))
     at = definitions.groupBy("doc", "symbol").agg(F.min_by(F.struct(line.alias("line"), char.alias("char"), (F.size("enclosing") == 0).alias("bare")), "ord").alias("at"))
@@ -117,7 +117,8 @@ def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sour
     known = functions.select("symbol", "fn_id")
     refs = uses.filter(F.col("roles").bitwiseAND(1) == 0).select("doc", "ord", "symbol", line.alias("line"), char.alias("char"))
     others = refs.select("symbol").distinct().join(known, "symbol", "left_anti")
-    told = ranges.first_wins(index["external_symbols"], ["symbol"], order[:1] + order[2:]).select("symbol", "kind", "display", "signature", F.array_join("documentation", "\n\n").alias("documented"))
+    # of external symbols met twice the last counts
+    told = ranges.first_wins(index["external_symbols"], ["symbol"], [F.desc("path"), F.desc("ord")]).select("symbol", "kind", "display", "signature", F.array_join("documentation", "\n\n").alias("documented"))
     others = with_parsed(others).filter("parsed is not null").join(told, "symbol", "left")
     callable_ = F.when(F.col("kind").isNull(), last["suffix"].isin("Method", "Macro")).otherwise(T.symbol_class(F.col("kind"), last["suffix"]) == "function")
     externals = written(others.filter(callable_).select(F.concat(F.lit("scip:"), "symbol").alias("ext_id"), "symbol", package_of(F.col("parsed")).alias("package"), F.coalesce(F.nullif("display", F.lit("")), last["name"]).alias("name"), F.coalesce("signature", F.lit("")).alias("signature"), F.coalesce("documented", F.lit("")).alias("doc")))
