@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,12 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in
+    tests; on a cluster that is an error, since executors can't read each other's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="unitflow-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,6 +57,28 @@ def small_or_not(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
+def join_small(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, spread: list[str], copies: int = 32) -> DataFrame:
+    """An inner join with a table that is read cheaply and mostly small: broadcast if its counted size is below BROADCAST_BYTES. Else
+    both sides are salted, so that a hot key's rows on the left go to `copies` tasks by their columns `spread`."""
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on)
+    salt = unused([*left.columns, *right.columns], "salt")[0]
+    left = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int"))
+    return left.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), [*on, salt]).drop(salt)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind them until no column has them in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, columns: list, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(work, schema)
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import SPACE_CLASS
+from unitflow.llm.common import SPACE_CLASS, unused
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper", "n_exclaim"]
 
@@ -67,24 +67,25 @@ def measure(docs: DataFrame) -> DataFrame:
     n_repeat_words counts the words in eight-word windows found twice or more in the text, first included;
     n_dup_lines the lines with a word that equal an earlier line."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keep = [c for c in docs.columns if c not in (*MEASURES, "text")]
-    step = docs.select(*keep, text.alias("text"), F.filter(F.split(text, SPACE_CLASS + "+", -1), lambda w: w != "").alias("words"))
-    step = step.select("*", F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "").alias("lines"))
-    step = step.withColumn("w1", F.transform("words", lambda w: F.xxhash64(w)))
-    for a, b, d in (("w1", "w2", 1), ("w2", "w4", 2), ("w4", "w8", 4)):
-        step = step.withColumn(b, _pairs(F.col(a), d)).drop(a)
-    step = step.withColumn("any_twice", F.size(F.array_distinct("w8")) < F.size("w8"))
-    count = lambda cls: F.length(F.regexp_replace("text", f"[^{cls}]+", "")).cast("long")
+    keep = [c for c in docs.columns if c not in MEASURES]
+    full, words, lines, w, twice = unused([*docs.columns, *MEASURES], "full", "words", "lines", "w", "twice")
+    step = docs.select(*keep, text.alias(full))
+    step = step.select("*", F.filter(F.split(full, SPACE_CLASS + "+", -1), lambda x: x != "").alias(words))
+    step = step.select("*", F.filter(F.split(full, "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "").alias(lines))
+    step = step.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
+    for distance in (1, 2, 4):
+        step = step.withColumn(w, _pairs(F.col(w), distance))
+    step = step.withColumn(twice, F.size(F.array_distinct(w)) < F.size(w))
+    count = lambda cls: F.length(F.regexp_replace(full, f"[^{cls}]+", "")).cast("long")
     return step.select(
         *keep,
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
         count("#*$%&|<>").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("any_twice"), _covered(F.col("w8"), 8)).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.length("text").cast("long").alias("n_chars_all"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.when(F.col(twice), _covered(F.col(w), 8)).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.length(full).cast("long").alias("n_chars_all"),
         count("A-Z").alias("n_upper"),
         count("!").alias("n_exclaim"),
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import map_rows, slices, text_bytes, written
+from unitflow.llm.common import map_rows, slices, text_bytes, unused, written
 from unitflow.llm.hashing import hash_words, join, mix, step, windows
 
 WINDOW = 20
@@ -195,7 +195,7 @@ def repeated_windows(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> Da
                     found = np.minimum(np.searchsorted(twice, hashes), max(0, len(twice) - 1))
                     starts = part.near(at[twice[found] == hashes]) if len(twice) else at[:0]
                     ids, ofs = (np.asarray(piece.column(c).to_numpy()) for c in (0, 1))
-                    rows = _entries(part, starts, ids, ofs, n_buckets, int(abs(ids[0]) % 1_000_003))
+                    rows = _entries(part, starts, ids, ofs, n_buckets, int(ids[0]) % 1_000_003)
                     if rows:
                         yield _batch(rows, ENTRY)
 
@@ -234,7 +234,7 @@ def _joined_entries(base: DataFrame, anchors: DataFrame, n_buckets: int) -> Data
                 part = Slice(piece.column(2).to_pylist())
                 at = np.concatenate([np.asarray(a, np.int64) + s for a, s in zip(piece.column(3).to_pylist(), part.starts)])
                 ids, ofs = (np.asarray(piece.column(c).to_numpy()) for c in (0, 1))
-                rows = _entries(part, part.near(at), ids, ofs, n_buckets, int(abs(ids[0]) % 1_000_003))
+                rows = _entries(part, part.near(at), ids, ofs, n_buckets, int(ids[0]) % 1_000_003)
                 if rows:
                     yield _batch(rows, ENTRY)
 
@@ -250,13 +250,14 @@ def substring_dedup(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> Dat
     smaller than all others. An empty table gives an empty table."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
     repeats = repeated_windows(docs, broadcast_bytes)
-    repeats = repeats.withColumnsRenamed({"id": "_rid", "of": "_rof", "at": "_at"})
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_rid")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_rof"))
+    found, own_text, places = unused([*docs.columns, "n_words", "n_removed", "kept_text"], "found", "own_text", "places")
+    repeats = repeats.select(F.struct("id", "of", "at").alias(found))
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(f"{found}.id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(f"{found}.of"))
     names, types = docs.columns, {"n_words": "long", "n_removed": "long", "kept_text": "string"}
 
     def work(batches):
         for batch in batches:
-            text, at, out = batch.column("_text"), batch.column("_at"), []
+            text, at, out = batch.column(own_text), batch.column(places), []
             for t, a in zip(text.to_pylist(), at.to_pylist()):
                 words = t.split()
                 n, gone = len(words), 0
@@ -273,7 +274,7 @@ def substring_dedup(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> Dat
             columns += [pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, *types])
 
-    full = docs.join(repeats, own, "left").withColumn("_text", F.coalesce(F.col("text"), F.lit("")).cast("binary")).select(*names, "_text", "_at")
+    full = docs.join(repeats, own, "left").select(*names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own_text), F.col(f"{found}.at").alias(places))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in types.items())])
     return full.mapInArrow(work, fields)
 
