@@ -69,38 +69,43 @@ def best_fit(lengths: list[int], most: int) -> tuple[list[int], list[int]]:
 
 
 def pieces(docs: DataFrame, vocab_path: str, most: int = 2048, end_id: int = 0) -> DataFrame:
-    """Per piece of at most `most` ids: doc_id, piece, start, length, ids_crc32, and row, which tells rows of one doc_id apart."""
+    """Per piece of at most `most` ids: doc_id, piece, start, length, ids_crc32, and row, a number of its own for every piece."""
+    from pyspark import TaskContext
+
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
 
     def work(batches):
         encode, end = library_encoder("word", vocab.value), end_id.to_bytes(4, "little")
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
+                    row += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], work, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def pack(table: DataFrame, most: int = 2048, group: int = GROUP) -> DataFrame:
-    """The rows of a table (with doc_id, piece, length, ids_crc32) with sequence_id and offset."""
-    table = table.drop("sequence_id", "offset")
+    """The rows of a written table (with doc_id, piece, length, ids_crc32, row) with sequence_id and offset, without row. Groups are
+    dealt by row, so that equal pieces don't meet in one."""
     n_groups = max(1, -(-table.count() // group))
-    grouped = table.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
+    grouped = table.withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(n_groups)))
 
     def work(part: pa.Table) -> pa.Table:
         part = part.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         places, offsets = best_fit(part.column("length").to_pylist(), most)
-        number = part.column("_group")[0].as_py() << 32
-        part = part.drop_columns(["_group"])
+        number = part.column("pack_group")[0].as_py() << 32
+        part = part.drop_columns(["pack_group", "row"])
         return part.append_column("sequence_id", pa.array(np.asarray(places, np.int64) + number)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
-    return grouped.groupBy("_group").applyInArrow(work, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != "row")
+    return grouped.groupBy("pack_group").applyInArrow(work, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, most: int = 2048, end_id: int = 0) -> DataFrame:
