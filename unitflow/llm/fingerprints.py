@@ -3,11 +3,12 @@
 Every paragraph (line) is hashed to a wide vector; a text's vector is their sum, word by word, modulo 2^60. So
 order doesn't matter, and adding or taking away a paragraph adds or subtracts its vector (combine()). A vector is
 
-    [sentences, 4 words of 60 random bits a paragraph, 40 words of 3 lanes of 20 bits]
+    [sentences, 4 words of 60 random bits a paragraph, 60 words of 2 lanes of 30 bits]
 
 The random words make different multisets differ. The lanes hold, for each of 120 random signs, how many of the
 paragraphs' sentences have it: signed sums whose cosine estimates the likeness of two texts (standard error
-about 0.09). Sentences, not whole paragraphs, carry the signs, so that texts of one paragraph can be alike.
+about 0.09). Sentences, not whole paragraphs, carry the signs, so that texts of one paragraph can be alike. Lanes hold
+counts below 2^30, which no text that a string can hold reaches.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from pyspark.sql.window import Window
 from unitflow.llm.common import small_or_not, written
 
 MODULUS_MASK = (1 << 60) - 1
-LANES_MASK = 1 + (1 << 20) + (1 << 40)
-LANE = (1 << 20) - 1
+LANE_BITS = 30
+LANES_MASK = 1 + (1 << LANE_BITS)
+LANE = (1 << LANE_BITS) - 1
 SENTENCES = "\\\\n|(?<=[.!?]) "
 
 
 def vector(text: str) -> Column:
     """The vector of a text column (not null). Lambda variables bind arrays, so that each is made once."""
     signs = [
-        f"get(transform(array(transform(parts, s -> xxhash64({seed}, s))), hs -> transform(sequence(0, 19), k -> aggregate(hs, 0L, (a, h) -> (a + (shiftright(h, k) & {LANES_MASK}L)) & {MODULUS_MASK}L))), 0)"
+        f"get(transform(array(transform(parts, s -> xxhash64({seed}, s))), hs -> transform(sequence(0, {LANE_BITS - 1}), k -> aggregate(hs, 0L, (a, h) -> (a + (shiftright(h, k) & {LANES_MASK}L)) & {MODULUS_MASK}L))), 0)"
         for seed in (11, 12)
     ]
     words = f"get(transform(array(split({text}, '\\\\n', -1)), ps -> transform(sequence(1, 4), seed -> aggregate(ps, 0L, (a, p) -> (a + (xxhash64(seed, p) & {MODULUS_MASK}L)) & {MODULUS_MASK}L))), 0)"
@@ -51,8 +53,9 @@ def likeness(a: str, b: str) -> Column:
     """0 to 1: the cosine of the signed sums, 1 for equal vectors, 0 where either has no sentence."""
 
     def dot(x: str, y: str) -> str:
-        term = " + ".join(f"(2 * (shiftright(u, {20 * i}) & {LANE}L) - {x}[0]) * (2 * (shiftright(v, {20 * i}) & {LANE}L) - {y}[0])" for i in range(3))
-        return f"aggregate(zip_with(slice({x}, 6, 40), slice({y}, 6, 40), (u, v) -> cast({term} as double)), 0D, (s, t) -> s + t)"
+        signed = lambda word, of, i: f"cast(2 * (shiftright({word}, {LANE_BITS * i}) & {LANE}L) - {of}[0] as double)"
+        term = " + ".join(f"{signed('u', x, i)} * {signed('v', y, i)}" for i in range(2))
+        return f"aggregate(zip_with(slice({x}, 6, {2 * LANE_BITS}), slice({y}, 6, {2 * LANE_BITS}), (u, v) -> {term}), 0D, (s, t) -> s + t)"
 
     return F.expr(f"case when {a} = {b} then 1D when {a}[0] = 0 or {b}[0] = 0 then 0D else coalesce(greatest(0D, least(1D, ({dot(a, b)}) / nullif(sqrt(({dot(a, a)}) * ({dot(b, b)})), 0D))), 0D) end")
 
