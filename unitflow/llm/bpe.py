@@ -53,6 +53,8 @@ class PrefixBPE:
                 data = self.bytes_of[i]
                 self.automaton.add_word(data.decode("latin-1"), (i, len(data)))
         self.automaton.make_automaton()
+        # a byte that is no token has no id: the library drops it, and what stands beside it can be merged
+        self.lost = bytes(b for b in range(256) if byte_symbols()[b] not in ids)
         self.fits: dict[tuple[int, int], bool] = {}
         self.words = Memo(self.word, 50_000)
         self.split = regex.compile(PATTERN)
@@ -96,6 +98,7 @@ class PrefixBPE:
         return self.is_own(left) and self.is_own(right) and self.crossing(left, right) == (left, right)
 
     def word(self, data: bytes) -> list[int]:
+        data = data.translate(None, self.lost)
         last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
         fits = self.fits
         for end, (token, n) in self.automaton.iter(data.decode("latin-1")):
