@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import map_rows, shared_dir, text_bytes, written
@@ -24,6 +24,7 @@ from unitflow.llm.tokens import library_encoder, plain_tokenizer, vocabulary
 
 HEAD, FOOT, INDEX = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<QQQ")
 KEY = struct.Struct("<BqB")
+FRAME = HEAD.size + FOOT.size
 
 
 def masked(data: bytes) -> int:
@@ -74,6 +75,26 @@ def files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def index_entries(data: bytes) -> list[tuple[int, int, int]]:
+    """Per record: its offset, its number of ids, and the ids before it in the shard. Raises ValueError where they don't fit."""
+    if len(data) % INDEX.size:
+        raise ValueError("an index entry is cut off")
+    entries, total = list(INDEX.iter_unpack(data)), 0
+    for _, n_ids, before in entries:
+        if before != total:
+            raise ValueError("the index's counts of ids don't add up")
+        total += n_ids
+    return entries
+
+
+def ids_in(index) -> int:
+    """The number of ids of a shard, by the last entry of its open index file."""
+    if index.size() < INDEX.size:
+        raise ValueError("an index entry is cut off")
+    _, n_ids, before = INDEX.unpack(index.read_at(INDEX.size, index.size() - INDEX.size))
+    return before + n_ids
+
+
 def read_at(uri: str, shard: int, k: int) -> tuple[int | None, np.ndarray]:
     """Record k of a shard by its index: for reads in any order."""
     system, root = files(uri)
@@ -119,35 +140,60 @@ def write_records(docs: DataFrame, vocab_path: str, uri: str, end_id: int = 0) -
     return written(ordered.mapInArrow(work, "shard int, n_records long, n_ids long"), "shards")
 
 
-def read_records(shards: DataFrame, uri: str) -> DataFrame:
-    """Per record of the shards: doc_id, start (ids of all records before it), n_tokens, ids_crc32, as read from the files."""
-    spark = shards.sparkSession
-    rows = sorted(shards.collect())  # a row a shard, of which there are as many as partitions
+def read_records(spark: SparkSession, uri: str) -> DataFrame:
+    """Per record of the shards at uri: doc_id, start (ids of all records before it), n_tokens, ids_crc32, as read from the files.
+
+    The index files say where records start and how many ids stand before them; every record is held against its entry. Only
+    the totals come to the driver, a row a shard."""
+    from pyarrow import fs
+
+    system, root = files(uri)
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    shards = sorted(int(n.removesuffix(".idx")) for n in names if n.endswith(".idx") and not n.startswith("."))
+    listed = spark.createDataFrame([(k,) for k in shards], "shard int").repartition(max(1, len(shards)), "shard")
+
+    def totals(batches):
+        system, root = files(uri)
+        for batch in batches:
+            ends = []
+            for shard in batch.column(0).to_pylist():
+                with system.open_input_file(f"{root}/{shard:06d}.idx") as f:
+                    ends.append((shard, ids_in(f)))
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends), (pa.int32(), pa.int64()))], ["shard", "n_ids"])
+
     starts, total = [], 0
-    for r in rows:
-        starts.append((r["shard"], total, r["n_records"]))
-        total += r["n_ids"]
+    for shard, n_ids in sorted(listed.mapInArrow(totals, "shard int, n_ids long").collect()):
+        starts.append((shard, total))
+        total += n_ids
 
     def work(batches):
         system, root = files(uri)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for shard, start, n_records in zip(*(c.to_pylist() for c in batch.columns)):
-                out, seen = [], 0
+            for shard, start in zip(*(c.to_pylist() for c in batch.columns)):
+                with system.open_input_stream(f"{root}/{shard:06d}.idx") as stream:
+                    entries = index_entries(stream.read())
                 with system.open_input_stream(f"{root}/{shard:06d}.rec") as stream:
-                    while (payload := read_record(stream)) is not None:
+                    out, place = [], 0
+                    for offset, n_ids, before in entries:
+                        payload = read_record(stream) if place == offset else None
+                        if payload is None:
+                            raise ValueError(f"shard {shard} has no record where its index has one")
+                        place += FRAME + len(payload)
                         doc_id, ids = parse(payload)
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start, seen = start + len(ids), seen + 1
+                        if len(ids) != n_ids:
+                            raise ValueError(f"shard {shard} has a record of another length than its index says")
+                        out.append((doc_id, start + before, n_ids, zlib.crc32(ids.tobytes())))
                         if len(out) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                             out = []
-                if seen != n_records:
-                    raise ValueError(f"shard {shard} has {seen} records of {n_records}")
+                    if read_record(stream) is not None:
+                        raise ValueError(f"shard {shard} has more records than its index")
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    table = spark.createDataFrame(starts, "shard int, start long, n_records long").repartition(max(1, len(starts)), "shard")
+    table = spark.createDataFrame(starts, "shard int, start long").repartition(max(1, len(starts)), "shard")
     return table.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -157,7 +203,8 @@ def token_output(docs: DataFrame, vocab_path: str, uri: str | None = None, end_i
     A null or empty text is the end id alone. Rows that repeat a doc_id each have a record, ordered by text; a null
     doc_id comes first and stays null. An empty table writes no shard and gives an empty table. Other columns are ignored."""
     uri = uri or f"{shared_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
-    return read_records(write_records(docs, vocab_path, uri, end_id), uri)
+    write_records(docs, vocab_path, uri, end_id)
+    return read_records(docs.sparkSession, uri)
 
 
 def op9_token_output(docs: DataFrame, vocab_path: str) -> DataFrame:
