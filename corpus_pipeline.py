@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import read_documents, written
-from unitflow.llm.language_id import language_id
+from unitflow.llm.language_id import labelled, language_id
 from unitflow.llm.line_dedup import line_dedup
 from unitflow.llm.near_dedup import near_components
 from unitflow.llm.packing import pack_documents
@@ -25,7 +25,10 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text or no letter) go; lang becomes the predicted one."""
+    """Documents without a language (null text or no letter) go; lang becomes the predicted one. Where no row is labelled, nothing
+    can be learned: then documents with a letter stay as they are. Rows that repeat a doc_id are judged each by its own text."""
+    if labelled(docs).isEmpty():
+        return docs.filter(F.col("text").rlike("\\p{L}"))
     found = language_id(docs).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 

@@ -1,13 +1,15 @@
 """Language ID by hierarchical discrimination: first the family, then the language within it.
 
 Features are hashed byte trigrams of the whole text, as shares of its trigrams. Linear support vector machines, one
-for each pair of families and one for each pair of languages of a family, vote. They are fitted on the
-driver from a bounded, documented sample of labelled rows: about SAMPLE texts a language, chosen by a hash of
-doc_id; everything else runs in the executors over all rows.
+for each pair of families and one for each pair of languages of a family, vote. They are fitted by one task from
+a bounded, documented sample of labelled rows: at most SAMPLE texts a language and TOTAL in all, chosen by a hash of doc_id and
+text, of the LANGUAGES most frequent languages; everything else runs in the executors over all rows. Only the machines
+come to the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from itertools import combinations
 
@@ -15,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from unitflow.llm.common import map_rows, slices, text_bytes
+from unitflow.llm.common import map_rows, slices, text_bytes, unused
 
 #: Fixed: families of common languages; any other language is in the family "other".
 FAMILIES = {
@@ -25,7 +28,8 @@ FAMILIES = {
     **dict.fromkeys(("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"), "slavic"),
 }
 DIM = 1 << 12
-SAMPLE = 800
+#: Bounds of the sample that the machines are fitted on: texts a language, texts in all, languages.
+SAMPLE, TOTAL, LANGUAGES = 800, 6_400, 64
 SCALE = 64.0
 LETTER = re.compile(rb"[A-Za-z]")
 
@@ -75,6 +79,7 @@ class Model:
     """Pairwise machines in two levels. pairs[k] = (level, first, second): machine k is positive for the first."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
+        """x: features of sample texts; y: the place of each one's language in langs (sorted)."""
         self.langs = langs
         family = {lang: FAMILIES.get(lang, "other") for lang in langs}
         self.families = sorted(set(family.values()))
@@ -135,31 +140,48 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most about `sample` texts of each non-null lang that aren't held out and have a letter."""
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(counts)
-    if not langs:
-        return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    limit = F.create_map(*[F.lit(v) for lang in langs for v in (lang, max(1, min(1 << 20, (sample << 20) // counts[lang])))])
+def labelled(docs: DataFrame) -> DataFrame:
+    """The rows that may be learned from: a non-null lang, a letter, not held out."""
+    return docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
 
-    def work(batches):
+
+def sampled(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> DataFrame:
+    """lang and text of at most `sample` labelled rows of each of the `languages` most frequent languages, `total` in all. A row is
+    chosen by a hash of doc_id and text: first by a threshold that spares the shuffle most rows, then by rank."""
+    rows = labelled(docs).select(F.col("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("pick"), "text")
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("pick").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["texts"] for r in counted.collect()}
+    if not counts:
+        return rows.select("lang", "text").limit(0)
+    most = max(1, min(sample, total // len(counts)))
+    # half as many again as wanted, since the distinct texts are estimated
+    limit = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1 << 20, (3 * most << 19) // max(1, n) + 1))])
+    near = rows.filter(F.pmod(F.col("pick"), F.lit(1 << 20)) < F.element_at(limit, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
+    return near.withColumn("place", place).filter(F.col("place") <= most).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> Model:
+    """A model from the sampled rows. Their features, not their texts, meet in the one task that fits it."""
+
+    def featured(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            rows = [shares(t) for t in texts]
-            used = [np.flatnonzero(r).astype(np.int32) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u.tobytes() for u in used], pa.binary()), pa.array([r[u].tobytes() for r, u in zip(rows, used)], pa.binary())], ["doc_id", "lang", "used", "value"])
+            for part in slices(batch, most=1 << 20):
+                rows = [shares(t) for t in part.column(1).to_pylist()]
+                used = [np.flatnonzero(r).astype(np.int32) for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in used], pa.binary()), pa.array([r[u].tobytes() for r, u in zip(rows, used)], pa.binary())], ["lang", "used", "value"])
+
+    def fitted(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "used", "value"))))
+        langs = sorted({r[0] for r in rows})
+        x = np.zeros((len(rows), DIM), np.float32)
+        for i, (_, used, value) in enumerate(rows):
+            x[i, np.frombuffer(used, np.int32)] = np.frombuffer(value, np.float32)
+        return pa.table({"model": pa.array([pickle.dumps(Model(langs, x, np.array([langs.index(r[0]) for r in rows])))], pa.binary())})
 
-    chosen = labelled.filter(share < F.element_at(limit, F.col("lang")))
-    rows = map_rows(chosen, [F.col("doc_id").cast("long").alias("doc_id"), "lang", text_bytes()], work, "doc_id long, lang string, used binary, value binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"], r["used"], r["value"]))
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["used"], np.int32)] = np.frombuffer(r["value"], np.float32)
-    found = sorted({r["lang"] for r in rows})
-    return Model(found, x, np.array([found.index(r["lang"]) for r in rows]))
+    rows = map_rows(sampled(docs, sample, total, languages), ["lang", text_bytes()], featured, "lang string, used binary, value binary")
+    found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fitted, "model binary").first()
+    return pickle.loads(found[0]) if found else Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -167,19 +189,20 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     lang_pred is a lang value that was learned, or und for a null text or one without a letter (score 0). Without
     any labelled row all are und. Rows are independent: repeated rows get equal results; a null doc_id is allowed;
-    an empty table gives an empty table. Predictions see the text alone."""
+    an empty table gives an empty table. Predictions see the text alone, the whole of it at any length. Of equal votes the
+    greater sum of margins wins, then the later name."""
     docs = docs.drop("held_out", "lang_pred", "score")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
-    names = docs.columns
+    names, own_text = docs.columns, unused([*docs.columns, "held_out"], "own_text")[0]
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
-                pred = model.value.predict(part.column("_text").to_pylist())
+            for part in slices(batch, own_text, 1 << 20):
+                pred = model.value.predict(part.column(own_text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in (*names, "held_out")), pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())], [*names, "held_out", "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    full = docs.withColumn("held_out", held_out()).withColumn("_text", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    full = docs.withColumn("held_out", held_out()).withColumn(own_text, F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return full.mapInArrow(work, f"{fields}, held_out boolean, lang_pred string, score double")
 
 
