@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import ASCII_SPACE, drop_written, small_or_not, written
+from unitflow.llm.common import ASCII_SPACE, drop_written, join_small, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,27 +49,27 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     # keys of enough lines hold those of enough documents; only for these are documents counted exactly
     often = written(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).drop("n"), "line-keys")
-    hits = written(lines.join(small_or_not(often, 16), ["h1", "h2"]).groupBy("h1", "h2", "doc_id", "of").agg(F.collect_list("pos").alias("pos")), "line-hits")
+    hits = written(join_small(lines, often, ["h1", "h2"], 16, ["doc_id", "of", "pos"]).groupBy("h1", "h2", "doc_id", "of").agg(F.collect_list("pos").alias("pos")), "line-hits")
     drop_written(often)
     per_doc = hits.select("h1", "h2", "doc_id").distinct()
     frequent = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= min_docs).drop("n")
     dropped = (
-        hits.join(frequent, ["h1", "h2"])
+        join_small(hits, written(frequent, "line-frequent"), ["h1", "h2"], 24, ["doc_id", "of"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
         .groupBy("doc_id", "of")
-        .agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("drop_at"))
-        .withColumnsRenamed({"doc_id": "drop_id", "of": "drop_of"})
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
     )
-    lines, drop = F.split(text, "\n", -1), F.array_distinct("drop_at")
-    found = F.col("drop_at").isNotNull()
+    name = unused(docs.columns, "dropped")[0]
+    lines, drop = F.split(text, "\n", -1), F.col(f"{name}.at")
+    found = drop.isNotNull()
     return (
-        docs.withColumn("_of", F.xxhash64(text))
-        .join(dropped, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("_of") == F.col("drop_of")), "left")
-        .withColumn("drop_at", F.when(found, drop))
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.when(found, F.size("drop_at")).otherwise(0).cast("long"))
-        .withColumn("kept_text", F.when(found, _kept(lines, F.col("drop_at"))).otherwise(text))
-        .select(*docs.columns, "n_lines", "n_dropped", "kept_text")
+        docs.join(dropped.select(F.struct("doc_id", "of", "at").alias(name)), F.col("doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(text) == F.col(f"{name}.of")), "left")
+        .select(
+            *docs.columns,
+            F.size(lines).cast("long").alias("n_lines"),
+            F.when(found, F.size(drop)).otherwise(0).cast("long").alias("n_dropped"),
+            F.when(found, _kept(lines, drop)).otherwise(text).alias("kept_text"),
+        )
     )
 
 
