@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets are one class; only class representatives go on. A bucket of a band is not
 expanded into pairs: first every member is verified against one centre of the bucket; what is linked so needs
-no further pair. Small buckets are then paired between members still in different components. The members of
-large ones that still hold several components are dealt anew, exactly, by their rarest shingles (prefix filter),
-with the places they stand at, and paired where components still differ. So a group of copies costs about its size, and
-no link is lost that a shared band can show. At likeness 0.8 a pair shares no band with a probability below 1e-7.
+no further pair. Buckets that then still hold several components are taken further: small ones are paired between members in
+different components, large ones have more centres tried. The members of large ones that hold several components even then are
+dealt anew, exactly, by their rarest shingles (prefix filter), with the places they stand at, and paired where components still
+differ. So a group of copies costs about its size, and no link is lost that a shared band can show. At likeness 0.8 a pair
+shares no band with a probability below 1e-7. Components are worked out once; later links only join components that exist.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import map_rows, slices, text_bytes, written
-from unitflow.llm.components import components
+from unitflow.llm.common import drop_written, join_small, map_rows, slices, text_bytes, written
+from unitflow.llm.components import components, joined
 from unitflow.llm.hashing import GOLDEN, hash_words, join, mix, step, windows
 
 BANDS, ROWS = 32, 4
 #: Buckets of so many members are paired directly: a bounded number of pairs a member.
 SMALL = 16
-#: Rounds of verification against centres before any pairing; more rounds leave fewer pairs, and none decides a result.
+#: Centres that a large bucket is verified against before any pairing; more leave fewer pairs, and none decides a result.
 STARS = 3
 
 
@@ -108,8 +109,10 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 #: Sizes of sets are classed by powers of this.
 RATIO = 1.05
-#: Cells of the table of counts that orders items.
+#: Cells of the table of counts that orders items: a byte each.
 CELLS = 1 << 20
+#: Rows of a key that one task pairs with the rest of the key.
+CHUNK = 4096
 #: Longs of a set's parity bitmap, and the columns that hold them.
 BITS = 9
 PARITY = [f"s{k}" for k in range((1 << BITS) // 64)]
@@ -149,16 +152,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, id) with their component's label, and n, of buckets that still hold several components."""
-    now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    now = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
     several = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-    return written(now.join(several, "key"), "open-buckets")
+    several = written(several, "several")
+    found = written(join_small(now, several, ["key"], 16, ["id"]), "open-buckets")
+    drop_written(now)
+    drop_written(several)
+    return found
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """One centre a bucket, by a hash of its id that differs by turn, paired with the members of other components."""
-    by = F.xxhash64(F.lit(turn), F.col("id"))
-    centre = members.groupBy("key").agg(F.min_by(F.struct("id", "label"), by).alias("c"))
-    return members.join(centre, "key").filter("id <> c.id and label <> c.label").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+def _stars(members: DataFrame, turns: range) -> DataFrame:
+    """For each turn one centre a bucket, by a hash of its id and the turn, paired with the members of other components."""
+    by = lambda turn: F.xxhash64(F.lit(turn), F.col("id"))
+    centres = members.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "label"), by(t)) for t in turns]).alias("cs"))
+    centres = written(centres.select("key", F.explode(F.array_distinct("cs")).alias("c")), "centres")
+    return join_small(members, centres, ["key"], 32, ["id"]).filter("id <> c.id and label <> c.label").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -166,6 +174,30 @@ def _pairs(members: DataFrame) -> DataFrame:
     return members.alias("x").join(members.alias("y"), "key").filter("x.label < y.label").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def rarity(sets: DataFrame) -> bytes:
+    """How often items occur, by cell of their hash: a byte each, 0 for never, 1 for once, then 8 a doubling. One size at any input;
+    the sums are made by cell over all tasks, and one row of CELLS bytes comes to the driver."""
+
+    def counted(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            items = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)] or [np.zeros(0, np.uint64)])
+            total += np.bincount((items % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        for k in range(0, len(cells), 100_000):
+            some = cells[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        out = np.zeros(CELLS, np.uint8)
+        out[table.column("cell").to_numpy()] = np.minimum(255, 1 + 8 * np.log2(table.column("n").to_numpy())).astype(np.uint8)
+        return pa.table({"counts": pa.array([out.tobytes()], pa.binary())})
+
+    cells = sets.select("items").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = cells.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(packed, "counts binary").first()
+    return found[0] if found else bytes(CELLS)
+
+
 def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets in different components that a prefix filter with places leaves; no linked pair is lost.
 
@@ -177,21 +209,12 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     places and don't meet. Where one component has most of a bucket, only the others are paired with it. Linked sets differ in
     at most (100 - percent) * (|x| + |y|) / (100 + percent) items, so a pair whose parity bitmaps differ in more bits is none."""
 
-    # the order: by the count of an item's cell among CELLS, then by item. Any order is exact; this one is nearly by rarity, and
-    # its table has one size at any input
-    def counted(batches):
-        for batch in batches:
-            cells, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]) % np.uint64(CELLS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
-
-    table = sets.select("items").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    held = sets.sparkSession.sparkContext.broadcast(counts)
+    # the order: by the count of an item's cell among CELLS, then by item. Any order is exact; this one is nearly by rarity
+    held = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     def dealt(batches):
         need = lambda m: -(-percent * m // (100 + percent))
-        cells = held.value
+        cells = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             listed, maps = [], []
             for i, items, label in zip(*(batch.column(c).to_pylist() for c in ("id", "items", "label"))):
@@ -221,16 +244,23 @@ def _rare(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     labelled = sets.join(labels, "id", "left").select("id", "items", F.coalesce("label", "id").alias("label"))
     rows = labelled.mapInArrow(dealt, "key long, id long, label long, n long, place long, larger long, " + ", ".join(f"{c} long" for c in PARITY))
     rows = written(rows, "rare-items")
+    held.destroy()
     per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max("larger").alias("hi"), F.min("larger").alias("lo"))
-    mixed = per_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).filter("labels > 1 and lo = 0 and hi = 1").select("key", "most")
-    rows = written(rows.join(mixed, "key"), "rare-buckets")
-    x, y = rows.filter("larger = 1").alias("x"), rows.filter("larger = 0").alias("y")
+    mixed = per_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max("hi").alias("hi"), F.min("lo").alias("lo")).filter("labels > 1 and lo = 0 and hi = 1")
+    mixed = written(mixed.select("key", "most", F.ceil(F.col("k") / CHUNK).cast("int").alias("parts")), "rare-keys")
+    kept = written(join_small(rows, mixed, ["key"], 24, ["id"]), "rare-buckets")
+    drop_written(rows)
+    drop_written(mixed)
+    # a hot key's larger sets are split into parts, and each part meets all its smaller ones
+    x = kept.filter("larger = 1").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
+    y = kept.filter("larger = 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     fits = f"x.label <> y.label and y.n <= x.n and 100 * y.n >= {percent} * x.n and {100 + percent} * (1 + least(x.n - 1 - x.place, y.n - 1 - y.place)) >= {percent} * (x.n + y.n)"
     differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
     fits += f" and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    others = x.join(y.filter("label <> most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
-    with_most = x.filter("label <> most").join(y.filter("label = most"), (F.col("x.key") == F.col("y.key")) & F.expr(fits)).select(*pair)
+    others = x.join(y.filter("label <> most"), same & F.expr(fits)).select(*pair)
+    with_most = x.filter("label <> most").join(y.filter("label = most"), same & F.expr(fits)).select(*pair)
     return others.unionByName(with_most).distinct()
 
 
@@ -247,34 +277,36 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     known = signed.filter("doc_id is not null and set_key is not null")
     classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("id", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = written(buckets.join(shared, "key"), "buckets")
+    shared = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
+    members = written(join_small(buckets, shared, ["key"], 8, ["id"]), "buckets")
     sets = written(_sets(docs.filter("doc_id is not null"), members.select("id").distinct(), width), "sets")
 
     # a doc_id with texts of several classes ties these together
     several = known.withColumn("h", F.xxhash64("set_key")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key")
-    links = written(ties.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links")
-
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        both = written(_linked(pairs, sets, percent).unionByName(links), "links")
-        return both, components(both)
+    ties = ties.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    links, labels = linked(_stars(members.withColumn("label", F.col("id")), 0))
+    links = written(_linked(_stars(members.withColumn("label", F.col("id")), range(1)), sets, percent).unionByName(ties), "links")
+    labels = components(links)
     left = _open(members, labels)
-    for turn in range(1, STARS):
-        links, labels = linked(_stars(left, turn))
-        left = _open(left.select("key", "id"), labels)
-    links, labels = linked(_pairs(left.filter(F.col("n") <= SMALL)))
-    large = _open(left.filter(F.col("n") > SMALL).select("key", "id"), labels)
-    links, labels = linked(_rare(sets.join(large.select("id").distinct(), "id", "left_semi"), labels, percent))
+    small, large = left.filter(F.col("n") <= SMALL), left.filter(F.col("n") > SMALL)
+    if not left.isEmpty():
+        pairs = _pairs(small)
+        if STARS > 1:
+            pairs = pairs.unionByName(_stars(large, range(1, STARS))).distinct()
+        labels = joined(labels, written(_linked(pairs, sets, percent), "links"))
+        large = _open(large.select("key", "id"), labels)
+        if not large.isEmpty():
+            labels = joined(labels, written(_linked(_rare(sets.join(large.select("id").distinct(), "id", "left_semi"), labels, percent), sets, percent), "links"))
 
     ids = known.select("set_key", "doc_id").distinct().join(classes.select("set_key", "id"), "set_key").join(labels, "id", "left")
-    joined = ids.select("doc_id", F.coalesce("label", "id").alias("label"))
-    joined = joined.groupBy("doc_id").agg(F.min("label").alias("component_id")).withColumnRenamed("doc_id", "known_id")
+    joined_ids = ids.select("doc_id", F.coalesce("label", "id").alias("label"))
+    joined_ids = written(joined_ids.groupBy("doc_id").agg(F.min("label").alias("component_id")).withColumnRenamed("doc_id", "known_id"), "component-ids")
+    for table in (classes, shared, members, sets, links, left, labels):
+        drop_written(table)
     return (
         signed.select("doc_id", "n_shingles")
-        .join(joined, F.col("doc_id") == F.col("known_id"), "left")
+        .join(joined_ids, F.col("doc_id") == F.col("known_id"), "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
