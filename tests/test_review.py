@@ -35,5 +35,5 @@ def test_answers():
     assert models.decoded('{"purpose": "p"}', "summary") == {"purpose": "p", "behavior": "", "invariants": [], "security": []}
     with pytest.raises(ValueError, match="no json"):
         models.decoded("no json", "issues")
-    assert models.display("", "a\n```ts\nf(x)\n```\nb") == ("f(x)", "a\n\nb")
+    assert models.display("", "a\n```ts\nf(x)\n```\nb") == ("f(x)", "a\nb")
     assert models.display("s", "```\nx\n```") == ("s", "```\nx\n```") and models.display("", "``````") == ("", "``````")

@@ -40,12 +40,14 @@ class HttpClient:
 
 @dataclass
 class KeyedClient:
-    """Answers by pass and id, since tasks have no order; otherwise an empty list of issues."""
+    """Answers by pass and id, since tasks have no order; otherwise by the kind of answer; otherwise an empty list of issues."""
 
     answers: dict[tuple[str, str], str] = field(default_factory=dict)
+    others: dict[str, str] = field(default_factory=dict)
 
     def complete(self, request: dict) -> str:
-        return self.answers.get((request["pass"], request["id"]), '{"issues": []}')
+        other = self.others.get(request["schema"]["name"], '{"issues": []}')
+        return self.answers.get((request["pass"], request["id"]), other)
 
 
 def _object(properties: dict, required: list[str]) -> dict:
@@ -58,67 +60,44 @@ _ISSUE = {"function": _STRING, "line": {"type": "integer"}, "code": _STRING, "se
 ISSUES = {"name": "issues", "schema": _object({"issues": {"type": "array", "items": _object(_ISSUE, [k for k in _ISSUE if k != "suggestion"])}}, ["issues"])}
 
 
+def _typed(value, kind, what: str):
+    """The value if it is of the kind; null and what is missing are empty."""
+    if value is None:
+        return kind()
+    if not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
+        raise ValueError(f"{what} is no {kind.__name__}")
+    return value
+
+
+def _fields(value, kinds: dict, what: str) -> dict:
+    """An object's fields by name in any case; of names that differ only in case the last counts; other fields are ignored."""
+    found = {k.lower(): v for k, v in _typed(value, dict, what).items()}
+    out = {}
+    for name, kind in kinds.items():
+        held = _typed(found.get(name), list if kind is list else kind, f"{what}.{name}")
+        out[name] = [_typed(x, str, f"{what}.{name}") for x in held] if kind is list else held
+    return out
+
+
 def decoded(content: str, kind: str) -> dict:
-    """A summary or issues with every field there; malformed content raises with its raw text."""
+    """A summary or issues with every field there; content that is no JSON or has a field of another type raises with its raw text."""
     try:
         value = json.loads(content)
-        text = lambda v, k: str(v.get(k) or "")
         if kind == "summary":
-            return {"purpose": text(value, "purpose"), "behavior": text(value, "behavior"), "invariants": [str(x) for x in value.get("invariants") or []], "security": [str(x) for x in value.get("security") or []]}
-        return {"issues": [{k: int(i.get(k) or 0) if k == "line" else text(i, k) for k in _ISSUE} for i in value.get("issues") or []]}
-    except (ValueError, AttributeError, TypeError) as error:
+            return _fields(value, {"purpose": str, "behavior": str, "invariants": list, "security": list}, "summary")
+        listed = {k.lower(): v for k, v in _typed(value, dict, "answer").items()}.get("issues")
+        return {"issues": [_fields(i, {k: int if k == "line" else str for k in _ISSUE}, "issue") for i in _typed(listed, list, "issues")]}
+    except (ValueError, TypeError) as error:
         raise ValueError(f"failed to parse response: {error}: {content}") from error
 
 
 def display(signature: str, doc: str) -> tuple[str, str]:
-    """Without a signature, the first line of doc's first fenced block is it, and the block leaves doc."""
-    parts = doc.split("```", 2)
-    if not signature.strip() and len(parts) == 3 and "\n" in parts[1]:
-        lines = parts[1].split("\n")[1:]
-        if lines and lines[0].strip():
-            signature, doc = lines[0].strip(), parts[0] + parts[2]
+    """Both trimmed. Without a signature, the first line of doc's first fenced block is it, and the block leaves doc; a block that is
+    empty, open, or begins with a blank line changes nothing."""
+    signature, doc = signature.strip(), doc.strip()
+    lines = doc.split("\n")
+    fences = [k for k, line in enumerate(lines) if line.strip().startswith("```")][:2]
+    if not signature and len(fences) == 2 and fences[1] > fences[0] + 1 and lines[fences[0] + 1].strip():
+        signature = lines[fences[0] + 1].strip()
+        doc = "\n".join(lines[: fences[0]] + lines[fences[1] + 1 :]).strip()
     return signature, doc
-
-
-#: The blocks of each pass, and what it asks for.
-TASKS = {
-    "summary": (("receiver", "callees", "externals"), "Summarise what this code is for, how it behaves, what it keeps true, and what matters for security."),
-    "baseline": (("receiver", "summary"), "Look for clear defects: wrong results, crashes, unhandled errors, leaked resources."),
-    "correctness": (("receiver", "summary", "callees", "externals"), "Check the logic: edge cases, misuse of what is called, broken promises, wrong error handling."),
-    "concurrency": (("receiver", "summary", "callees", "externals"), "Check for races, deadlocks, and state shared without protection."),
-    "security": (("receiver", "summary", "callees", "externals"), "Check for injection, missing checks of input or rights, leaked secrets and unsafe calls."),
-    "maintainability": (("receiver", "summary"), "Look for needless complexity, misleading names and duplicated logic."),
-}
-
-
-def _told(s: dict) -> str:
-    return "\n".join([f"Purpose: {s['purpose']}", f"Behavior: {s['behavior']}", *[f"Invariant: {x}" for x in s.get("invariants") or []], *[f"Security: {x}" for x in s.get("security") or []]])
-
-
-def _method(m: dict) -> str:
-    signature, doc = display(m.get("signature") or "", m.get("doc") or "")
-    return f"- {m['name']} `{signature}` {' '.join(doc.split())}".rstrip()
-
-
-def render(ctx: dict, task: str, blocks) -> str:
-    """The request about one unit: its functions, then the named blocks where the context has them."""
-    out = [task, ""]
-    for f in ctx["functions"]:
-        owner = f" of {f['receiver']}" if f.get("receiver") else ""
-        out += [f"## {f['name']}{owner} in {f['package']}", f.get("doc") or "", f"```{ctx['language']}", f.get("body") or "", "```", ""]
-    receiver = ctx.get("receiver")
-    if "receiver" in blocks and receiver:
-        signature, doc = display(receiver.get("signature") or "", receiver.get("doc") or "")
-        out += [f"## Its {receiver['kind']} {receiver['name']} {signature}".rstrip(), doc, receiver.get("body") or "", *([_told(receiver["summary"])] if receiver.get("summary") else []), *map(_method, receiver.get("methods") or []), ""]
-    if "summary" in blocks and ctx.get("summary"):
-        out += ["## Summary", _told(ctx["summary"]), ""]
-    if "callees" in blocks:
-        out += [x for c in ctx.get("callees") or [] for x in (f"## It calls {c['unit_id']}", _told(c["summary"]), "")]
-    if "externals" in blocks:
-        out += [x for e in ctx.get("externals") or [] for x in (f"## It calls {e['package']}.{e['name']} `{e['signature']}`", e.get("doc") or "", "")]
-    return "\n".join(out)
-
-
-def render_type(ctx: dict) -> str:
-    signature, doc = display(ctx.get("signature") or "", ctx.get("doc") or "")
-    return "\n".join(["Summarise what this type is for, how it behaves, what it keeps true, and what matters for security.", "", f"## {ctx['kind']} {ctx['name']} in {ctx['package']} {signature}".rstrip(), doc, f"```{ctx['language']}", ctx.get("body") or "", "```", *map(_method, ctx.get("methods") or [])])

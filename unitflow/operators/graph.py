@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.functions.tables import written
+from unitflow.operators.lookups import placed
 
-#: Graphs of at most so many edges go through one task in exact order; larger ones through joins.
+#: Graphs of at most so many edges and nodes go through one task; larger ones through joins, with the same result.
 EXACT_EDGES = 1_000_000
 
 
@@ -49,8 +50,8 @@ def tarjan(graph: dict[str, list[str]]) -> list[list[str]]:
 
 
 def components(nodes: DataFrame, edges: DataFrame, exact_edges: int = EXACT_EDGES) -> DataFrame:
-    """nodes (fn_id) and edges (caller, callee, ord) to (fn_id, scc, ordinal): scc is the least member; ordinal the callees-first
-    place; graphs beyond exact_edges are condensed by joins and ordered by (level, scc)."""
+    """nodes (fn_id) and edges (caller, callee, ord) to (fn_id, scc, ordinal): scc is the least member; ordinal its
+    place by (level, scc), so callees first. Graphs beyond exact_edges are condensed by joins, with the same result."""
     edges = written(edges.join(nodes.select(F.col("fn_id").alias("caller")), "caller", "left_semi").join(nodes.select(F.col("fn_id").alias("callee")), "callee", "left_semi").select("caller", "callee", "ord"))
     if edges.count() > exact_edges or nodes.count() > exact_edges:
         return ordered(written(components_by_joins(nodes, edges)), edges)
@@ -59,7 +60,12 @@ def components(nodes: DataFrame, edges: DataFrame, exact_edges: int = EXACT_EDGE
         graph = {n: [] for n in pdf.loc[pdf.callee.isna(), "caller"]}
         for r in pdf[pdf.callee.notna()].sort_values(["caller", "ord"]).itertuples():
             graph[r.caller].append(r.callee)
-        return pd.DataFrame([(m, scc[0], k) for k, scc in enumerate(tarjan(graph)) for m in scc], columns=["fn_id", "scc", "ordinal"])
+        found = tarjan(graph)
+        of, level = {m: k for k, scc in enumerate(found) for m in scc}, []
+        for k, scc in enumerate(found):  # callees come first
+            level.append(max((level[of[to]] + 1 for m in scc for to in graph[m] if of[to] != k), default=0))
+        order = sorted(range(len(found)), key=lambda k: (level[k], found[k][0].encode()))
+        return pd.DataFrame([(m, found[k][0], place) for place, k in enumerate(order) for m in found[k]], columns=["fn_id", "scc", "ordinal"])
 
     rows = nodes.select(F.col("fn_id").alias("caller"), F.lit(None).cast("string").alias("callee"), F.lit(None).cast("long").alias("ord")).distinct()
     rows = rows.unionByName(edges.select("caller", "callee", F.col("ord").cast("long").alias("ord")))
@@ -71,8 +77,7 @@ def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
     calls = edges.join(of("caller", "unit_id"), "caller").join(of("callee", "to"), "callee").filter("unit_id <> to").groupBy("unit_id").agg(F.collect_set("to").alias("callees"))
     table = members.select(F.col("scc").alias("unit_id")).distinct().join(calls, "unit_id", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
-    placed = levels(written(table)).orderBy("level", "unit_id").select("unit_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    places = members.sparkSession.createDataFrame(placed, "scc string, ordinal long").select("scc", F.col("ordinal").cast("int").alias("ordinal"))
+    places = placed(levels(written(table)), ["level", "unit_id"]).select(F.col("unit_id").alias("scc"), (F.col("place") - 1).alias("ordinal"))
     return members.join(places, "scc").select("fn_id", "scc", "ordinal")
 
 
@@ -142,6 +147,16 @@ def levels(unit_table: DataFrame) -> DataFrame:
     return done
 
 
+def reachable(starts: DataFrame, edges: DataFrame, node: str = "package", to: str = "import") -> DataFrame:
+    """starts (node) and what they lead to over edges (node, to), distinct: one round a step, each from what the last one found."""
+    steps = written(edges.select(node, to).filter(f"{to} is not null").distinct())
+    found = new = written(starts.select(node).filter(f"{node} is not null").distinct())
+    while not new.isEmpty():
+        new = written(steps.join(new, node).select(F.col(to).alias(node)).distinct().join(found, node, "left_anti"))
+        found = written(found.unionByName(new))
+    return found
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All (caller, reached) over one edge or more, by doubling paths."""
     paths = written(edges.select("caller", F.col("callee").alias("reached")).distinct())

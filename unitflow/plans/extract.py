@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from unitflow.functions import languages
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
-from unitflow.operators import graph, ranges
+from unitflow.operators import graph, lookups, ranges
 from unitflow.sources.scip import read_index, with_parsed
 
 #: Fixed: tags of type kinds; others are "type".
@@ -47,6 +49,28 @@ def package_of(parsed: Column) -> Column:
     return F.array_join(F.concat(head, F.transform(inner, lambda x: x["name"])), "/")
 
 
+def linked(functions: DataFrame, types: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """functions (fn_id, package, _owner, ...) with receiver_type, the id of their owner among types (empty for none), as a written
+    table; types (type_id, ...) with methods, the ids of theirs in order."""
+    owners = types.select(F.col("type_id").alias("_type"), F.lit(True).alias("_known"))
+    found = functions.withColumn("_type", F.concat("package", F.lit("."), "_owner")).join(owners, "_type", "left")
+    found = found.withColumn("receiver_type", F.when((F.col("_owner") != "") & F.col("_known"), F.col("_type")).otherwise("")).drop("_type", "_known", "_owner")
+    found = written(found)
+    methods = lookups.listed(found.filter("receiver_type <> ''").withColumnRenamed("receiver_type", "type_id"), "type_id", order, "fn_id", "methods")
+    return found, types.join(methods, "type_id", "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
+
+
+def as_units(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (fn_id, scc, ordinal) and units with callees and externals, of functions (fn_id) and written edges (caller, callee, ord)."""
+    nodes = functions.select("fn_id").distinct()
+    members = written(graph.components(nodes, edges))
+    inside = nodes.select(F.col("fn_id").alias("callee"))
+    outer = edges.join(inside, "callee", "left_anti").join(members.select(F.col("fn_id").alias("caller"), "scc"), "caller")
+    outer = ranges.ordered_distinct(outer.select("scc", F.struct("caller", "ord").alias("_first"), F.col("callee").alias("external")), "scc", "external", "_first")
+    units = graph.units(members, edges.join(inside, "callee", "left_semi").select("caller", "callee", "ord")).join(outer, "scc", "left")
+    return members, units.withColumn("externals", F.coalesce("externals", F.array().cast("array<string>")))
+
+
 def _point(r: Column) -> tuple[Column, Column, Column, Column]:
     long = F.size(r) == 4
     return F.get(r, F.lit(0)), F.get(r, F.lit(1)), F.when(long, F.get(r, F.lit(2))).otherwise(F.get(r, F.lit(0))), F.when(long, F.get(r, F.lit(3))).otherwise(F.get(r, F.lit(2)))
@@ -62,23 +86,66 @@ def _placed(definitions: DataFrame, symbols: DataFrame, last_span: int | None) -
     return ranges.definition_ranges(rows, last_span)
 
 
-def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sources: DataFrame | None = None) -> Extracted:
-    """Reads the indexes at path. globs keep documents by relative path (none: all); sources (doc, text) stands in where an
-    index holds no text. Of symbols met twice the first counts; the rest become warnings."""
-    index = read_index(spark, path)
+def read_sources(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
+    """The files under root with one of these suffixes: filename and text."""
+    glob = "*{" + ",".join(suffixes) + "}" if all(suffixes) else "*"
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(_plain_path(F.col("_metadata.file_path")).alias("filename"), F.col("value").alias("_file"))
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without its scheme and host, percent signs decoded."""
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    return F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _from_disk(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """files (doc, filename, text, root, ...) with _file: what is on disk for those without a text; null where nothing is."""
+    bare = files.filter("text is null and root <> ''")
+    found = None
+    for root in [r[0] for r in bare.select("root").distinct().collect()]:  # one an index
+        if _exists(spark, root):
+            named = F.regexp_extract("filename", "(\\.[^./]*)$", 1)
+            read = read_sources(spark, root, sorted(r[0] for r in bare.filter(F.col("root") == root).select(named).distinct().collect()))
+            found = read if found is None else found.unionByName(read)
+    if found is None:
+        return files.withColumn("_file", F.lit(None).cast("string"))
+    wanted = files.select(_plain_path(F.col("filename")).alias("filename")).distinct()
+    found = found.join(wanted, "filename", "left_semi").groupBy("filename").agg(F.max("_file").alias("_file")).withColumnRenamed("filename", "_name")
+    return files.join(found, _plain_path(F.col("filename")) == F.col("_name"), "left").drop("_name")
+
+
+def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sources: DataFrame | None = None, root: str = "") -> Extracted:
+    """Reads the indexes at path; see extract_index."""
+    return extract_index(spark, read_index(spark, path), globs, sources, root)
+
+
+def extract_index(spark: SparkSession, index: dict[str, DataFrame], globs: list[str] | None = None, sources: DataFrame | None = None, root: str = "") -> Extracted:
+    """An index as the tables that read_index gives. globs keep documents by relative path (none: all); root stands for the project
+    root that an index names. Where an index holds no text, or its text ends before a definition, sources (doc, text) stand in,
+    else the files under the root. Of symbols met twice the first counts; the rest become warnings."""
     kept = T.matches_any(F.col("doc"), globs or [])
     key = F.concat_ws("\n", "path", "doc").alias("doc")
     files = index["documents"].filter(kept)
+    at_root = F.lit(root) if root else T.strip_file_uri(F.coalesce("root", F.lit("")))
+    shown = F.when(at_root == "", F.col("doc")).otherwise(F.concat(F.rtrim(at_root, F.lit("/")), F.lit("/"), "doc"))
+    files = files.select(key, F.col("doc").alias("relative"), F.col("path").alias("_path"), F.col("ord").alias("doc_ord"), F.coalesce("language", F.lit("")).alias("language"), F.nullif("text", F.lit("")).alias("text"), at_root.alias("root"), shown.alias("filename"))
     if sources is not None:
-        files = files.join(sources.select("doc", F.col("text").alias("_file")), "doc", "left").withColumn("text", F.coalesce(F.nullif("text", F.lit("")), "_file"))
-    root = T.strip_file_uri(F.col("root"))
-    files = written(files.select(key, "language", F.nullif("text", F.lit("")).alias("text"), F.when(root == "", F.col("doc")).otherwise(F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), "doc")).alias("filename")))
+        files = files.join(sources.select(F.col("doc").alias("relative"), F.col("text").alias("_file")), "relative", "left")
+    else:
+        files = _from_disk(spark, written(files))
+    files = written(files.drop("root"))
     uses = written(index["occurrences"].filter(kept & (F.col("symbol") != "")).filter(F.size("range").isin(3, 4)).select(key, "ord", "symbol", "roles", "range", "enclosing"))
     definitions = uses.filter(F.col("roles").bitwiseAND(1) != 0)
 
     last = F.element_at("parsed.descriptors", -1)
-    named = with_parsed(index["symbols"].filter(kept).select("path", key, "doc_ord", "ord", "symbol", "kind", "display", "signature", F.array_join("documentation", "\n\n").alias("documented"))).filter("parsed is not null")
-    named = named.withColumn("class", T.symbol_class(F.col("kind"), last["suffix"])).filter("class is not null")
+    parsed = with_parsed(index["symbols"].filter(kept).select("path", key, "doc_ord", "ord", "symbol", "kind", "display", "signature", F.array_join("documentation", "\n\n").alias("documented"))).filter("parsed is not null")
+    named = parsed.withColumn("class", T.symbol_class(F.col("kind"), last["suffix"])).filter("class is not null")
     wrapper = (F.col("parsed.descriptors")[0]["suffix"] == "Type") & (F.col("parsed.descriptors")[0]["name"] == "impl")
     name = F.when(F.col("display") != "", F.col("display")).when((F.col("class") == "function") | (last["suffix"] == "Type"), last["name"]).otherwise("")
     named = named.withColumn("name", name).filter((F.col("class") == "function") | (~wrapper & (F.col("name") != "")))
@@ -96,22 +163,20 @@ def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sour
         rows = once.filter(F.col("class") == kind)
         places = written(_placed(definitions, rows, span))
         position = F.struct(F.col("filename").alias("Filename"), F.lit(0).cast("long").alias("Offset"), F.coalesce(F.col("at.line") + 1, F.lit(0)).cast("long").alias("Line"), F.coalesce(F.col("at.char") + 1, F.lit(0)).cast("long").alias("Column"))
-        full = rows.join(files, "doc", "left").join(at, ["doc", "symbol"], "left").join(places, ["doc", "symbol"], "left")
-        return full.withColumn("body", T.slice_lines(F.col("text"), F.col("start_line"), F.col("end_line"), F.col("end_char"))).withColumn("position", position), places
+        full = rows.join(files.drop("doc_ord"), "doc", "left").join(at, ["doc", "symbol"], "left").join(places, ["doc", "symbol"], "left")
+        body = F.coalesce(*[T.slice_lines(F.col(c), F.col("start_line"), F.col("end_line"), F.col("end_char")) for c in ("text", "_file")])
+        return full.withColumn("body", body).withColumn("position", position), places
 
     found, places = bodies("function", None)
-    note = F.when(F.col("start_line").isNull(), F.concat(F.lit("no definition range for "), "symbol")).when(F.col("body").isNull(), F.concat(F.lit("failed to read source for "), "symbol")).when(F.col("at.bare"), F.concat(F.lit("no enclosing range for "), "symbol", F.lit("; its text reaches to the next function")))
+    note = F.when(F.col("start_line").isNull(), F.concat(F.lit("no definition range for "), "symbol")).when(F.col("body").isNull(), F.concat(F.lit("failed to read source for "), "symbol", F.lit(" at "), "filename")).when(F.col("at.bare"), F.concat(F.lit("no enclosing range for "), "symbol", F.lit("; extracted by span-to-next-function heuristic")))
     found = written(found.select(T.function_id(F.col("package"), F.col("name"), F.col("receiver"), F.col("disambiguator")).alias("fn_id"), "symbol", *order, "package", "name", "receiver", "disambiguator", "signature", F.coalesce("body", F.lit("")).alias("body"), F.col("documented").alias("doc"), "position", note.alias("warning")))
 
     typed, _ = bodies("type", TYPE_SPAN)
     tag = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_TAGS.items() for x in kv]), F.col("kind")), F.lit("type"))
     # of types with one id the last counts
-    newest = typed.select(F.concat("package", F.lit("."), "name").alias("type_id"), F.struct(*order).alias("_at"), F.struct("name", tag.alias("kind"), "package", "signature", F.coalesce("body", F.lit("")).alias("body"), F.col("documented").alias("doc"), "position").alias("t"))
-    newest = newest.groupBy("type_id").agg(F.max_by("t", "_at").alias("t")).select("type_id", "t.*")
-    linked = written(found.withColumn("_type", F.concat("package", F.lit("."), "receiver")).join(newest.select(F.col("type_id").alias("_type"), F.lit(True).alias("_known")), "_type", "left"))
-    functions = linked.withColumn("receiver_type", F.when((F.col("receiver") != "") & F.col("_known"), F.col("_type")).otherwise("")).drop("_type", "_known")
-    methods = functions.filter("receiver_type <> ''").groupBy(F.col("receiver_type").alias("type_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "fn_id"))), lambda x: x["fn_id"]).alias("methods"))
-    types = newest.join(methods, "type_id", "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
+    newest = typed.select(F.concat("package", F.lit("."), "name").alias("type_id"), *order, "name", tag.alias("kind"), "package", "signature", F.coalesce("body", F.lit("")).alias("body"), F.col("documented").alias("doc"), "position")
+    newest = lookups.last_of(newest, ["type_id"], ["path", "doc_ord", "ord"], ["name", "kind", "package", "signature", "body", "doc", "position"])
+    functions, types = linked(found.withColumn("_owner", F.col("receiver")), newest, ["path", "doc_ord", "ord"])
 
     # references: to functions of the index by id, to others by symbol where they are callable
     known = functions.select("symbol", "fn_id")
@@ -125,17 +190,10 @@ def extract(spark: SparkSession, path: str, globs: list[str] | None = None, sour
     targets = known.withColumnRenamed("fn_id", "callee").unionByName(externals.select("symbol", F.col("ext_id").alias("callee")))
     held = places.join(known.withColumnRenamed("fn_id", "caller"), "symbol").drop("symbol")
     calls = ranges.contained(refs.join(targets, "symbol").drop("symbol"), held).filter("caller <> callee")
-    place = files.select("doc", F.xxhash64("doc").alias("_doc")).join(index["documents"].select(key, F.col("ord").alias("doc_ord")), "doc")
-    first = calls.join(place, "doc").groupBy("caller", "callee").agg(F.min(F.struct("doc_ord", "doc", "ord")).alias("_at"))
-    from pyspark.sql.window import Window
-
+    first = calls.join(files.select("doc", "doc_ord"), "doc").groupBy("caller", "callee").agg(F.min(F.struct("doc_ord", "doc", "ord")).alias("_at"))
     edges = written(first.withColumn("ord", F.row_number().over(Window.partitionBy("caller").orderBy("_at")).cast("long")).select("caller", "callee", "ord"))
-    nodes = functions.select("fn_id").distinct()
-    members = written(graph.components(nodes, edges))
-    inner = edges.join(nodes.select(F.col("fn_id").alias("callee")), "callee", "left_semi").select("caller", "callee", "ord")
-    outer = ranges.ordered_distinct(edges.join(nodes.select(F.col("fn_id").alias("callee")), "callee", "left_anti").join(members.select(F.col("fn_id").alias("caller"), "scc"), "caller").select("scc", F.struct("caller", "ord").alias("_first"), F.col("callee").alias("external")), "scc", "external", "_first")
-    units = graph.units(members, inner).join(outer, "scc", "left").withColumn("externals", F.coalesce("externals", F.array().cast("array<string>")))
-    languages = files.filter("language <> ''").select(F.lit(0).alias("_all"), "language")
-    language = ranges.majority(languages, "_all", "language").select("language")
+    members, units = as_units(functions, edges)
+    places_of = F.struct("path", "doc_ord", "ord")
+    language = languages.pick(files.select(F.lit(0).alias("all"), F.col("relative").alias("path"), "language"), parsed.select(F.lit(0).alias("all"), "parsed.scheme", places_of.alias("at")), "all").select("language")
     warnings = doubled.unionByName(functions.filter("warning is not null").select("warning"))
     return Extracted(functions.drop("warning"), types, externals, edges, members, units, warnings, language)

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from unitflow.functions import languages
 from unitflow.functions import text as T
-from unitflow.operators import graph, ranges
+from unitflow.functions.models import KeyedClient
+from unitflow.functions.tables import written
+from unitflow.operators import graph, lookups, ranges
+from unitflow.plans.extract import Extracted, extract_index
+from unitflow.plans.packages import external_functions
+from unitflow.plans.review import Config, Pass, review
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +51,7 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def nation_graph(spark: SparkSession, sf_dir: str):
     nodes, edges = nation_edges(spark, sf_dir)
+    edges = written(edges)  # a row a nation, behind a join of four tables that is made once
     members = graph.components(nodes, edges)
     return nodes, edges, members, graph.units(members, edges)
 
@@ -164,7 +171,7 @@ def event_window_containment(spark, sf_dir):
 @query("select min(doc_id) as doc_id, sha256(text) as text_sha256 from documents group by text")
 def first_wins_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    return docs.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
+    return lookups.first_of(docs, ["text_sha256"], ["doc_id"], ["doc_id"])
 
 
 @query("select doc_id from (select doc_id, row_number() over (partition by text order by doc_id) as k from documents) where k > 1")
@@ -175,7 +182,7 @@ def dup_warnings(spark, sf_dir):
 
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
 def last_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    return lookups.last_of(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], ["event_id", "event_type"])
 
 
 @query("select source, lang from (select source, lang, row_number() over (partition by source order by count(*) desc, lang) as k from documents group by source, lang) where k = 1")
@@ -186,8 +193,7 @@ def majority_language(spark, sf_dir):
 @query("select n_name, string_agg(c_name, ',' order by c_custkey) as methods from customer join nation on n_nationkey = c_nationkey group by n_name")
 def method_type_link(spark, sf_dir):
     named = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    methods = named.groupBy("n_name").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("m"))
-    return methods.select("n_name", F.array_join(F.transform("m", lambda x: x["c_name"]), ",").alias("methods"))
+    return lookups.listed(named, "n_name", ["c_custkey"], "c_name", "methods").withColumn("methods", F.array_join("methods", ","))
 
 
 @query("select a.s_suppkey, count(b.s_suppkey)::bigint as n_siblings, coalesce(min(b.s_name), '') as first_sibling from supplier a left join supplier b on b.s_nationkey = a.s_nationkey and b.s_suppkey <> a.s_suppkey group by 1")
@@ -241,20 +247,20 @@ def content_hash(spark, sf_dir):
 
 @query("select case when l.doc_id is null then 'miss' else 'hit' end as state, count(*)::bigint as n from documents d left join labels l on l.doc_id = d.doc_id group by 1")
 def cache_split(spark, sf_dir):
-    cached = table(spark, sf_dir, "labels").select("doc_id").withColumn("hit", F.lit(1))
-    both = table(spark, sf_dir, "documents").select("doc_id").join(cached, "doc_id", "left")
+    cache = table(spark, sf_dir, "labels").select("doc_id").withColumn("hit", F.lit(1))
+    both = lookups.cached(table(spark, sf_dir, "documents").select("doc_id"), cache, "doc_id", "hit")
     return both.groupBy(F.when(F.col("hit").isNull(), "miss").otherwise("hit").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def resume_remaining(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return lookups.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("select n_nationkey, pass, ord from nation, (values ('baseline', 1), ('security', 3)) as p(pass, ord)")
 def units_x_passes(spark, sf_dir):
     passes = spark.createDataFrame([("summary", 0, True), ("baseline", 1, True), ("correctness", 2, False), ("security", 3, True)], "pass string, ord int, enabled boolean")
-    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(passes.filter("enabled and pass <> 'summary'").select("pass", "ord")))
+    return lookups.with_passes(table(spark, sf_dir, "nation").select("n_nationkey"), passes)
 
 
 @query("select event_id, json_extract(props, '$.k')::bigint as k from events")
@@ -263,11 +269,11 @@ def issue_decode(spark, sf_dir):
 
 
 @query("""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as no, trim(string_split(text, chr(10))[2][1:4]) as code from documents where len(string_split(text, chr(10))) > 1)
-select doc_id, coalesce(arg_min(no, abs(no - 3) * 100000 + no) filter (where contains(line, code)), 3)::int as line from l group by doc_id""")
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as no, regexp_replace(chr(9) || string_split(text, chr(10))[2][1:4] || chr(10), '^[\\s\\x{0085}\\x{00A0}]+|[\\s\\x{0085}\\x{00A0}]+$', '', 'g') as code from documents where len(string_split(text, chr(10))) > 1)
+select doc_id, case when min(code) = '' then 0 else coalesce(arg_min(no, abs(no - 3) * 100000 + no) filter (where contains(line, code)), 3) end::int as line from l group by doc_id""")
 def locate_snippet(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("second", F.get(F.split("text", "\n", -1), F.lit(1))).filter("second is not null")
-    return docs.select("doc_id", T.locate_snippet(F.col("text"), F.substring("second", 1, 4), F.lit(3)).alias("line"))
+    return docs.select("doc_id", T.locate_snippet(F.col("text"), F.concat(F.lit("\t"), F.substring("second", 1, 4), F.lit("\n")), F.lit(3)).alias("line"))
 
 
 SEVERITY = "case when value < 20 then 'critical' when value < 40 then 'high' when value < 60 then 'medium' when value < 80 then 'low' else 'info' end"
@@ -275,16 +281,148 @@ SEVERITY = "case when value < 20 then 'critical' when value < 40 then 'high' whe
 
 @query(f"select {SEVERITY} as severity, count(*)::bigint as n, count(distinct user_id)::bigint as n_units from events group by 1")
 def severity_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.expr(SEVERITY).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_units"))
+    return lookups.issue_counts(table(spark, sf_dir, "events").select("user_id", F.expr(SEVERITY).alias("severity")), "severity", unit="user_id")
 
 
 @query("select user_id, row_number() over (order by min(epoch_us(ts)), user_id)::int as place from events where value < 20 group by user_id")
 def critical_units(spark, sf_dir):
-    first = table(spark, sf_dir, "events").filter("value < 20").groupBy("user_id").agg(F.min("ts").alias("first"))
-    # one row a unit with a critical issue: the report's own list, ordered once
-    return first.select("user_id", F.row_number().over(Window.orderBy("first", "user_id")).alias("place"))
+    issues = table(spark, sf_dir, "events").select("user_id", "ts", F.expr(SEVERITY).alias("severity"))
+    return lookups.placed(lookups.critical_units(issues, "user_id", F.col("ts")), ["first", "user_id"]).select("user_id", "place")
 
 
 @query(f"select distinct event_type as rule, case {SEVERITY} when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level from events")
 def sarif_levels(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), T.sarif_level(F.expr(SEVERITY)).alias("level")).distinct()
+
+
+# documents as the files of a code index: in every block of ten lines, line 0 defines a type, line 3 a function and line 5 a method of
+# the block's type. Lines with an e refer to the function of the block that began at the last line 3, lines 4 with an a to its
+# method, lines 9 to what other packages define.
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.lit("i").alias("path"), F.col("doc_id").cast("int").alias("ord"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("doc"), F.col("lang").alias("language"), "text", F.lit("").alias("root"), "source", "doc_id")
+    lines = docs.select("path", "doc", F.col("ord").alias("doc_ord"), F.size(F.split("text", "\n", -1)).alias("n_lines"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"), F.concat(F.lit("synth m "), "source", F.lit(" v d"), F.col("doc_id").cast("string"), F.lit("/")).alias("head"))
+    lines = lines.withColumn("at", F.col("line") % 10).withColumn("block", F.col("line") - F.col("line") % 10)
+    number = lambda c: c.cast("string")
+    typed = F.concat("head", F.lit("T"), number(F.col("block")), F.lit("#"))
+    function = lambda block: F.concat("head", F.lit("f"), number(block), F.lit("()."))
+    method = F.concat(typed, F.lit("m"), number(F.col("block")), F.lit("()."))
+    defined = F.when(F.col("at") == 0, typed).when(F.col("at") == 3, function(F.col("block"))).when(F.col("at") == 5, method)
+    kind = F.when(F.col("at") == 0, F.when(F.col("block") % 20 == 0, "Struct").otherwise("TypeAlias")).when(F.col("at") == 5, "Method").otherwise("")
+    symbols = lines.filter(defined.isNotNull()).select("path", "doc", "doc_ord", F.col("line").alias("ord"), defined.alias("symbol"), kind.alias("kind"), F.lit("").alias("display"), F.concat(F.lit("sig "), number(F.col("line"))).alias("signature"), F.array(F.lit("doc"), number(F.col("line"))).alias("documentation"))
+    none = F.array().cast("array<int>")
+    place = F.array(F.col("line"), F.lit(0), F.lit(1))
+    last = F.when(F.col("at") >= 3, F.col("block")).otherwise(F.col("block") - 10)
+    target = F.when(F.col("at") == 9, F.concat(F.lit("other m std v lib/x"), number(F.col("block") % 30), F.lit("()."))).when((F.col("at") == 4) & F.contains("body", F.lit("a")) & (F.col("n_lines") > F.col("block") + 5), method).when(F.contains("body", F.lit("e")) & (last >= 0), function(last))
+    occurrence = lambda symbol, roles, ord_: lines.filter(symbol.isNotNull()).select("path", "doc", "doc_ord", ord_.alias("ord"), symbol.alias("symbol"), F.lit(roles).alias("roles"), place.alias("range"), none.alias("enclosing"))
+    uses = occurrence(defined, 1, F.col("line") * 2).unionByName(occurrence(target, 0, F.col("line") * 2 + 1))
+    told = spark.createDataFrame([("i", 0, "other m std v lib/x0().", "Function", "first", "sig a", ["doc a"]), ("i", 1, "other m std v lib/x0().", "Function", "second", "sig b", ["doc b"]), ("i", 2, "other m std v lib/x20().", "Class", "", "", [])], "path string, ord int, symbol string, kind string, display string, signature string, documentation array<string>")
+    return {"documents": docs.drop("source", "doc_id"), "symbols": symbols, "occurrences": uses, "external_symbols": told}
+
+
+def doc_units(spark: SparkSession, sf_dir: str) -> Extracted:
+    return extract_index(spark, doc_index(spark, sf_dir))
+
+
+INDEX = """
+with l as (select doc_id, source, source || '/d' || doc_id as package, string_split(text, chr(10)) as ls, unnest(string_split(text, chr(10))) as body, unnest(range(len(string_split(text, chr(10)))))::int as no from documents),
+b as (select *, no % 10 as spot, no - no % 10 as block from l),
+fns as (
+  select *, case when spot = 3 then package || '.f' || block else package || '.(T' || block || ').m' || block end as fn_id, case when spot = 3 then 'f' || block else 'm' || block end as name,
+    coalesce(lead(no) over (partition by doc_id order by no), 2147483647) as stop from b where spot in (3, 5)),
+types as (select *, package || '.T' || block as type_id, coalesce(lead(no) over (partition by doc_id order by no), no + 200) as stop from b where spot = 0),
+refs as (
+  select doc_id, no, package, case when spot = 9 then 'scip:other m std v lib/x' || (block % 30) || '().' when spot = 4 and contains(body, 'a') and len(ls) > block + 5 then package || '.(T' || block || ').m' || block
+    when contains(body, 'e') and (spot >= 3 or block > 0) then package || '.f' || (case when spot >= 3 then block else block - 10 end) end as callee from b),
+known as (select r.* from refs r left join fns f on f.fn_id = r.callee where f.fn_id is not null or (r.callee like 'scip:%' and r.callee not like '%/x20().')),
+calls as (select f.doc_id, f.fn_id as caller, r.callee, min(r.no) as first_at from known r join fns f on f.doc_id = r.doc_id and f.no <= r.no and r.no < f.stop where f.fn_id <> r.callee group by 1, 2, 3),
+edges as (select doc_id, caller, callee, row_number() over (partition by caller order by first_at) as ord from calls),
+pairs as (select x.caller, x.callee from edges x join edges y on y.caller = x.callee and y.callee = x.caller),
+scc as (select fn_id, least(fn_id, coalesce(min(callee), fn_id)) as scc from fns left join pairs on caller = fn_id group by fn_id),
+named as (select scc, string_agg(fn_id, '+' order by fn_id) as unit_id from scc group by scc),
+outer_calls as (select s.scc, e.callee, min(struct_pack(a := e.caller, b := e.ord)) as first_call from edges e join scc s on s.fn_id = e.caller where e.callee like 'scip:%' group by 1, 2),
+inner_calls as (
+  select a.scc, c.scc as callee_scc, min(struct_pack(a := e.caller, b := e.ord)) as first_call from edges e join scc a on a.fn_id = e.caller join scc c on c.fn_id = e.callee where a.scc <> c.scc group by 1, 2),
+units as (
+  select n.unit_id, n.scc, coalesce((select string_agg(m.unit_id, ',' order by first_call) from inner_calls i join named m on m.scc = i.callee_scc where i.scc = n.scc), '') as callees,
+    coalesce((select string_agg(callee, ',' order by first_call) from outer_calls o where o.scc = n.scc), '') as externals from named n)
+"""
+BODY = "sha256(regexp_replace(array_to_string(list_slice(ls, no + 1, stop), chr(10)), '\\n+$', ''))"
+
+
+@query(INDEX + f"select fn_id, package, name, case when spot = 5 then 'T' || block else '' end as receiver, case when spot = 5 then package || '.T' || block else '' end as receiver_type, 'sig ' || no as signature, 'doc' || chr(10) || chr(10) || no as doc, (no + 1)::bigint as line, {BODY} as body_sha256 from fns")
+def index_functions(spark, sf_dir):
+    return doc_units(spark, sf_dir).functions.select("fn_id", "package", "name", "receiver", "receiver_type", "signature", "doc", F.col("position.Line").alias("line"), F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(INDEX + f"select t.type_id, case when t.block % 20 = 0 then 'struct' else 'type' end as kind, t.package, 'T' || t.block as name, coalesce(f.fn_id, '') as methods, t.body_sha256 from (select *, {BODY} as body_sha256 from types) t left join fns f on f.doc_id = t.doc_id and f.block = t.block and f.spot = 5")
+def index_types(spark, sf_dir):
+    return doc_units(spark, sf_dir).types.select("type_id", "kind", "package", "name", F.array_join("methods", ",").alias("methods"), F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(INDEX + "select caller, callee, ord::bigint as ord from edges")
+def index_edges(spark, sf_dir):
+    return doc_units(spark, sf_dir).edges.select("caller", "callee", "ord")
+
+
+@query(INDEX + "select distinct callee as ext_id, 'std/lib' as package, case when callee like '%/x0().' then 'second' else replace(replace(callee, 'scip:other m std v lib/', ''), '().', '') end as name, case when callee like '%/x0().' then 'sig b' else '' end as signature, case when callee like '%/x0().' then 'doc b' else '' end as doc from known where callee like 'scip:%'")
+def index_externals(spark, sf_dir):
+    return doc_units(spark, sf_dir).externals.select("ext_id", "package", "name", "signature", "doc")
+
+
+@query(INDEX + "select unit_id, callees, externals from units")
+def index_units(spark, sf_dir):
+    return doc_units(spark, sf_dir).units.select("unit_id", F.array_join("callees", ",").alias("callees"), F.array_join("externals", ",").alias("externals"))
+
+
+def doc_review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A review with a client that finds one issue at the first function's line 2 in every unit and pass."""
+    issue = '{"issues": [{"function": "", "line": 2, "code": "", "severity": "low", "message": "m"}]}'
+    summary = '{"purpose": "p", "behavior": "", "invariants": [], "security": []}'
+    client = KeyedClient({}, {"summary": summary, "issues": issue})
+    return review(spark, doc_units(spark, sf_dir), client, Config(passes=[Pass("security"), Pass("summary"), Pass("baseline", enabled=False)]))
+
+
+@query(INDEX + "select u.unit_id, case when u.callees = '' then 0 else 1 end::int as level, 'p' as purpose, count(*)::bigint as n_functions from units u join scc s on s.scc = u.scc group by all")
+def review_units(spark, sf_dir):
+    return doc_review(spark, sf_dir)[0].select("unit_id", F.col("ordinal").alias("level"), "purpose", F.size("functions").cast("long").alias("n_functions"))
+
+
+@query(INDEX + "select u.unit_id, 'security' as category, 'low' as severity, (min_by(f.no, f.fn_id) + 2)::bigint as line from units u join scc s on s.scc = u.scc join fns f on f.fn_id = s.fn_id group by 1")
+def review_issues(spark, sf_dir):
+    return doc_review(spark, sf_dir)[1].select("unit_id", "category", "severity", F.col("position.Line").alias("line"))
+
+
+LABELS = "case lang when 'de' then 'CPP' when 'en' then 'rust' when 'es' then '' else 'Zig' end"
+SUFFIX = "case when doc_id % 3 = 0 then 'ts' when doc_id % 3 = 1 then 'PY' else 'none' end"
+
+
+@query(f"""
+with f as (select source || '/' || lang || (case when lang = 'es' then (doc_id % 2)::varchar else '' end) as project, doc_id, {LABELS} as label, {SUFFIX} as suffix, lang = 'es' and doc_id % 2 = 1 and doc_id % 5 = 0 as schemed from documents),
+labelled as (select project, label, row_number() over (partition by project order by count(*) desc, label) as k from f where label <> '' group by project, label),
+named as (select project, case suffix when 'ts' then 'TypeScript' else 'Python' end as language, row_number() over (partition by project order by count(*) desc, suffix = 'ts') as k from f where suffix <> 'none' group by project, suffix)
+select distinct f.project, coalesce(case l.label when 'CPP' then 'C++' when 'rust' then 'Rust' else l.label end, s.language, n.language) as language
+from f left join labelled l on l.project = f.project and l.k = 1 left join (select distinct project, 'Go' as language from f where schemed) s on s.project = f.project left join named n on n.project = f.project and n.k = 1
+where coalesce(l.label, s.language, n.language) is not null""")
+def language_choice(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("source || '/' || lang || (case when lang = 'es' then cast(doc_id % 2 as string) else '' end)").alias("project"), F.expr(LABELS).alias("language"), F.expr(f"doc_id || '.' || {SUFFIX}").alias("path"), "lang")
+    schemes = docs.filter("lang = 'es' and doc_id % 2 = 1 and doc_id % 5 = 0").select("project", F.col("doc_id").alias("at"), F.lit("scip-go").alias("scheme"))
+    return languages.pick(docs, schemes, "project")
+
+
+CALLS = "select 'p' || (l_partkey % 7) || '.f' || (l_partkey % 50) as caller, 'p' || (l_suppkey % 11) || case when l_suppkey % 2 = 0 then '.(*R).m' else '.g' end || (l_suppkey % 13) as callee, min(l_orderkey) as ord from lineitem group by 1, 2"
+
+
+@query(f"""
+with calls as ({CALLS}), found as (select distinct callee, replace(split_part(callee, '.', 1), 'p', '')::int as n from calls)
+select callee as ext_id, 'p' || n as package, split_part(callee, '.', -1) as name, 'sig ' || split_part(callee, '.', -1) as signature from found where n >= 7 and n <> 9 and split_part(callee, '.', -1) not in ('m4', 'g5')""")
+def package_externals(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    calls = items.groupBy(F.expr("'p' || (l_partkey % 7) || '.f' || (l_partkey % 50)").alias("caller"), F.expr("'p' || (l_suppkey % 11) || case when l_suppkey % 2 = 0 then '.(*R).m' else '.g' end || (l_suppkey % 13)").alias("callee")).agg(F.min("l_orderkey").alias("ord"))
+    own = spark.range(7).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("package"))
+    imports = spark.createDataFrame([("p0", "p7"), ("p7", "p8"), ("p8", "p10"), ("p10", "p0"), ("p9", "p8")], "package string, import string")  # nothing imports p9
+    names = spark.range(11).crossJoin(spark.range(13).withColumnRenamed("id", "k"))
+    symbols = names.select(F.expr("'p' || id").alias("package"), F.explode(F.array(*[F.struct(F.expr(f"'{c}' || k").alias("name"), F.lit(r).alias("receiver")) for c, r in (("m", "R"), ("g", ""))])).alias("x")).select("package", "x.*")
+    symbols = symbols.withColumn("signature", F.when(F.col("name").isin("m4", "g5"), "").otherwise(F.concat(F.lit("sig "), "name"))).withColumn("doc", F.lit("d"))
+    return external_functions(calls, own, symbols, imports).drop("doc")

@@ -1,21 +1,21 @@
 """Reports: tables of units and issues to JSON, Markdown and SARIF.
 
-Counts are aggregations; the documents themselves are made on the driver, since each is one file for people or one tool. Tables
-beyond MOST rows are refused: they belong in Parquet.
+Counts are aggregations; the documents themselves are made on the driver, since each is one file for people or one tool. Rows come
+a partition at a time, but the report is held in memory whole: a review too large for that is read as tables.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import LEVELS, SEVERITIES
+from unitflow.operators import lookups
 
-MOST = 1_000_000
 POSITION = "struct<Filename: string, Offset: long, Line: long, Column: long>"
 FUNCTION = f"struct<package: string, name: string, receiver: string, signature: string, position: {POSITION}>"
 UNITS = f"unit_id string, ordinal int, functions array<{FUNCTION}>, purpose string, behavior string, invariants array<string>, security array<string>"
@@ -23,10 +23,13 @@ ISSUES = f"unit_id string, ord int, position {POSITION}, severity string, catego
 
 
 def _bounded(df: DataFrame) -> list[dict]:
-    rows = df.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} rows: write this table as Parquet")
-    return [r.asDict(recursive=True) for r in rows]
+    """Rows of which there are few at any input: counts by severity and pass."""
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def _rows(df: DataFrame) -> Iterator[dict]:
+    """All rows in turn, a partition at a time."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
 def _present(values: dict, optional: Iterable[str]) -> dict:
@@ -35,9 +38,9 @@ def _present(values: dict, optional: Iterable[str]) -> dict:
 
 def summary(units: DataFrame, issues: DataFrame) -> dict:
     """Totals by severity and category, and units with a critical issue in evaluation order."""
-    counts = _bounded(issues.groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n")))
-    critical = issues.filter("severity = 'critical'").select("unit_id").distinct().join(units.select("unit_id", "ordinal"), "unit_id", "left")
-    out = {"total_issues": sum(c["n"] for c in counts), "by_severity": {}, "by_category": {}, "critical_units": [r["unit_id"] for r in _bounded(critical.orderBy("ordinal", "unit_id"))]}
+    counts = _bounded(lookups.issue_counts(issues, "severity", "category"))
+    critical = lookups.critical_units(issues.join(units.select("unit_id", "ordinal"), "unit_id", "left"), "unit_id", F.col("ordinal"))
+    out = {"total_issues": sum(c["n"] for c in counts), "by_severity": {}, "by_category": {}, "critical_units": [r["unit_id"] for r in _rows(critical.orderBy("first", "unit_id"))]}
     for c in sorted(counts, key=lambda c: (c["severity"], c["category"])):
         for key, name in (("by_severity", c["severity"]), ("by_category", c["category"])):
             out[key][name] = out[key].get(name, 0) + c["n"]
@@ -47,10 +50,10 @@ def summary(units: DataFrame, issues: DataFrame) -> dict:
 def assemble(units: DataFrame, issues: DataFrame, metadata: dict) -> dict:
     """The report as one nested value; units (UNITS) and issues (ISSUES), issues of a unit by ord."""
     found: dict[str, dict] = {}
-    for u in _bounded(units.orderBy("unit_id")):
+    for u in _rows(units.orderBy("unit_id")):
         told = _present({k: u[k] or ([] if k in ("invariants", "security") else "") for k in ("purpose", "behavior", "invariants", "security")}, ("invariants", "security"))
         found[u["unit_id"]] = {"functions": [_present(f, ("receiver",)) for f in u["functions"] or []], "summary": told, "issues": []}
-    for i in _bounded(issues.orderBy("unit_id", "ord")):
+    for i in _rows(issues.orderBy("unit_id", "ord")):
         unit = found.setdefault(i["unit_id"], {"functions": [], "summary": {"purpose": "", "behavior": ""}, "issues": []})
         unit["issues"].append(_present({k: i[k] for k in ("position", "severity", "category", "message", "snippet", "suggestion")}, ("snippet", "suggestion")))
     return {"metadata": {"total_units": len(found)} | metadata, "units": found, "summary": summary(units, issues)}

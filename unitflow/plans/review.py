@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from unitflow.functions import models
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
-from unitflow.operators import graph
+from unitflow.operators import graph, lookups
+from unitflow.plans import prompts
 from unitflow.plans.extract import Extracted
 from unitflow.plans.report import POSITION
 
@@ -28,29 +29,42 @@ FOUND = "struct<issues: array<struct<function: string, line: long, code: string,
 
 @dataclass
 class Pass:
+    """prompt: builtin:NAME or a file; None for the builtin prompt of its name."""
+
     name: str
-    prompt: str = ""
+    prompt: str | None = None
     enabled: bool = True
     llm: dict | None = None
+    inline_prompt: str = ""
+    prompt_dir: str = ""
+
+    def __post_init__(self):
+        if self.prompt is None:
+            self.prompt = "" if self.inline_prompt else f"builtin:{self.name}"
 
 
 @dataclass
 class Config:
+    """state: a folder that all share, where finished levels and answers stay, so that a review that stopped goes on from there;
+    empty for none. prompts: a folder that builtin prompts are read from instead."""
+
     llm: dict = field(default_factory=lambda: {"model": "", "max_tokens": 32768, "temperature": 0.1})
     passes: list[Pass] = field(default_factory=lambda: [Pass(name) for name in ("summary", "baseline")])
     cache: str = ""
+    state: str = ""
+    prompts: str = ""
 
 
 def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str) -> DataFrame:
-    """rows (id, pass, context as JSON) to (id, pass, payload): decoded answers as JSON. settings by pass: prompt, blocks, llm."""
+    """rows (id, pass, context as JSON) to (id, pass, payload): decoded answers as JSON. settings by pass: template, llm."""
 
     def work(batches):
         for batch in batches:
             ids, names, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, name, ctx in zip(ids, names, batch.column(2).to_pylist()):
                 own = settings[name]
-                prompt = models.render_type(json.loads(ctx)) if name == "type_summary" else models.render(json.loads(ctx), own["prompt"], own["blocks"])
-                request = own["llm"] | {"id": i, "pass": name, "prompt": prompt, "schema": models.SUMMARY if kind == "summary" else models.ISSUES}
+                text = prompts.prompt(own["template"], json.loads(ctx), name == "type_summary")
+                request = own["llm"] | {"id": i, "pass": name, "prompt": text, "schema": models.SUMMARY if kind == "summary" else models.ISSUES}
                 out.append(json.dumps(models.decoded(client.complete(request), kind), ensure_ascii=False, separators=(",", ":")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(out, pa.string())], ["id", "pass", "payload"])
 
@@ -59,27 +73,59 @@ def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str) -> D
 
 def _known_or_asked(spark: SparkSession, rows: DataFrame, client: models.Client, settings: dict, cache: str) -> DataFrame:
     """rows (id, pass, context, cache_key) to (id, payload), from the cache where it holds a readable summary."""
-    rows = written(rows)
     if not cache:
-        return written(_ask(rows, client, settings, "summary").select("id", "payload"))
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    held = spark.read.schema(CACHE).parquet(cache).filter(F.from_json("payload", TOLD, {"mode": "PERMISSIVE"})["purpose"].isNotNull())
-    hits = written(rows.select("id", "cache_key").join(held.groupBy("cache_key").agg(F.max("payload").alias("payload")), "cache_key").select("id", "payload"))
-    asked = written(_ask(rows.join(hits, "id", "left_anti"), client, settings, "summary"))
+        return _ask(rows, client, settings, "summary").select("id", "payload")
+    rows = written(rows)
+    held = read_cache(spark, cache).filter(F.from_json("payload", TOLD, {"mode": "PERMISSIVE"})["purpose"].isNotNull())
+    found = written(lookups.cached(rows, held, "cache_key", "payload"))
+    asked = written(_ask(found.filter("payload is null"), client, settings, "summary"))
     rows.join(asked.select("id", "payload"), "id").select("cache_key", "payload").write.mode("append").parquet(cache)
-    return written(hits.unionByName(asked.select("id", "payload")))
+    return found.filter("payload is not null").select("id", "payload").unionByName(asked.select("id", "payload"))
+
+
+def read_cache(spark: SparkSession, cache: str) -> DataFrame:
+    """The cache's rows; a cache that isn't there yet is empty."""
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    return spark.read.schema(CACHE).parquet(cache)
+
+
+def forget(spark: SparkSession, cache: str, keys: DataFrame) -> None:
+    """Deletes the entries of these keys (cache_key); keys that it doesn't hold change nothing."""
+    rest = written(read_cache(spark, cache).join(keys.select("cache_key").distinct(), "cache_key", "left_anti").select("cache_key", "payload"))
+    rest.write.mode("overwrite").parquet(cache)
+
+
+class State:
+    """Answers of finished steps by name. What a step's table holds is read, not asked again."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def keep(self, name: str, rows: DataFrame, key: list[str], ask) -> DataFrame:
+        """What ask makes of the rows, by key; only rows that aren't there are asked."""
+        if not self.folder:
+            return written(ask(rows))
+        path = f"{self.folder}/{name}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        there = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+        rest = rows.join(self.spark.read.parquet(path).select(*key).distinct(), key, "left_anti") if there else rows
+        if not there or not rest.isEmpty():
+            ask(rest).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path).join(rows.select(*key), key, "left_semi")
 
 
 def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Config, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables for the report: units and issues of all units but those in done (units of an earlier report), whose summaries
-    are used as they are. A pass that the engine doesn't know sees every block."""
+    are used as they are. With config.state, levels and answers that were finished before are read instead of asked again; the
+    folder belongs to one review of one index."""
     first = ex.language.first()
     language = F.lit(first[0] if first else "source").alias("language")
-    every = ("receiver", "summary", "callees", "externals")
-    settings = {p.name: {"blocks": models.TASKS.get(p.name, (every, ""))[0], "prompt": p.prompt or models.TASKS.get(p.name, (every, p.name))[1], "llm": p.llm or config.llm} for p in config.passes if p.enabled}
+    templates = prompts.load_all(config.passes, config.prompts)
+    settings = {p.name: {"template": templates[p.name], "llm": p.llm or config.llm} for p in config.passes if p.enabled}
     if "summary" not in settings:
         raise ValueError("summary prompt not loaded")
-    settings["type_summary"] = settings["summary"]
+    settings["type_summary"] = {"template": templates["type_summary"], "llm": settings["summary"]["llm"]}
+    state = State(spark, config.state)
     none = F.array()
 
     # types
@@ -87,27 +133,29 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     shown = fns.select("fn_id", F.struct("name", "signature", "doc").alias("m"))
     listed = ex.types.select("type_id", F.posexplode("methods").alias("at", "fn_id")).join(shown, "fn_id")
     listed = written(listed.select("type_id", "at", "fn_id", "m"))
-    methods = listed.groupBy("type_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("methods"))
+    methods = lookups.listed(listed, "type_id", ["at"], "m", "methods")
     types = written(ex.types.drop("methods").join(methods, "type_id", "left"))
     signatures = F.array_join(F.transform(F.coalesce("methods", none.cast("array<struct<name: string, signature: string, doc: string>>")), lambda m: m["signature"]), "")
     asked = types.select(F.col("type_id").alias("id"), F.lit("type_summary").alias("pass"), F.to_json(F.struct(language, "kind", "name", "package", "signature", "body", "doc", "methods")).alias("context"), T.content_hash(F.col("body"), F.col("doc"), signatures).alias("cache_key"))
-    type_told = _known_or_asked(spark, asked, client, settings, config.cache).withColumnsRenamed({"id": "type_id", "payload": "type_payload"})
+    type_told = state.keep("types", asked, ["id"], lambda rest: _known_or_asked(spark, rest, client, settings, config.cache)).withColumnsRenamed({"id": "type_id", "payload": "type_payload"})
 
     # what of a unit's context doesn't depend on callees
     of = fns.join(ex.members.select("fn_id", "scc"), "fn_id").join(type_told, F.col("receiver_type") == F.col("type_id"), "left")
     grouped = of.groupBy("scc").agg(F.array_sort(F.collect_list(F.struct("fn_id", "name", "package", "receiver", "signature", "body", "doc", "position", F.coalesce("type_payload", F.lit("")).alias("told")))).alias("functions"), F.min("receiver_type").alias("lo"), F.max("receiver_type").alias("hi"))
     units = written(ex.units.join(grouped, "scc").withColumn("type_id", F.when(F.col("lo") == F.col("hi"), F.nullif("lo", F.lit("")))))
-    owner = units.select("unit_id", "type_id", F.col("functions.fn_id").alias("own")).filter("type_id is not null")
-    siblings = owner.join(listed, "type_id").filter(~F.array_contains("own", F.col("fn_id"))).groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("methods"))
+    owner = units.select("unit_id", "type_id").filter("type_id is not null")
+    own = units.select("unit_id", "type_id", F.explode("functions.fn_id").alias("fn_id")).filter("type_id is not null")
+    siblings = lookups.listed(lookups.siblings(listed, "type_id", "fn_id", own, "unit_id"), "unit_id", ["at"], "m", "methods")
     receiver = owner.join(types.drop("methods"), "type_id").join(type_told, "type_id", "left").join(siblings, "unit_id", "left").select("unit_id", F.struct("name", "kind", "signature", "body", "doc", F.from_json("type_payload", TOLD).alias("summary"), "methods").alias("receiver"))
-    outside = units.select("unit_id", F.posexplode("externals").alias("at", "ext_id")).join(ex.externals, "ext_id").groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.struct("package", "name", "signature", "doc").alias("e")))), lambda x: x["e"]).alias("outside"))
+    outside = units.select("unit_id", F.posexplode("externals").alias("at", "ext_id")).join(ex.externals, "ext_id").withColumn("e", F.struct("package", "name", "signature", "doc"))
+    outside = lookups.listed(outside, "unit_id", ["at"], "e", "outside")
     base = written(units.join(receiver, "unit_id", "left").join(outside, "unit_id", "left").join(graph.levels(ex.units), "unit_id"))
     calls = written(units.select("unit_id", F.posexplode("callees").alias("at", "callee")))
 
     told = None
     if done is not None:
         told = done.select("unit_id", F.to_json(F.struct(*[F.coalesce(F.col(c), none.cast("array<string>") if c in ("invariants", "security") else F.lit("")).alias(c) for c in ("purpose", "behavior", "invariants", "security")])).alias("payload"))
-        base = written(base.join(done.select("unit_id"), "unit_id", "left_anti"))
+        base = written(lookups.remaining(base, done, "unit_id"))
     told = written(told if told is not None else spark.createDataFrame([], "unit_id string, payload string"))
 
     def with_callees(rows: DataFrame) -> DataFrame:
@@ -122,14 +170,14 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
         rows = with_callees(base.filter(F.col("level") == level))
         parts = F.concat(F.flatten(F.transform("functions", lambda f: F.array(f["body"], f["told"]))), F.transform("called", lambda c: c["payload"]))
         asked = rows.select(F.col("unit_id").alias("id"), F.lit("summary").alias("pass"), F.to_json(F.struct(*shape)).alias("context"), T.content_hash(F.array_join(parts, "")).alias("cache_key"))
-        found = _known_or_asked(spark, asked, client, settings, config.cache)
+        found = state.keep(f"level-{level}", asked, ["id"], lambda rest: _known_or_asked(spark, rest, client, settings, config.cache))
         told = written(told.unionByName(found.select(F.col("id").alias("unit_id"), "payload")))
 
     full = written(with_callees(base).join(told, "unit_id"))
-    names = [(k, p.name) for k, p in enumerate(config.passes) if p.enabled and p.name != "summary"]
-    passes = F.broadcast(spark.createDataFrame(names, "pass_ord int, pass string"))  # as many rows as passes configured
-    asked = full.select(F.col("unit_id").alias("id"), F.to_json(F.struct(*shape, F.from_json("payload", TOLD).alias("summary"))).alias("context")).crossJoin(passes)
-    answers = written(_ask(asked, client, settings, "issues"))
+    names = spark.createDataFrame([(p.name, k, p.enabled) for k, p in enumerate(config.passes)], "pass string, ord int, enabled boolean")
+    asked = lookups.with_passes(full.select(F.col("unit_id").alias("id"), F.to_json(F.struct(*shape, F.from_json("payload", TOLD).alias("summary"))).alias("context")), names)
+    answers = state.keep("answers", asked, ["id", "pass"], lambda rest: _ask(rest, client, settings, "issues"))
+    passes = F.broadcast(names.select("pass", F.col("ord").alias("pass_ord")))  # as many rows as passes configured
     issues = answers.join(passes, "pass").select(F.col("id").alias("unit_id"), "pass", "pass_ord", F.posexplode(F.from_json("payload", FOUND)["issues"]).alias("at", "i")).join(full.select("unit_id", "functions"), "unit_id")
     named = F.filter("functions", lambda f: f["name"] == F.col("i.function"))
     issues = issues.withColumn("f", F.coalesce(F.get(named, F.size(named) - 1), F.get("functions", F.lit(0))))
