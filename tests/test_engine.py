@@ -9,16 +9,24 @@ from unitflow.functions import text as T
 from unitflow.operators import graph, ranges
 
 
-@pytest.mark.parametrize(
-    "edges, want",
-    [
-        ({"A": ["B"], "B": ["C"], "C": []}, [["C"], ["B"], ["A"]]),
-        ({"A": ["B"], "B": ["C"], "C": ["A"]}, [["A", "B", "C"]]),
-        ({"D": ["A"], "A": ["B", "C"], "B": ["C"], "C": ["B"]}, [["B", "C"], ["A"], ["D"]]),
-    ],
-)
-def test_tarjan(edges, want):
-    assert graph.tarjan(edges) == want
+def naive_reach(names, edges):
+    reach = {a: {a} for a in names}
+    for _ in names:
+        for a in names:
+            reach[a] |= {c for b in list(reach[a]) for x, c in edges if x == b}
+    return reach
+
+
+def test_tarjan_on_random_graphs():
+    r = random.Random(7)
+    for _ in range(300):
+        names = [f"n{i}" for i in range(r.randrange(1, 9))]
+        edges = sorted({(r.choice(names), r.choice(names)) for _ in range(r.randrange(12))})
+        found = graph.tarjan({a: [y for x, y in edges if x == a] for a in names})
+        reach = naive_reach(names, edges)
+        assert sorted(map(tuple, found)) == sorted({tuple(sorted(b for b in names if b in reach[a] and a in reach[b])) for a in names})
+        place = {m: k for k, scc in enumerate(found) for m in scc}
+        assert all(place[b] <= place[a] for a, b in edges)
 
 
 def test_tarjan_is_not_recursive():
@@ -30,15 +38,12 @@ def test_components_both_ways(spark):
     r = random.Random(4)
     names = [f"n{i}" for i in range(14)]
     edges = sorted({(r.choice(names), r.choice(names)) for _ in range(22)})
-    reach = {a: {a} for a in names}
-    for _ in names:
-        for a in names:
-            reach[a] |= {c for b in list(reach[a]) for x, c in edges if x == b}
+    reach = naive_reach(names, edges)
     want = {a: min(b for b in names if b in reach[a] and a in reach[b]) for a in names}
     nodes = spark.createDataFrame([(a,) for a in names], "fn_id string")
     table = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(edges)], "caller string, callee string, ord long")
-    assert {x.fn_id: x.scc for x in graph.components(nodes, table).collect()} == want
-    assert {x.fn_id: x.scc for x in graph.components(nodes, table, exact_edges=0).collect()} == want
+    one, many = (sorted(map(tuple, graph.components(nodes, table, **k).collect())) for k in ({}, {"exact_edges": 0}))
+    assert {f: scc for f, scc, _ in one} == want and one == many
 
 
 def test_components_by_joins_are_ordered(spark):
@@ -56,11 +61,34 @@ def test_units_and_levels(spark):
     assert {u.unit_id: u.level for u in graph.levels(unit_table).collect()} == {"B+C": 0, "A": 1, "D": 2}
 
 
-@pytest.mark.parametrize("text, start, line, char, want", [("", 0, 0, 1, ""), ("", 1, 1, 1, None), ("f", 99, 100, 1, None), ("f", 0, 2, 0, "line0\nline1"), ("f", 2, 999, 1, "line2\nline3"), ("f", 1, 1, 5, "line1"), ("f", 2, 0, 0, "line2")])
-def test_slice_lines(spark, text, start, line, char, want):
-    body = "line0\nline1\nline2\nline3\n" if text else ""
-    got = spark.createDataFrame([(body, start, line, char)], "t string, s int, l int, c int").select(T.slice_lines(F.col("t"), F.col("s"), F.col("l"), F.col("c")).alias("x")).first().x
-    assert got == want
+def test_slice_lines_against_naive(spark):
+    r = random.Random(3)
+
+    def naive(text, start, line, char):
+        lines = text.split("\n")
+        if not 0 <= start < len(lines):
+            return None
+        end = max(start, min(line - (char == 0), len(lines) - 1))
+        return "\n".join(lines[start : end + 1]).rstrip("\n")
+
+    rows = [("".join(r.choice("ab\n") for _ in range(r.randrange(9))), r.randrange(5), r.randrange(-1, 6), r.randrange(3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "t string, s int, l int, c int")
+    got = df.select("t", "s", "l", "c", T.slice_lines(F.col("t"), F.col("s"), F.col("l"), F.col("c")).alias("x")).collect()
+    assert all(g.x == naive(g.t, g.s, g.l, g.c) for g in got)
+
+
+def test_locate_snippet_against_naive(spark):
+    r = random.Random(4)
+
+    def naive(body, code, hint):
+        code = code.strip()
+        found = [k for k, line in enumerate(body.split("\n"), 1) if code in line]
+        return 0 if not code else hint if not found else found[0] if hint <= 0 else min(found, key=lambda k: (abs(k - hint), k))
+
+    rows = [("a\n\tb()\nc", "\tb()\n", 1), ("a", " \t\n", 2), ("a\n  b\u00a0\nb", "\u00a0b\t", 3)]
+    rows += [("".join(r.choice("ab\t\n ") for _ in range(r.randrange(14))), "".join(r.choice("ab\t\n ") for _ in range(r.randrange(4))), r.randrange(-1, 5)) for _ in range(400)]
+    got = spark.createDataFrame(rows, "b string, c string, h int").select("b", "c", "h", T.locate_snippet(F.col("b"), F.col("c"), F.col("h")).alias("x")).collect()
+    assert [g.x for g in got] == [naive(g.b, g.c, g.h) for g in got]
 
 
 def test_ranges_truncate_and_contain(spark):
@@ -72,10 +100,29 @@ def test_ranges_truncate_and_contain(spark):
     assert got == [(0, "outer"), (6, "inner"), (6, "wide"), (9, "inner"), (700, "inner")]
 
 
-def test_globs(spark):
-    paths = spark.createDataFrame([("src/main.rs",), ("src/lib.rs",), ("tests/integration.rs",), ("build.rs",)], "p string")
-    count = lambda globs: paths.filter(T.matches_any(F.col("p"), globs)).count()
-    assert [count(["src/*.rs"]), count(["src/*.rs", "build.rs"]), count(["*.go"]), count([]), count(["[a"])] == [2, 3, 0, 4, 0]
+def test_globs_against_naive(spark):
+    r = random.Random(5)
+
+    def naive(glob, path):
+        if not glob:
+            return not path
+        if glob[0] == "*":
+            return any(naive(glob[1:], path[k:]) for k in range(len(path) + 1) if "/" not in path[:k])
+        return bool(path) and (glob[0] == path[0] or (glob[0] == "?" and path[0] != "/")) and naive(glob[1:], path[1:])
+
+    paths = ["".join(r.choice("ab./") for _ in range(r.randrange(6))) for _ in range(60)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for globs in [["".join(r.choice("ab./*?") for _ in range(r.randrange(5))) for _ in range(r.randrange(1, 3))] for _ in range(25)]:
+        got = sorted(x.p for x in df.filter(T.matches_any(F.col("p"), globs)).collect())
+        assert got == sorted(p for p in paths if any(naive(g, p) for g in globs)), globs
+    count = lambda globs: df.filter(T.matches_any(F.col("p"), globs)).count()
+    assert count([]) == len(paths) and count(["[a"]) == count(["a\\"]) == 0 and count(["[ab]"]) == sum(p in ("a", "b") for p in paths)
+
+
+def test_reachable(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("c", None)], "package string, import string")
+    got = graph.reachable(spark.createDataFrame([("b",), ("lone",)], "package string"), edges)
+    assert sorted(x.package for x in got.collect()) == ["a", "b", "c", "lone"]
 
 
 def test_text_functions(spark):

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: symbol kinds of functions and of types, and SARIF levels by severity.
-FUNCTION_KINDS = ["Function", "Method", "AbstractMethod", "StaticMethod", "Constructor", "MethodSpecification", "ProtocolMethod", "PureVirtualMethod", "TraitMethod", "TypeClassMethod", "SingletonMethod", "MethodAlias", "Macro"]
-TYPE_KINDS = ["Class", "Struct", "Interface", "Enum", "Trait", "Protocol", "Type", "TypeAlias", "Union", "TypeClass"]
+#: Fixed: symbol kinds of functions and of types, in the order of their numbers, and SARIF levels by severity.
+FUNCTION_KINDS = ["Constructor", "Function", "Macro", "Method", "AbstractMethod", "MethodSpecification", "ProtocolMethod", "PureVirtualMethod", "TraitMethod", "TypeClassMethod", "MethodAlias", "SingletonMethod", "StaticMethod"]
+TYPE_KINDS = ["Class", "Enum", "Interface", "Protocol", "Struct", "Trait", "Type", "TypeAlias", "TypeClass", "Union"]
 LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 

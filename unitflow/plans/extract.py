@@ -15,7 +15,7 @@ from unitflow.operators import graph, lookups, ranges
 from unitflow.sources.scip import read_index, with_parsed
 
 #: Fixed: tags of type kinds; others are "type".
-KIND_TAGS = {"Class": "class", "Struct": "struct", "Interface": "interface", "Trait": "trait", "Enum": "enum", "Protocol": "protocol", "Union": "union", "TypeClass": "typeclass", "TypeAlias": "type"}
+KIND_TAGS = {"Class": "class", "Enum": "enum", "Interface": "interface", "Protocol": "protocol", "Struct": "struct", "Trait": "trait", "TypeAlias": "type", "TypeClass": "typeclass", "Union": "union"}
 TYPE_SPAN = 200
 
 
