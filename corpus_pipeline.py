@@ -34,7 +34,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that many documents hold; every document stays."""
+    """Texts lose the lines that many documents hold, all but those of the largest doc_id; every document stays. Rows that repeat a
+    doc_id count as one document for a line, and each loses its own. Null and empty texts stay as they are, null as empty."""
     return _with_text(line_dedup(docs), F.col("kept_text"), docs.columns)
 
 
@@ -57,12 +58,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts becomes <KIND>; every document stays."""
+    """Personal data in texts becomes <KIND>; every document stays, and so do null and empty texts. Where spans overlap, the earlier
+    stands, of two that begin together the longer. Rows that repeat a doc_id are read each by its own text."""
     return _with_text(redact(docs), F.col("text"), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences of 2048 tokens."""
+    """The pieces of all documents, with their places in sequences of 2048 tokens. Rows that repeat a doc_id are packed each; equal
+    lengths are placed by doc_id, piece and checksum; a null text is the end id alone."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
