@@ -191,12 +191,12 @@ def test_calls_are_those_of_the_cost_model(spark, index, tmp_path):  # noqa: F81
     ex = extract(spark, index)
     passes = [Pass("summary"), Pass("baseline"), Pass("security")]
     client = models.KeyedClient({}, {"summary": told("t")})
-    calls = []
+    calls, seen = [], []
     for k in range(2):
-        review(spark, ex, client, Config(passes=passes, cache=str(tmp_path / "c"), state=str(tmp_path / f"s{k}")))
+        review(spark, ex, client, Config(passes=passes, cache=str(tmp_path / "c"), state=str(tmp_path / f"s{k}"), progress=lambda phase, n: seen.append((phase, n))))
         calls.append((read_cache(spark, str(tmp_path / "c")).count(), spark.read.parquet(str(tmp_path / f"s{k}" / "answers")).count()))
     n_types, n_units = ex.types.count(), ex.units.count()
-    assert calls == [(n_types + n_units, 2 * n_units)] * 2
+    assert calls == [(n_types + n_units, 2 * n_units)] * 2 and seen == [("types", n_types), ("level-0", n_units), ("answers", 2 * n_units)] * 2
 
 
 def test_cache_entries_can_be_deleted(spark, tmp_path):
@@ -259,3 +259,14 @@ def test_packages_from_tables(spark):
     assert [(r["type_id"], r["methods"]) for r in got.types.collect()] == [("p.Box", ["p.(*Box[T]).Get", "p.(Box[T]).Put"])]
     assert sorted((r["ext_id"], r["name"], r["signature"], r["doc"]) for r in got.externals.collect()) == [("io.(*R).Close", "Close", "close", ""), ("io.Read", "Read", "read", "d")]
     assert {r["unit_id"]: (r["callees"], r["externals"]) for r in got.units.collect()}["p.(*Box[T]).Get"] == (["p.help"], ["io.Read"])
+
+
+@pytest.mark.parametrize("group, names", [("core", ["baseline", "correctness", "security", "summary"]), ("concurrency", ["concurrency"]), ("architecture", ["domain-types", "functional-core", "layout", "maintainability"]), ("web", ["authorization", "context-propagation", "distributed", "http", "observability"]), ("testing", ["testing"])])
+def test_example_passes_load(tmp_path, group, names):
+    from pathlib import Path
+
+    (tmp_path / "base.cue").write_text(BASE)
+    got = config.load([str(tmp_path / "base.cue"), str(Path(__file__).resolve().parents[1] / "examples" / group / "*")], [], {})
+    assert [p.name for p in got.passes] == names
+    templates = prompts.load_all(got.passes)
+    assert all("BODY" in prompts.prompt(templates[n], FULL) for n in names)

@@ -8,6 +8,7 @@ form one stage of units x passes. Known summaries come from the cache table by c
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -46,13 +47,16 @@ class Pass:
 @dataclass
 class Config:
     """state: a folder that all share, where finished levels and answers stay, so that a review that stopped goes on from there;
-    empty for none. prompts: a folder that builtin prompts are read from instead."""
+    empty for none. prompts: a folder that builtin prompts are read from instead. language: in place of the index's. progress: called
+    on the driver with a phase and its number of requests, before they are sent."""
 
     llm: dict = field(default_factory=lambda: {"model": "", "max_tokens": 32768, "temperature": 0.1})
     passes: list[Pass] = field(default_factory=lambda: [Pass(name) for name in ("summary", "baseline")])
     cache: str = ""
     state: str = ""
     prompts: str = ""
+    language: str = ""
+    progress: Callable[[str, int], None] | None = None
 
 
 def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str) -> DataFrame:
@@ -98,11 +102,13 @@ def forget(spark: SparkSession, cache: str, keys: DataFrame) -> None:
 class State:
     """Answers of finished steps by name. What a step's table holds is read, not asked again."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, progress: Callable[[str, int], None] | None = None):
+        self.spark, self.folder, self.progress = spark, folder.rstrip("/"), progress
 
     def keep(self, name: str, rows: DataFrame, key: list[str], ask) -> DataFrame:
         """What ask makes of the rows, by key; only rows that aren't there are asked."""
+        if self.progress:
+            self.progress(name, rows.count())
         if not self.folder:
             return written(ask(rows))
         path = f"{self.folder}/{name}"
@@ -118,14 +124,14 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     """Tables for the report: units and issues of all units but those in done (units of an earlier report), whose summaries
     are used as they are. With config.state, levels and answers that were finished before are read instead of asked again; the
     folder belongs to one review of one index."""
-    first = ex.language.first()
-    language = F.lit(first[0] if first else "source").alias("language")
+    first = None if config.language else ex.language.first()
+    language = F.lit(config.language or (first[0] if first else "source")).alias("language")
     templates = prompts.load_all(config.passes, config.prompts)
     settings = {p.name: {"template": templates[p.name], "llm": p.llm or config.llm} for p in config.passes if p.enabled}
     if "summary" not in settings:
         raise ValueError("summary prompt not loaded")
     settings["type_summary"] = {"template": templates["type_summary"], "llm": settings["summary"]["llm"]}
-    state = State(spark, config.state)
+    state = State(spark, config.state, config.progress)
     none = F.array()
 
     # types

@@ -29,7 +29,9 @@ def run(spark: SparkSession, settings: config.Settings, ex: Extracted, client: C
     old = None
     if resume and settings.output.get("json") and Path(settings.output["json"]).exists():
         old = report.read_json(spark, settings.output["json"])
-    units, issues = review(spark, ex, client, settings.review(prompts, state), old[0] if old else None)
+    asked = settings.review(prompts, state)
+    asked.progress = lambda phase, n: print(f"    {phase}: {n}", flush=True)
+    units, issues = review(spark, ex, client, asked, old[0] if old else None)
     if old:
         units, issues = (written(t) for t in merged(old, (units, issues)))
     made = report.assemble(units, issues, {"generated_at": datetime.datetime.now(datetime.timezone.utc).isoformat()} | (metadata or {}))
