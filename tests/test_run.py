@@ -270,3 +270,40 @@ def test_example_passes_load(tmp_path, group, names):
     assert [p.name for p in got.passes] == names
     templates = prompts.load_all(got.passes)
     assert all("BODY" in prompts.prompt(templates[n], FULL) for n in names)
+
+
+def test_http_client():
+    """Requests as sent, and every kind of answer, from a server of this test."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen, answers = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers.get("Authorization"), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            status, body = answers.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = models.HttpClient(f"http://127.0.0.1:{server.server_port}/v1", "key")
+    request = {"model": "m", "prompt": "p", "max_tokens": 5, "temperature": 0.1, "schema": models.ISSUES}
+    answers += [(200, {"choices": [{"message": {"content": "{}"}}]}), (200, {"error": {"message": "busy"}}), (200, {"choices": []}), (500, {})]
+    assert client.complete(request) == "{}"
+    for wrong in ("busy", "no choices", "500"):
+        with pytest.raises(Exception, match=wrong):
+            client.complete(request)
+    path, rights, body = seen[0]
+    assert (path, rights, body["messages"], body["max_tokens"]) == ("/v1/chat/completions", "Bearer key", [{"role": "user", "content": "p"}], 5)
+    assert body["response_format"]["json_schema"]["strict"] and body["response_format"]["json_schema"]["schema"]["required"] == ["issues"]
+    server.shutdown()
+
+
+def test_title_case():
+    assert [report.title_case(x) for x in ("high", "", "héllo wörld", "ABC")] == ["High", "", "Héllo wörld", "ABC"]

@@ -71,10 +71,6 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
-def title_case(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
-
-
 def sarif_level(severity: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), severity), F.lit("note"))
 

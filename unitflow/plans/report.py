@@ -76,10 +76,15 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(units, UNITS), spark.createDataFrame(issues, ISSUES)
 
 
+def title_case(text: str) -> str:
+    """With a capital first letter; the rest as it is."""
+    return text[:1].upper() + text[1:]
+
+
 def to_markdown(report: dict) -> str:
     units, totals, meta = report["units"], report["summary"], report["metadata"]
     out = ["# Code Review Report\n", f"Generated: {str(meta.get('generated_at', ''))[:16].replace('T', ' ')} | Modules: {', '.join(meta.get('modules') or [])}\n", "## Summary\n", "| Severity | Count |", "|----------|-------|"]
-    out += [f"| {s[0].upper() + s[1:]} | {totals['by_severity'][s]} |" for s in SEVERITIES if totals["by_severity"].get(s)]
+    out += [f"| {title_case(s)} | {totals['by_severity'][s]} |" for s in SEVERITIES if totals["by_severity"].get(s)]
     out.append("")
     high = sorted(u for u, x in units.items() if any(i["severity"] == "high" for i in x["issues"]))
     for title, severity, names in (("## Critical Issues\n", "critical", totals["critical_units"]), ("## High Priority Issues\n", "high", high)):
