@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
 from unitflow.operators import graph, lookups
 from unitflow.plans.extract import Extracted, as_units, linked
+from unitflow.sources.gosource import go_tables
 
 
 def called(fn_id: Column, package: Column) -> tuple[Column, Column]:
@@ -47,3 +48,9 @@ def from_tables(functions: DataFrame, types: DataFrame, calls: DataFrame, symbol
     members, units = as_units(found, edges)
     externals = external_functions(edges, functions.select("package").distinct(), symbols, imports)
     return Extracted(found, linked_types, written(externals), edges, members, units, spark.createDataFrame([], "warning string"), spark.createDataFrame([(language,)], "language string"))
+
+
+def extract_go(spark: SparkSession, root: str, patterns: list[str] | None = None) -> Extracted:
+    """The Go packages under root that the patterns mean (none: all)."""
+    t = go_tables(spark, root, patterns)
+    return from_tables(t["functions"], t["types"], t["calls"], t["symbols"], t["imports"])

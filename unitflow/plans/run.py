@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import datetime
 import hashlib
+import os
 import sys
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from unitflow.functions.tables import written
 from unitflow.operators import lookups
 from unitflow.plans import config, report
 from unitflow.plans.extract import Extracted, extract
+from unitflow.plans.packages import extract_go
 from unitflow.plans.review import review
 
 
@@ -47,11 +49,12 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     command.add_argument("-format", "--format", default="all", choices=["json", "markdown", "sarif", "all"])
     command.add_argument("-resume", "--resume", action="store_true", help="go on from the report and steps that are there")
     command.add_argument("-prompts", "--prompts", default="", help="folder to read builtin prompts from")
-    command.add_argument("-scip", "--scip", required=True, help="code index")
-    command.add_argument("-root", "--root", default="", help="project root, in place of the index's")
-    command.add_argument("patterns", nargs="*", help="globs of paths to review")
+    command.add_argument("-scip", "--scip", default="", help="code index; without one, Go source under the root")
+    command.add_argument("-root", "--root", default="", help="project root, in place of the index's or of the working folder")
+    command.add_argument("patterns", nargs="*", help="globs of paths, or Go packages, to review")
     found = parser.parse_args(argv)
     found.config = found.config or ["unitflow.cue"]
+    found.patterns = found.patterns or ([] if found.scip else ["./..."])
     return found
 
 
@@ -64,7 +67,7 @@ def main(argv: list[str] | None = None, client: Client | None = None) -> int:
         return 1
     spark = SparkSession.builder.appName("unitflow").getOrCreate()
     print("Extracting analysis units...")
-    ex = extract(spark, found.scip, found.patterns, root=found.root)
+    ex = extract(spark, found.scip, found.patterns, root=found.root) if found.scip else extract_go(spark, found.root or os.getcwd(), found.patterns)
     print(f"Created {ex.units.count()} analysis units ({ex.externals.count()} external functions, {ex.types.count()} types)")
     for row in ex.warnings.toLocalIterator():
         print(row[0], file=sys.stderr)
