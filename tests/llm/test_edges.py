@@ -261,3 +261,29 @@ def test_joined_labels_are_those_of_the_whole_graph(spark):
     labels = components.joined(labels, table(more))
     assert {x.id: x.label for x in labels.collect()} == naive(first + more)
     assert components.joined(labels, table(more)) is labels
+
+
+def test_near_dedup_of_five_words_against_brute_force(spark):
+    """The pipeline's width, where near copies lie on both sides of the threshold: every link is found."""
+    from test_operators import brute_components
+
+    r = random.Random(12)
+    rows = []
+    for g in range(60):
+        base = [f"w{r.randrange(900)}" for _ in range(r.randrange(3, 200))]
+        for k in range(r.randrange(1, 6)):
+            words = list(base)
+            for _ in range(r.randrange(0, 1 + len(words) // 25)):
+                words[r.randrange(len(words))] = f"e{r.randrange(99)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows, 5, 80)
+    assert got == want and 60 < sum(w[2] for w in want.values()) < len(rows)
+
+
+def test_substring_buckets_follow_the_input(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"{i} " + "some words that repeat " * 40) for i in range(50)], "doc_id long, text string")
+    few, want = substring_dedup.bucket_count(df), substring_dedup.substring_dedup(df).orderBy("doc_id").collect()
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    assert substring_dedup.bucket_count(df) > 10 * few and substring_dedup.substring_dedup(df).orderBy("doc_id").collect() == want
+    assert substring_dedup.bucket_count(spark.createDataFrame([], "doc_id long, text string")) == few

@@ -28,6 +28,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Repeated anchors (8 bytes each) are broadcast up to this size; beyond it they are joined by a shuffle.
 ANCHOR_BYTES = 48 << 20
+#: Bytes of packed entries that a bucket of hash values should hold; the buckets' number follows the input.
+BUCKET_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 
@@ -176,10 +178,18 @@ def _repeats(entries: DataFrame, n_out: int) -> DataFrame:
     return found.groupBy("out").applyInArrow(by_doc, "id long, of long, at binary")
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Two buckets a shuffle partition, or as many as keep one at about BUCKET_BYTES: a window's entry takes 20 bytes, and texts have
+    no more words than half their bytes; most have a sixth."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(2 * partitions, -(-(size // 6 * 20) // BUCKET_BYTES))
+
+
 def repeated_windows(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """Per (id, of) with any: the packed starts of windows of WINDOW words that also start earlier."""
     spark = docs.sparkSession
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = bucket_count(docs)
     anchors = repeated_anchors(docs, n_buckets)
     total = anchors.agg(F.sum("n")).first()[0] or 0
     base = _docs(docs)
