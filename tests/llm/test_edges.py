@@ -193,11 +193,14 @@ def test_very_long_texts(spark):
 
 
 def test_join_small_is_the_same_salted(spark, monkeypatch):
-    left = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
-    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    left = spark.range(1000).select(F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(1).alias("k"), "id", F.lit("x").alias("salt"))
+    left = left.union(spark.range(3).select(F.lit(None).cast("long"), "id", F.lit("x")))
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (None, "d")], "k long, v string")
     want = sorted(map(tuple, common.join_small(left, right, ["k"], 8, ["id"]).collect()))
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, common.join_small(left, right, ["k"], 8, ["id"]).collect())) == want and len(want) == 667
+    assert len(want) > 1900
+    for limit, hot_rows in ((8, 100), (8, 2), (8, 5000)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        assert sorted(map(tuple, common.join_small(left, right, ["k"], 8, ["id"], hot_rows=hot_rows).collect())) == want
 
 
 def test_cluster_needs_a_shared_folder():
@@ -284,6 +287,6 @@ def test_near_dedup_of_five_words_against_brute_force(spark):
 def test_substring_buckets_follow_the_input(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{i} " + "some words that repeat " * 40) for i in range(50)], "doc_id long, text string")
     few, want = substring_dedup.bucket_count(df), substring_dedup.substring_dedup(df).orderBy("doc_id").collect()
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 100)
     assert substring_dedup.bucket_count(df) > 10 * few and substring_dedup.substring_dedup(df).orderBy("doc_id").collect() == want
     assert substring_dedup.bucket_count(spark.createDataFrame([], "doc_id long, text string")) == few

@@ -17,7 +17,7 @@ ASCII_SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: A table may be broadcast only below this many bytes, by its counted rows and its fixed row width.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +57,20 @@ def small_or_not(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, spread: list[str], copies: int = 32) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, spread: list[str], copies: int = 32, hot_rows: int = 10_000) -> DataFrame:
     """An inner join with a table that is read cheaply and mostly small: broadcast if its counted size is below BROADCAST_BYTES. Else
-    both sides are salted, so that a hot key's rows on the left go to `copies` tasks by their columns `spread`."""
+    it is shuffled, and keys with over hot_rows rows on the left are salted: these rows go to `copies` tasks by the columns `spread`,
+    those on the right to all of these. The list of hot keys is broadcast, so where it is too long for that, only hotter ones count."""
     if right.count() * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on)
-    salt = unused([*left.columns, *right.columns], "salt")[0]
-    left = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int"))
-    return left.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), [*on, salt]).drop(salt)
+    salt, hot, n = unused([*left.columns, *right.columns], "salt", "hot", "n")
+    often = written(left.groupBy(*on).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > hot_rows), "hot-keys")
+    while often.filter(F.col(n) > hot_rows).count() * row_bytes > BROADCAST_BYTES:
+        hot_rows *= 4
+    often = F.broadcast(often.filter(F.col(n) > hot_rows).select(*on, F.lit(True).alias(hot)))
+    left = left.join(often, on, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*spread), F.lit(copies))).otherwise(0).cast("int")).drop(hot)
+    right = right.join(often, on, "left").withColumn(salt, F.explode(F.when(F.col(hot), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0))))).drop(hot)
+    return left.join(right, [*on, salt]).drop(salt)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
