@@ -1,10 +1,10 @@
-"""One query for each operator, over the whole documents table."""
+"""One query for each operator, over its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from unitflow.llm import bpe, fingerprints, language_id, line_dedup, near_dedup, packing, pii, quality, records, substring_dedup
+from unitflow.llm import bpe, centroids, conversations, fingerprints, language_id, line_dedup, near_dedup, packing, pii, quality, records, substring_dedup, token_counts
 from unitflow.llm.common import read_documents
 from unitflow.llm.sql import ORACLES
 
@@ -25,6 +25,9 @@ def queries() -> dict:
         "op8_quality": over(quality.op8_quality),
         "op9_token_output": coded(records.op9_token_output, BYTE_VOCABULARY),
         "op10_substring_dedup": over(substring_dedup.op10_substring_dedup),
+        "op11_centroids": lambda spark, sf_dir: centroids.op11_centroids(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op12_conversations": lambda spark, sf_dir: conversations.op12_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+        "op13_token_counts": coded(token_counts.op13_token_counts, WORD_VOCABULARY),
     }
 
 
