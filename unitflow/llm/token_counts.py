@@ -1,9 +1,10 @@
 """Token counts of whole texts without their ids: pieces are counted once per distinct pre-token and joined to how often each
 document holds it.
 
-A slice of documents (about 2 MB of text) is a block: it numbers its distinct pre-tokens and keeps, per document, their numbers and
+A slice of documents (about 16 MB of text) is a block: it numbers its distinct pre-tokens and keeps, per document, their numbers and
 frequencies. Only the blocks' vocabularies are shuffled by pre-token, so that the most frequent word has one row a block, not one an
-occurrence; the counts go back by block, where frequencies times counts are summed.
+occurrence. Equal pre-tokens then follow each other and are encoded once; the counts go back by block, packed, and are joined there to
+the frequencies.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from unitflow.llm.common import map_rows, slices, text_bytes, written
 from unitflow.llm.tokens import BYTE_SPLIT, CHUNK, WIDE_SPACE, WORD_SPLIT, Plain, plain_tokenizer, vocabulary
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 16 << 20
 LIMIT = 2048
 
 
@@ -50,8 +52,17 @@ class Numbers(dict):
         return n
 
 
+def _pressed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype(np.uint32).tobytes())
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint32)
+
+
 def _blocks(docs: DataFrame, vocab) -> DataFrame:
-    """One row a block: doc_ids, n_bytes, where each document's entries end, the entries (number, frequency), the pre-tokens by number."""
+    """One row a block: doc_ids, sizes in bytes, where each document's entries end, the entries (steps between the sorted numbers of a
+    document, which are small, and frequencies), the pre-tokens by number."""
 
     def work(batches):
         cut = PreTokens(vocab.value)
@@ -63,35 +74,57 @@ def _blocks(docs: DataFrame, vocab) -> DataFrame:
                     found = np.fromiter(map(number.__getitem__, cut(text.as_py())), np.uint32)
                     held.append(np.unique(found, return_counts=True))
                 ends = np.cumsum([len(n) for n, _ in held], dtype=np.uint32)
-                flat = lambda k: np.concatenate([h[k] for h in held]).astype(np.uint32).tobytes()
+                steps = np.diff(np.concatenate([n for n, _ in held]), prepend=np.uint32(0))
                 sizes = np.fromiter((len(t.as_buffer()) for t in texts), np.int64, len(held))
-                columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), [sizes.tobytes()], [ends.tobytes()], [flat(0)], [flat(1)], pa.array([list(number)], pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in columns], ["doc_ids", "sizes", "ends", "numbers", "freqs", "pieces"])
+                columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), [sizes.tobytes()], [_pressed(ends)], [_pressed(steps)], [_pressed(np.concatenate([f for _, f in held]))], pa.array([list(number)], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in columns], ["doc_ids", "sizes", "ends", "steps", "freqs", "pieces"])
 
-    rows = map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], work, "doc_ids array<bigint>, sizes binary, ends binary, numbers binary, freqs binary, pieces array<binary>")
+    rows = map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], work, "doc_ids array<bigint>, sizes binary, ends binary, steps binary, freqs binary, pieces array<binary>")
     return written(rows.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
 
 
-def piece_counts(pieces: DataFrame, vocab) -> DataFrame:
-    """piece (distinct) with n, the number of its tokens: every one is encoded once."""
+def _counted(pieces: DataFrame, vocab, most: int = 1 << 20) -> DataFrame:
+    """pieces (block, number, piece), in order of pieces within partitions, to packed rows (of: a block, steps, counts): a piece is
+    encoded once for all blocks that hold it, which follow each other."""
+
+    def packed(blocks: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((numbers, blocks))
+        blocks, numbers, counts = blocks[order], numbers[order], counts[order]
+        used, starts = np.unique(blocks, return_index=True)
+        ends = [*starts[1:], len(blocks)]
+        rows = [(_pressed(np.diff(numbers[i:j], prepend=np.uint32(0))), _pressed(counts[i:j])) for i, j in zip(starts, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["of", "steps", "counts"])
 
     def work(batches):
         tokenizer = plain_tokenizer(vocab.value)
+        last, n, held = None, 0, []
         for batch in batches:
-            n = [len(tokenizer.encode(p.as_py().decode("utf-8", "replace"), add_special_tokens=False)) for p in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["piece", "n"])
-
-    return map_rows(pieces, ["piece"], work, "piece binary, n long")
+            told = batch.column(2).dictionary_encode()
+            each = []
+            for piece in told.dictionary.to_pylist():
+                if piece != last:
+                    last, n = piece, len(tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False))
+                each.append(n)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32), np.array(each, np.uint32)[told.indices.to_numpy()]))
+            if sum(len(h[0]) for h in held) >= most:
+                yield packed(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            yield packed(*map(np.concatenate, zip(*held)))
+
+    return map_rows(pieces.repartition("piece").sortWithinPartitions("piece"), ["block", "number", "piece"], work, "of long, steps binary, counts binary")
 
 
 def _summed(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     """A block's documents with the sums of frequency times count."""
     block = blocks.to_pylist()[0]
-    n = np.zeros(counts.num_rows, np.int64)
-    n[counts.column("number").to_numpy()] = counts.column("n").to_numpy()
-    numbers, freqs, ends = (np.frombuffer(block[c], np.uint32).astype(np.int64) for c in ("numbers", "freqs", "ends"))
-    total = np.concatenate(([0], np.cumsum(n[numbers] * freqs)))
-    each = np.diff(total[np.concatenate(([0], ends))])
+    parts = [(np.cumsum(_unpressed(steps), dtype=np.uint32), _unpressed(n)) for steps, n in zip(counts.column("steps").to_pylist(), counts.column("counts").to_pylist())]
+    n = np.zeros(sum(len(numbers) for numbers, _ in parts), np.int64)
+    for numbers, of in parts:
+        n[numbers] = of
+    numbers = np.cumsum(_unpressed(block["steps"]), dtype=np.uint32)  # wraps where a document begins, as the steps do
+    total = np.concatenate(([0], np.cumsum(n[numbers] * _unpressed(block["freqs"]))))
+    each = np.diff(total[np.concatenate(([0], _unpressed(block["ends"])))])
     return pa.table([pa.array(block["doc_ids"], pa.int64()), pa.array(np.frombuffer(block["sizes"], np.int64)), pa.array(each, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -103,10 +136,8 @@ def token_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
     gives an empty one, other columns are ignored. A very long text is a block of its own."""
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
     blocks = _blocks(docs, vocab)
-    pieces = blocks.select("block", F.posexplode("pieces").alias("number", "piece"))
-    counts = piece_counts(pieces.select("piece").distinct(), vocab)
-    numbered = pieces.join(counts, "piece").select(F.col("block").alias("of"), "number", "n")
-    return blocks.drop("pieces").groupBy("block").cogroup(numbered.groupBy("of")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    counts = _counted(blocks.select("block", F.posexplode("pieces").alias("number", "piece")), vocab)
+    return blocks.drop("pieces").groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op13_token_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
