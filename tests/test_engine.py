@@ -1,12 +1,15 @@
 """Graph, range and text operators against small cases and naive versions."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from unitflow.functions import tables
 from unitflow.functions import text as T
-from unitflow.operators import graph, ranges
+from unitflow.functions.tables import written
+from unitflow.operators import graph, hierarchy, joins, ranges
 
 
 def naive_reach(names, edges):
@@ -17,40 +20,176 @@ def naive_reach(names, edges):
     return reach
 
 
-def test_tarjan_on_random_graphs():
-    r = random.Random(7)
-    for _ in range(300):
-        names = [f"n{i}" for i in range(r.randrange(1, 9))]
-        edges = sorted({(r.choice(names), r.choice(names)) for _ in range(r.randrange(12))})
-        found = graph.tarjan({a: [y for x, y in edges if x == a] for a in names})
-        reach = naive_reach(names, edges)
-        assert sorted(map(tuple, found)) == sorted({tuple(sorted(b for b in names if b in reach[a] and a in reach[b])) for a in names})
-        place = {m: k for k, scc in enumerate(found) for m in scc}
-        assert all(place[b] <= place[a] for a, b in edges)
-
-
-def test_tarjan_is_not_recursive():
-    n = 20_000
-    assert len(graph.tarjan({str(i): [str(i + 1)] if i < n else [] for i in range(n + 1)})) == n + 1
-
-
-def test_components_both_ways(spark):
-    r = random.Random(4)
-    names = [f"n{i}" for i in range(14)]
-    edges = sorted({(r.choice(names), r.choice(names)) for _ in range(22)})
+def naive_units(names, edges):
+    """scc of every name, and the level of every scc."""
     reach = naive_reach(names, edges)
-    want = {a: min(b for b in names if b in reach[a] and a in reach[b]) for a in names}
-    nodes = spark.createDataFrame([(a,) for a in names], "fn_id string")
-    table = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(edges)], "caller string, callee string, ord long")
-    one, many = (sorted(map(tuple, graph.components(nodes, table, **k).collect())) for k in ({}, {"exact_edges": 0}))
-    assert {f: scc for f, scc, _ in one} == want and one == many
-
-
-def test_components_by_joins_are_ordered(spark):
-    nodes = spark.createDataFrame([(x,) for x in "ABCDE"], "fn_id string")
-    edges = spark.createDataFrame([("D", "A", 0), ("A", "B", 0), ("A", "C", 1), ("B", "C", 0), ("C", "B", 0)], "caller string, callee string, ord long")
-    got = {x.fn_id: x.ordinal for x in graph.components(nodes, edges, exact_edges=0).collect()}
-    assert got == {"B": 0, "C": 0, "E": 1, "A": 2, "D": 3}
+    scc = {a: min(b for b in names if b in reach[a] and a in reach[b]) for a in names}
+    level = dict.fromkeys(scc.values(), 0)
+    for _ in level:
+        for a, b in edges:
+            if scc[a] != scc[b]:
+                level[scc[a]] = max(level[scc[a]], level[scc[b]] + 1)
+    return scc, level
+
+
+def call_tables(spark, names, edges):
+    return spark.createDataFrame([(a,) for a in names], "fn_id string"), spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(edges)], "caller string, callee string, ord long")
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_components_and_their_order_on_random_graphs(spark, seed):
+    """Sparse graphs, with chains and rings through them: whatever contraction takes out must come back right."""
+    r = random.Random(seed)
+    names = [f"n{i:02}" for i in range(r.randrange(12, 34))]
+    edges = {(r.choice(names), r.choice(names)) for _ in range(len(names) * (2 + seed) // 3)}
+    for _ in range(3):
+        walk = [r.choice(names) for _ in range(r.randrange(3, 8))]
+        edges |= set(zip(walk, walk[1:])) | ({(walk[-1], walk[0])} if seed % 2 else set())
+    scc, level = naive_units(names, sorted(edges))
+    nodes, table = call_tables(spark, names, sorted(edges))
+    members = written(graph.components(nodes, table.unionByName(table)))
+    assert {r.fn_id: r.scc for r in members.collect()} == scc
+    place = {s: k for k, s in enumerate(sorted(level, key=lambda s: (level[s], s)))}
+    assert {r.fn_id: r.ordinal for r in graph.ordered(members, table).collect()} == {a: place[scc[a]] for a in names}
+
+
+def test_components_without_edges_or_nodes(spark):
+    nodes, edges = call_tables(spark, ["a", "b"], [("a", "a"), ("a", "x"), ("x", "b")])
+    assert sorted(map(tuple, graph.components(nodes, edges).collect())) == [("a", "a"), ("b", "b")]
+    assert graph.components(nodes.limit(0), edges).collect() == []
+
+
+def count_tables(monkeypatch):
+    made = []
+
+    def counted(df):
+        made.append(1)
+        return written(df)
+
+    monkeypatch.setattr(graph, "written", counted)
+    return made
+
+
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    made = count_tables(monkeypatch)
+    name = lambda c: F.format_string("n%07d", c)
+    n = 100_000
+    nodes = spark.range(n).select(name(F.col("id")).alias("fn_id"))
+    chain = spark.range(n - 1).select(name(F.col("id")).alias("caller"), name(F.col("id") + 1).alias("callee"))
+    assert graph.components(nodes, chain).filter("fn_id <> scc").isEmpty() and len(made) < 40
+    del made[:]
+    ring = chain.unionByName(spark.range(1).select(name(F.lit(n - 1)).alias("caller"), name(F.lit(0)).alias("callee")))
+    assert graph.components(nodes, ring).filter("scc = 'n0000000'").count() == n and len(made) < 40
+    del made[:]
+    # every node calls the next one and the last one
+    last = spark.range(n - 2).select(name(F.col("id")).alias("caller"), name(F.lit(n - 1)).alias("callee"))
+    found = graph.unit_levels(nodes.withColumnRenamed("fn_id", "unit_id"), chain.unionByName(last).withColumnRenamed("caller", "unit_id"))
+    assert found.filter(F.col("level") + F.substring("unit_id", 2, 9).cast("int") != n - 1).isEmpty() and len(made) < 60
+
+
+def test_labels_jump_ahead(spark, monkeypatch):
+    """A ladder has no chains; the least label still crosses it in fewer rounds than it has rungs."""
+    made = count_tables(monkeypatch)
+    n = 400
+    rungs = spark.range(n)
+    left, right = F.col("id") * 2, F.col("id") * 2 + 1
+    pairs = [(left, left + 2), (right, right + 2), (left, right), (right, left)]
+    edges = None
+    for a, b in pairs:
+        some = rungs.select(a.alias("a"), b.alias("b"))
+        edges = some if edges is None else edges.unionByName(some)
+    assert graph.spread(edges).filter("label > 1").isEmpty() and len(made) < 60
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join_is_a_join(spark, how):
+    r = random.Random(9)
+    left = spark.createDataFrame([(r.choice(["hot"] * 30 + ["a", "b", None]), k % 40) for k in range(900)], "k string, v int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), (None, 4)], "k string, w int")
+    want = sorted(map(str, left.join(right, ["k"], how).collect()))
+    assert sorted(map(str, joins.split_join(left, right, ["k"], how, most=50).collect())) == want
+    assert joins.hot_keys(left, ["k"], most=900) is None
+
+
+def test_split_join_deals_a_hot_key_over_many_tasks(spark):
+    """One symbol in nine of ten rows: no task may take more than a few times what the middle one takes."""
+    left = spark.range(200_000).select(F.when(F.col("id") % 10 < 9, "print").otherwise(F.concat(F.lit("s"), (F.col("id") % 5000).cast("string"))).alias("symbol"), "id")
+    right = left.select("symbol").distinct().withColumn("target", F.length("symbol"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("64", "false", "-1")):
+            spark.conf.set(k, v)
+        tasks = [x["n"] for x in joins.split_join(left, right, ["symbol"], most=1000).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == 200_000 and max(tasks) < 4 * sorted(tasks)[len(tasks) // 2]
+
+
+def test_method_sets_against_naive(spark):
+    own = {("A", "f"), ("B", "f"), ("B", "g"), ("C", "h"), ("D", "g"), ("E", "x"), ("G", "x")}
+    embeds = {("A", "B"), ("B", "C"), ("E", "B"), ("E", "D"), ("F", "E"), ("C", "A"), ("H", "E"), ("H", "G"), ("I", "A"), ("I", "B")}
+    got = hierarchy.method_sets(spark.createDataFrame([(t, m, f"{t}.{m}") for t, m in own], "type_id string, method string, fn_id string"), spark.createDataFrame(list(embeds), "type_id string, embedded string"))
+
+    def naive(t):
+        """Method to function, None where two are at one depth, by breadth-first search."""
+        found, here, seen = {}, [t], {t}
+        while here:
+            level = {}
+            for x in here:
+                for y, m in own:
+                    if y == x:
+                        level.setdefault(m, set()).add(f"{x}.{m}")
+            for m, fns in level.items():
+                found.setdefault(m, min(fns) if len(fns) == 1 else None)
+            here = sorted({b for a, b in embeds if a in here} - seen)
+            seen |= set(here)
+        return {(t, m, f) for m, f in found.items() if f}
+
+    assert {tuple(r) for r in got.collect()} == set().union(*(naive(t) for t in "ABCDEFGHI"))
+
+
+def test_interface_calls_against_naive(spark):
+    r = random.Random(6)
+    has = {(f"T{k}", f"m{r.randrange(8)}") for k in range(30) for _ in range(r.randrange(6))}
+    asks = {(f"I{k}", f"m{r.choice([0, 1, 2, 3, 4, 5, 6, 7, 99])}") for k in range(20) for _ in range(r.randrange(1, 4))}
+    sets = {t: {m for x, m in has if x == t} for t, _ in has}
+    want = {(i, t) for i in {i for i, _ in asks} for t in sets if {m for x, m in asks if x == i} <= sets[t]}
+    methods = spark.createDataFrame([(t, m, f"{t}.{m}") for t, m in has], "type_id string, method string, fn_id string")
+    interfaces = spark.createDataFrame(sorted(asks) * 2, "interface string, method string")
+    assert {tuple(r) for r in hierarchy.implementations(methods, interfaces).collect()} == want
+    calls = [(f"c{r.randrange(9)}", f"I{r.randrange(22)}", f"m{r.randrange(8)}", k) for k in range(200)]
+    edges = {}
+    for c, i, m, k in calls:
+        for t in (t for x, t in want if x == i and (i, m) in asks):
+            edges[c, f"{t}.{m}"] = min(k, edges.get((c, f"{t}.{m}"), k))
+    got = hierarchy.interface_calls(spark.createDataFrame(calls, "caller string, interface string, method string, ord int"), methods, interfaces)
+    assert {(x.caller, x.callee): x.ord for x in got.collect()} == edges
+    values = spark.createDataFrame([("f", "func(int)", True), ("g", "func(int)", False), ("h", "func()", True)], "fn_id string, signature string, used boolean")
+    asked = spark.createDataFrame([("a", "func(int)", 3), ("a", "func(int)", 1), ("b", "func(x)", 0)], "caller string, signature string, ord int")
+    assert [tuple(x) for x in hierarchy.signature_calls(asked, values).collect()] == [("a", "f", 1)]
+
+
+def test_covering_is_short_and_exact(spark):
+    r = random.Random(2)
+    spans = [(0, 0), (63, 64), (0, 63), (5, 10_000_000), (0, 2_000_000_000)] + [(a, a + r.randrange(1 << r.randrange(1, 22))) for a in (r.randrange(100_000) for _ in range(200))]
+    got = spark.createDataFrame(spans, "s long, e long").select("s", "e", ranges.covering(F.col("s"), F.col("e")).alias("c")).collect()
+    for g in got:
+        lines = sorted((x["block"] * 64 * 4 ** x["level"], (x["block"] + 1) * 64 * 4 ** x["level"]) for x in g.c)
+        assert all(a[1] == b[0] for a, b in zip(lines, lines[1:]))  # no gap, no line twice
+        assert lines[0][0] <= g.s < lines[0][0] + 64 or lines[0][0] == g.s
+        assert lines[-1][1] - 64 <= g.e < lines[-1][1] and len(lines) <= 6 * 13 + 2
+
+
+def test_contained_in_a_huge_document_against_naive(spark):
+    """Ten million lines, ranges of all lengths, three references in four at a few places: pairs as by a plain join."""
+    r = random.Random(3)
+    wide = [(a, r.randrange(9), a + r.choice([0, 3, 40, 700, 30_000, 9_000_000]), r.randrange(9)) for a in (r.randrange(10_000_000) for _ in range(150))] + [(0, 0, ranges.NO_END, 0)]
+    refs = [(r.choice([r.randrange(10_000_000), 5_000_000 + r.randrange(40)]), r.randrange(12)) for _ in range(700)] + [(9_999_999, 0)]
+    spans = spark.createDataFrame([("d", *w, k) for k, w in enumerate(wide)] + [("e", 0, 0, 5, 0, 999)], "doc string, start_line int, start_char int, end_line int, end_char int, k int")
+    points = spark.createDataFrame([("d", *p, n) for n, p in enumerate(refs)] + [("f", 1, 1, -1)], "doc string, line int, char int, n int")
+    got = sorted((x.n, x.k) for x in ranges.contained(points, spans, most=100).select("n", "k").collect())
+    assert got == sorted((n, k) for n, p in enumerate(refs) for k, w in enumerate(wide) if w[:2] <= p < w[2:])
 
 
 def test_units_and_levels(spark):
@@ -131,6 +270,31 @@ def test_text_functions(spark):
     assert tuple(row) == ("/a/b c+d", "x y", "error", "a.b", "List")
 
 
+def test_tables_without_a_set_folder(spark, monkeypatch):
+    """spark.checkpoint.dir is a core setting, which a session can't change: a folder of the application's own stands in."""
+
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Unset(), spark.sparkContext
+
+    monkeypatch.setattr(tables, "_LOCAL", {})
+    where = tables.shared_dir(Session())
+    assert where and where == tables.shared_dir(Session()) and spark.conf.get("spark.checkpoint.dir") != where
+    table = written(spark.range(5))
+    tables.drop_written(table)
+    assert not Path(table.inputFiles()[0].removeprefix("file://")).exists()
+
+    class Cluster:
+        conf = Unset()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Cluster())
+
+
 def test_entry_runs_without_the_corpus_operators():
     import __spark_entry__ as entry
 

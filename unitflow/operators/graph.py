@@ -1,119 +1,162 @@
-"""Units of a call graph: strongly connected components in callees-first order."""
+"""Units of a call graph: strongly connected components in callees-first order.
+
+Nodes are numbered, and every step is a few joins over written tables of numbers; nothing but counts comes to the driver. What makes
+a graph deep is taken out first: chains are followed by pointer jumping, in as many rounds as the logarithm of their length.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from unitflow.functions.tables import written
+from unitflow.functions.tables import drop_written, written
+from unitflow.operators.joins import split_join
 from unitflow.operators.lookups import placed
 
-#: Graphs of at most so many edges and nodes go through one task; larger ones through joins, with the same result.
-EXACT_EDGES = 1_000_000
-
-
-def tarjan(graph: dict[str, list[str]]) -> list[list[str]]:
-    """Components, callees first; roots in sorted order, neighbours in the given order, members sorted. No recursion."""
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    waiting, on, out = [], set(), []
-    for root in sorted(graph):
-        if root in number:
-            continue
-        work = [(root, iter(graph[root]))]
-        number[root] = low[root] = len(number)
-        waiting.append(root)
-        on.add(root)
-        while work:
-            node, rest = work[-1]
-            for to in rest:
-                if to not in number:
-                    number[to] = low[to] = len(number)
-                    waiting.append(to)
-                    on.add(to)
-                    work.append((to, iter(graph.get(to, ()))))
-                    break
-                if to in on:
-                    low[node] = min(low[node], number[to])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = []
-                    while not members or members[-1] != node:
-                        members.append(waiting.pop())
-                        on.discard(members[-1])
-                    out.append(sorted(members))
+
+def _counted(df: DataFrame, **what) -> tuple[DataFrame, dict]:
+    """df as a written table with aggregates observed while it is written; n is the number of its rows."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in what.items()]))
+    return table, {name: v or 0 for name, v in seen.get.items()}
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
-def components(nodes: DataFrame, edges: DataFrame, exact_edges: int = EXACT_EDGES) -> DataFrame:
-    """nodes (fn_id) and edges (caller, callee, ord) to (fn_id, scc, ordinal): scc is the least member; ordinal its
-    place by (level, scc), so callees first. Graphs beyond exact_edges are condensed by joins, with the same result."""
-    edges = written(edges.join(nodes.select(F.col("fn_id").alias("caller")), "caller", "left_semi").join(nodes.select(F.col("fn_id").alias("callee")), "callee", "left_semi").select("caller", "callee", "ord"))
-    if edges.count() > exact_edges or nodes.count() > exact_edges:
-        return ordered(written(components_by_joins(nodes, edges)), edges)
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """The distinct names with id, a number each."""
+    return written(names.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("id", F.monotonically_increasing_id()))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph = {n: [] for n in pdf.loc[pdf.callee.isna(), "caller"]}
-        for r in pdf[pdf.callee.notna()].sort_values(["caller", "ord"]).itertuples():
-            graph[r.caller].append(r.callee)
-        found = tarjan(graph)
-        of, level = {m: k for k, scc in enumerate(found) for m in scc}, []
-        for k, scc in enumerate(found):  # callees come first
-            level.append(max((level[of[to]] + 1 for m in scc for to in graph[m] if of[to] != k), default=0))
-        order = sorted(range(len(found)), key=lambda k: (level[k], found[k][0].encode()))
-        return pd.DataFrame([(m, found[k][0], place) for place, k in enumerate(order) for m in found[k]], columns=["fn_id", "scc", "ordinal"])
 
-    rows = nodes.select(F.col("fn_id").alias("caller"), F.lit(None).cast("string").alias("callee"), F.lit(None).cast("long").alias("ord")).distinct()
-    rows = rows.unionByName(edges.select("caller", "callee", F.col("ord").cast("long").alias("ord")))
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "fn_id string, scc string, ordinal int")
+def _in_numbers(edges: DataFrame, names: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """edges (a, b: names) as distinct numbers (a, b); edges with an unknown end and loops go."""
+    both = written(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a <> _b"))
+    both = split_join(both, names.select(F.col(name).alias("_a"), F.col("id").alias("a")), ["_a"]).select("a", "_b")
+    both = split_join(written(both), names.select(F.col(name).alias("_b"), F.col("id").alias("b")), ["_b"])
+    return written(both.select("a", "b").distinct())
 
 
-def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members (fn_id, scc) with ordinal: the place of their component by (level, scc), so callees first."""
-    of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
-    calls = edges.join(of("caller", "unit_id"), "caller").join(of("callee", "to"), "callee").filter("unit_id <> to").groupBy("unit_id").agg(F.collect_set("to").alias("callees"))
-    table = members.select(F.col("scc").alias("unit_id")).distinct().join(calls, "unit_id", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
-    places = placed(levels(written(table)), ["level", "unit_id"]).select(F.col("unit_id").alias("scc"), (F.col("place") - 1).alias("ordinal"))
-    return members.join(places, "scc").select("fn_id", "scc", "ordinal")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (fn_id) and edges (caller, callee, ...) to (fn_id, scc): scc is the least member of a node's strongly connected component.
+    Edges to or from what is no node don't count; repeated rows and loops change nothing; null ids go."""
+    names = numbered(nodes, "fn_id")
+    found = strongly_connected(_in_numbers(edges, names, "fn_id", "caller", "callee"))
+    if found is None:
+        return names.select("fn_id", F.col("fn_id").alias("scc"))
+    roots = found.select(F.col("root").alias("id")).distinct().withColumn("root", F.col("id"))
+    named = written(found.filter("id <> root").unionByName(roots).join(names, "id").select("fn_id", "root"))
+    least = named.groupBy("root").agg(F.min("fn_id").alias("scc"))
+    scc = split_join(named, least, ["root"]).select("fn_id", "scc")
+    return names.join(scc, "fn_id", "left").select("fn_id", F.coalesce("scc", "fn_id").alias("scc"))
+
 
+def strongly_connected(edges: DataFrame) -> DataFrame | None:
+    """edges (a, b: numbers, distinct, no loops) to (id, root) for the members of components of two nodes or more, root being one of
+    them (its own row may be missing); None where there is no such component.
 
-def components_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Membership alone, for large graphs: trim nodes without a way in or out, spread the least label forwards, and take
-    what reaches the label's root backwards within its colour; again with the rest. Each step is written, not collected."""
-    left = written(edges.select("caller", "callee").filter("caller <> callee").distinct())
-    found = None
+    Ends and chains go first (contracted). What is left is cut from many pivots at once: the least number that reaches a node, and,
+    among nodes of one such label, the least number it reaches. Where both are the same, the node belongs to that pivot's component;
+    else components lie within equal pairs of labels, and edges between different ones go."""
+    found, chains = [], []
+    left = edges
     while True:
-        before = -1
-        while before != (n := left.count()):
-            before = n
-            left = written(left.join(left.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
-        if not n:
+        left, more, cycles = contracted(left)
+        chains += more
+        found += cycles
+        if left is None:
             break
-        colour = written(left.select(F.explode(F.array("caller", "callee")).alias("id")).distinct().withColumn("colour", F.col("id")))
-        while True:
-            spread = left.join(colour.withColumnRenamed("id", "caller"), "caller").select(F.col("callee").alias("id"), "colour")
-            after = written(colour.unionByName(spread).groupBy("id").agg(F.min("colour").alias("colour")))
-            moved = after.join(colour.withColumnRenamed("colour", "was"), "id").filter("colour <> was").limit(1).count()
-            colour = after
-            if not moved:
-                break
-        same = written(left.join(colour.withColumnRenamed("id", "caller"), "caller").join(colour.select(F.col("id").alias("callee"), F.col("colour").alias("other")), "callee").filter("colour = other").select("caller", "callee", "colour"))
-        member = written(colour.filter("id = colour"))
-        size = 0
-        while size != (n := member.count()):
-            size = n
-            back = same.join(member.select(F.col("id").alias("callee"), "colour"), ["callee", "colour"]).select(F.col("caller").alias("id"), "colour")
-            member = written(member.unionByName(back).distinct())
-        found = member if found is None else written(found.unionByName(member))
-        gone = member.select("id")
-        left = written(left.join(gone.withColumnRenamed("id", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("id", "callee"), "callee", "left_anti"))
-    if found is None:
-        return nodes.select("fn_id", F.col("fn_id").alias("scc")).distinct()
-    return nodes.select("fn_id").distinct().join(found.withColumnsRenamed({"id": "fn_id", "colour": "scc"}), "fn_id", "left").select("fn_id", F.coalesce("scc", "fn_id").alias("scc"))
+        fore = spread(left)
+        of = lambda table, name, to: table.select(F.col("id").alias(name), F.col("label").alias(to))
+        same = left.join(of(fore, "a", "la"), "a").join(of(fore, "b", "lb"), "b").filter("la = lb")
+        same, seen = _counted(same.select("a", "b", F.col("la").alias("fore")))
+        drop_written(left)
+        if not seen["n"]:
+            break
+        back = spread(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = back.select("id", F.col("label").alias("back")).join(fore.select("id", F.col("label").alias("fore")), "id")
+        found.append(written(both.filter("back = fore").select("id", F.col("fore").alias("root"))))
+        rest = same.join(of(back, "a", "la"), "a").join(of(back, "b", "lb"), "b").filter("la = lb and la <> fore")
+        left = written(rest.select("a", "b"))
+        drop_written(same, fore, back)
+    # chains lie on a cycle where their ends do, or where both ends are one node; later chains know more
+    for table in reversed(chains):
+        at = written(_union(found)) if found else table.select("id", F.col("id").alias("root")).limit(0)
+        head = split_join(table, at.select(F.col("id").alias("head"), F.col("root").alias("h")), ["head"], "left")
+        tail = split_join(written(head), at.select(F.col("id").alias("tail"), F.col("root").alias("t")), ["tail"], "left")
+        on = tail.select("id", F.coalesce("h", "head").alias("h"), F.coalesce("t", "tail").alias("t")).filter("h = t")
+        found.append(written(on.select("id", F.col("h").alias("root"))))
+    return written(_union(found)) if found else None
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame], list[DataFrame]]:
+    """The graph without nodes that nothing leads to or from, and with every chain (nodes with one edge in and one out) replaced by one
+    edge, again and again until nothing changes: (edges or None if none are left, chains (id, head, tail), cycles (id, root)) of
+    the rounds. The edges are given up for those that come back."""
+    chains, cycles = [], []
+    while True:
+        out = edges.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("next"))
+        into = edges.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("a").alias("prev"))
+        dead, chain = F.col("n_out").isNull() | F.col("n_in").isNull(), (F.col("n_out") == 1) & (F.col("n_in") == 1)
+        kinds = out.join(into, "id", "full").select("id", "prev", "next", dead.alias("dead"), F.coalesce(chain, F.lit(False)).alias("chain"))
+        kinds, seen = _counted(kinds.filter("dead or chain"), dead=F.sum(F.col("dead").cast("int")), chain=F.sum(F.col("chain").cast("int")))
+        if not seen["n"]:
+            break
+        gone = kinds.filter("dead").select("id")
+        if seen["chain"]:
+            followed, closed = jumped(kinds.filter("chain").select("id", "prev", "next"), seen["chain"])
+            chains.append(followed)
+            cycles += closed
+            tails = followed.select(F.col("id").alias("b"), "tail")
+            inner = followed.select(F.col("id").alias("a"))
+            cut = [c.select(F.col("id").alias("a")) for c in closed]
+            rest = edges.join(_union([inner, *cut]), "a", "left_anti").join(tails, "b", "left").select("a", F.coalesce("tail", "b").alias("b")).filter("a <> b").distinct()
+        else:
+            rest = edges
+        rest = rest.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        before = edges
+        edges, seen = _counted(rest.select("a", "b"))
+        drop_written(before, kinds)
+        if not seen["n"]:
+            return None, chains, cycles
+    return edges, chains, cycles
+
+
+def jumped(links: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """links (id, prev, next) of n nodes to (id, head, tail), the first nodes before and behind that aren't among them, by doubling steps
+    on both sides; links that close a cycle come apart as (id, root), in a list of one table or none."""
+    now = written(links.select("id", "prev", "next", F.col("id").alias("low"), F.lit(True).alias("open")))
+    for _ in range(n.bit_length() + 1):
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
+        behind = now.select(F.col("id").alias("prev"), F.col("prev").alias("near"))
+        step = now.drop("open").join(ahead, "next", "left").join(behind, "prev", "left")
+        step = step.select("id", F.coalesce("near", "prev").alias("prev"), F.coalesce("far", "next").alias("next"), F.least("low", "far_low").alias("low"), (F.col("far").isNotNull() | F.col("near").isNotNull()).alias("open"))
+        before = now
+        now, seen = _counted(step, open=F.sum(F.col("open").cast("int")))
+        drop_written(before)
+        if not seen["open"]:
+            break
+    ends = now.filter("not open").select("id", F.col("prev").alias("head"), F.col("next").alias("tail"))
+    return ends, [now.filter("open").select("id", F.col("low").alias("root"))] if seen["open"] else []
+
+
+def spread(edges: DataFrame) -> DataFrame:
+    """edges (a, b) to (id, label): the least number that reaches a node, itself included. In every round a node takes the least label
+    before it and then that label's own label, so labels jump ahead instead of going one edge a round."""
+    labels = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")))
+    while True:
+        least = edges.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("new"))
+        near = written(labels.join(least, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "new").alias("label")))
+        far = split_join(near, labels.select(F.col("id").alias("label"), F.col("label").alias("far")), ["label"], "left")
+        after, seen = _counted(far.select("id", F.least("label", "far").alias("label"), "old"), moved=F.sum((F.col("label") < F.col("old")).cast("int")))
+        drop_written(near, labels)
+        labels = after.select("id", "label")
+        if not seen["moved"]:
+            return labels
 
 
 def units(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,16 +178,86 @@ def units(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(unit_table: DataFrame) -> DataFrame:
-    """unit_id to level: 0 without callees, else one more than the highest callee. One join a level; units are a DAG."""
-    edges = written(unit_table.select("unit_id", F.explode("callees").alias("callee")))
-    done = written(unit_table.filter(F.size("callees") == 0).select("unit_id", F.lit(0).alias("level")))
-    level, total = 0, unit_table.count()
-    while done.count() < total:
-        level += 1
-        open_edges = edges.join(done.select(F.col("unit_id").alias("callee")), "callee", "left_anti").select("unit_id").distinct()
-        ready = edges.select("unit_id").distinct().join(open_edges, "unit_id", "left_anti").join(done.select("unit_id"), "unit_id", "left_anti")
-        done = written(done.unionByName(ready.withColumn("level", F.lit(level))))
-    return done
+    """unit_id and callees (units, a DAG) to unit_id and level: 0 without callees, else one more than the highest callee."""
+    return unit_levels(unit_table.select("unit_id"), unit_table.select("unit_id", F.explode("callees").alias("callee")))
+
+
+def unit_levels(unit_ids: DataFrame, calls: DataFrame) -> DataFrame:
+    """unit_ids (unit_id) and calls (unit_id, callee; a DAG) to unit_id and level."""
+    names = numbered(unit_ids, "unit_id")
+    deep = depths(names.select("id"), _in_numbers(calls, names, "unit_id", "unit_id", "callee"))
+    return names.join(deep, "id").select("unit_id", F.col("level").cast("int").alias("level"))
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id) and edges (a, b: distinct, a DAG) to (id, level), the longest path from a node.
+
+    A node with one open edge has the level max(base, steps + level of its end), and such functions put together are of the same form:
+    chains and trees of them are followed by pointer jumping and leave the graph, edges to them go on to their ends. Edges to nodes
+    of known level become part of base. So a round takes out all that hangs by single edges, however deep."""
+    live = written(nodes.select("id", F.lit(0).cast("long").alias("base")))
+    open_edges, seen = _counted(edges.select("a", "b", F.lit(1).cast("long").alias("w")))
+    done, waiting = [], []
+    while True:
+        single = F.when(F.count(F.lit(1)) == 1, F.min(F.struct("b", "w")))
+        out = open_edges.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), single.alias("only"))
+        now = written(live.join(out, "id", "left").select("id", "base", F.coalesce("n", F.lit(0)).alias("n"), "only.b", "only.w"))
+        ready = now.filter("n = 0").select("id", F.col("base").alias("level"))
+        fresh = [ready]
+        links = now.filter("n = 1").select("id", "base", "b", "w")
+        n = links.count()
+        if n:
+            links = written(followed(links, n))
+            # of what hangs by single edges, that which ends at a known level is known; the rest waits for its end
+            ends = split_join(links, ready.select(F.col("id").alias("b"), "level"), ["b"], "left")
+            ends = written(ends.withColumn("level", F.when(F.col("level").isNotNull(), F.greatest("base", F.col("w") + F.col("level")))))
+            fresh.append(ends.filter("level is not null").select("id", "level"))
+            waiting.append(ends.filter("level is null").select("id", "base", "b", "w"))
+        fresh = written(_union(fresh))
+        done.append(fresh)
+        many = now.filter("n > 1").select("id", "base")
+        if not seen["n"] or many.isEmpty():
+            break
+        kept = open_edges.join(many.select(F.col("id").alias("a")), "a", "left_semi")
+        if n:
+            kept = split_join(written(kept), waiting[-1].select(F.col("id").alias("b"), "base", F.col("b").alias("end"), F.col("w").alias("more")), ["b"], "left")
+            kept = kept.select("a", F.coalesce("end", "b").alias("b"), F.col("w") + F.coalesce("more", F.lit(0)), (F.col("w") + F.col("base")).alias("least")).toDF("a", "b", "w", "least")
+        else:
+            kept = kept.select("a", "b", "w", F.lit(None).cast("long").alias("least"))
+        told = split_join(written(kept), fresh.select(F.col("id").alias("b"), "level"), ["b"], "left")
+        told = written(told.withColumn("least", F.greatest("least", F.when(F.col("level").isNotNull(), F.col("w") + F.col("level")))))
+        before = open_edges
+        open_edges, seen = _counted(told.filter("level is null").groupBy("a", "b").agg(F.max("w").alias("w")))
+        base = told.groupBy(F.col("a").alias("id")).agg(F.max("least").alias("least"))
+        live = written(many.join(base, "id", "left").select("id", F.greatest("base", "least").alias("base")))
+        drop_written(before, now, told)
+    for table in reversed(waiting):
+        known = _union(done).select(F.col("id").alias("b"), F.col("level").alias("to"))
+        done.append(written(split_join(table, known, ["b"]).select("id", F.greatest("base", F.col("w") + F.col("to")).alias("level"))))
+    return _union(done)
+
+
+def followed(links: DataFrame, n: int) -> DataFrame:
+    """links (id, base, b, w) of n nodes without a cycle, each standing for x -> max(base, w + x) of b: the same with b outside them."""
+    now = links
+    for _ in range(n.bit_length() + 1):
+        ahead = now.select(F.col("id").alias("b"), F.col("base").alias("base2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
+        step = split_join(now, ahead, ["b"], "left")
+        step = step.select("id", F.greatest("base", F.col("w") + F.col("base2")).alias("base"), F.coalesce("b2", "b").alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.col("b2").isNotNull().alias("open"))
+        now, seen = _counted(step, open=F.sum(F.col("open").cast("int")))
+        now = now.drop("open")
+        if not seen["open"]:
+            break
+    return now
+
+
+def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (fn_id, scc) with ordinal: the place of their component by (level, scc), so callees first."""
+    of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
+    calls = edges.select("caller", "callee").join(of("caller", "unit_id"), "caller").join(of("callee", "to"), "callee").filter("unit_id <> to")
+    deep = unit_levels(members.select(F.col("scc").alias("unit_id")), calls.select("unit_id", F.col("to").alias("callee")).distinct())
+    places = placed(deep, ["level", "unit_id"]).select(F.col("unit_id").alias("scc"), (F.col("place") - 1).alias("ordinal"))
+    return members.join(places, "scc").select("fn_id", "scc", "ordinal")
 
 
 def reachable(starts: DataFrame, edges: DataFrame, node: str = "package", to: str = "import") -> DataFrame:

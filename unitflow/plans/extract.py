@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from unitflow.functions import languages
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
 from unitflow.operators import graph, lookups, ranges
+from unitflow.operators.joins import split_join
 from unitflow.sources.scip import read_index, with_parsed
 
 #: Fixed: tags of type kinds; others are "type".
@@ -21,15 +23,27 @@ TYPE_SPAN = 200
 
 @dataclass
 class Extracted:
+    """members (fn_id, scc) and units are made when they are asked for."""
+
     functions: DataFrame
     types: DataFrame
     externals: DataFrame
     edges: DataFrame
-    members: DataFrame
-    units: DataFrame
     warnings: DataFrame
     language: DataFrame
 
+    @cached_property
+    def _units(self) -> tuple[DataFrame, DataFrame]:
+        return as_units(self.functions, self.edges)
+
+    @property
+    def members(self) -> DataFrame:
+        return self._units[0]
+
+    @property
+    def units(self) -> DataFrame:
+        return self._units[1]
+
 
 def receiver_of(descriptors: Column) -> Column:
     """The name of the type a callable belongs to; empty for free functions."""
@@ -61,7 +75,7 @@ def linked(functions: DataFrame, types: DataFrame, order: list[str]) -> tuple[Da
 
 
 def as_units(functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (fn_id, scc, ordinal) and units with callees and externals, of functions (fn_id) and written edges (caller, callee, ord)."""
+    """members (fn_id, scc) and units with callees and externals, of functions (fn_id) and written edges (caller, callee, ord)."""
     nodes = functions.select("fn_id").distinct()
     members = written(graph.components(nodes, edges))
     inside = nodes.select(F.col("fn_id").alias("callee"))
@@ -189,11 +203,10 @@ def extract_index(spark: SparkSession, index: dict[str, DataFrame], globs: list[
     externals = written(others.filter(callable_).select(F.concat(F.lit("scip:"), "symbol").alias("ext_id"), "symbol", package_of(F.col("parsed")).alias("package"), F.coalesce(F.nullif("display", F.lit("")), last["name"]).alias("name"), F.coalesce("signature", F.lit("")).alias("signature"), F.coalesce("documented", F.lit("")).alias("doc")))
     targets = known.withColumnRenamed("fn_id", "callee").unionByName(externals.select("symbol", F.col("ext_id").alias("callee")))
     held = places.join(known.withColumnRenamed("fn_id", "caller"), "symbol").drop("symbol")
-    calls = ranges.contained(refs.join(targets, "symbol").drop("symbol"), held).filter("caller <> callee")
+    calls = ranges.contained(written(split_join(refs, targets, ["symbol"]).drop("symbol")), held).filter("caller <> callee")
     first = calls.join(files.select("doc", "doc_ord"), "doc").groupBy("caller", "callee").agg(F.min(F.struct("doc_ord", "doc", "ord")).alias("_at"))
     edges = written(first.withColumn("ord", F.row_number().over(Window.partitionBy("caller").orderBy("_at")).cast("long")).select("caller", "callee", "ord"))
-    members, units = as_units(functions, edges)
     places_of = F.struct("path", "doc_ord", "ord")
     language = languages.pick(files.select(F.lit(0).alias("all"), F.col("relative").alias("path"), "language"), parsed.select(F.lit(0).alias("all"), "parsed.scheme", places_of.alias("at")), "all").select("language")
     warnings = doubled.unionByName(functions.filter("warning is not null").select("warning"))
-    return Extracted(functions.drop("warning"), types, externals, edges, members, units, warnings, language)
+    return Extracted(functions.drop("warning"), types, externals, edges, warnings, language)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
 from unitflow.operators import graph, lookups
-from unitflow.plans.extract import Extracted, as_units, linked
+from unitflow.plans.extract import Extracted, linked
 from unitflow.sources.gosource import go_tables
 
 
@@ -45,9 +45,8 @@ def from_tables(functions: DataFrame, types: DataFrame, calls: DataFrame, symbol
     named = lookups.last_of(named, ["type_id"], ["ord"], ["name", "kind", "package", "signature", "body", "doc", "position"])
     found, linked_types = linked(fns.withColumn("_owner", T.strip_pointer(F.col("receiver"))), named, ["ord", "fn_id"])
     edges = written(calls.groupBy("caller", "callee").agg(F.min("ord").alias("ord")))
-    members, units = as_units(found, edges)
     externals = external_functions(edges, functions.select("package").distinct(), symbols, imports)
-    return Extracted(found, linked_types, written(externals), edges, members, units, spark.createDataFrame([], "warning string"), spark.createDataFrame([(language,)], "language string"))
+    return Extracted(found, linked_types, written(externals), edges, spark.createDataFrame([], "warning string"), spark.createDataFrame([(language,)], "language string"))
 
 
 def extract_go(spark: SparkSession, root: str, patterns: list[str] | None = None) -> Extracted:

@@ -10,7 +10,8 @@ from unitflow.functions import languages
 from unitflow.functions import text as T
 from unitflow.functions.models import KeyedClient
 from unitflow.functions.tables import written
-from unitflow.operators import graph, lookups, ranges
+from unitflow.operators import graph, hierarchy, lookups, ranges
+from unitflow.operators.joins import split_join
 from unitflow.plans.extract import Extracted, extract_index
 from unitflow.plans.packages import external_functions
 from unitflow.plans.review import Config, Pass, review
@@ -111,7 +112,88 @@ def event_transition_scc(spark, sf_dir):
     steps = events.select(F.col("event_type").alias("caller"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("callee"))
     edges = steps.filter("callee is not null").distinct().withColumn("ord", F.dense_rank().over(Window.partitionBy("caller").orderBy("callee")).cast("long"))
     nodes = events.select(F.col("event_type").alias("fn_id")).distinct()
-    return graph.components_by_joins(nodes, edges)
+    return graph.components(nodes, edges)
+
+
+def order_rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every order calls its customer's next one; the last order of customers with an even key calls the first, so these close."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("fn_id"))
+    own = Window.partitionBy("o_custkey").orderBy("fn_id")
+    first = F.when(F.col("o_custkey") % 2 == 0, F.min("fn_id").over(Window.partitionBy("o_custkey")))
+    edges = orders.select(F.col("fn_id").alias("caller"), F.coalesce(F.lead("fn_id").over(own), first).alias("callee"), F.lit(0).cast("long").alias("ord"))
+    return orders.select("fn_id"), edges.filter("callee is not null")
+
+
+@query("select lpad(o_orderkey::varchar, 12, '0') as fn_id, case when o_custkey % 2 = 0 then min(lpad(o_orderkey::varchar, 12, '0')) over (partition by o_custkey) else lpad(o_orderkey::varchar, 12, '0') end as scc from orders")
+def ring_components(spark, sf_dir):
+    return graph.components(*order_rings(spark, sf_dir)).select("fn_id", "scc")
+
+
+@query("select lpad(o_orderkey::varchar, 12, '0') as unit_id, (row_number() over (partition by o_orderpriority order by o_orderkey) - 1)::int as level from orders")
+def order_chain_levels(spark, sf_dir):
+    """Every order calls the one before it of its priority, and the first of all: five chains as deep as the table is long."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("unit_id"))
+    own = Window.partitionBy("o_orderpriority")
+    orders = orders.select("unit_id", F.lag("unit_id").over(own.orderBy("unit_id")).alias("before"), F.min("unit_id").over(own).alias("first"))
+    calls = orders.select("unit_id", F.explode(F.array_distinct(F.array("before", "first"))).alias("callee")).filter("callee is not null and callee <> unit_id")
+    return graph.unit_levels(orders.select("unit_id"), calls)
+
+
+METHOD = "'m' || (l_partkey % 60)"
+SUPPLIED = f"""
+supplied as (select distinct 's' || l_suppkey as type_id, {METHOD} as method from lineitem where l_quantity < 4),
+asked as (select distinct 'c' || o_custkey as interface, {METHOD} as method from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 45),
+implement as (
+  select interface, type_id from (select interface, count(*) as size from asked group by 1) join (select interface, type_id, count(*) as met from asked join supplied using (method) group by 1, 2) using (interface) where met = size)
+"""
+
+
+def supplied_types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as types, with what they sell little of as methods; customers as interfaces, with what they buy much of."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("type_id"), F.expr(METHOD).alias("method"))
+    methods = lines.filter("l_quantity < 4").select("type_id", "method").distinct().withColumn("fn_id", F.concat_ws(".", "type_id", "method"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("interface"))
+    return methods, lines.filter("l_quantity > 45").join(orders, "l_orderkey").select("interface", "method").distinct()
+
+
+@query(f"with {SUPPLIED} select interface, type_id from implement")
+def implementations(spark, sf_dir):
+    return hierarchy.implementations(*supplied_types(spark, sf_dir))
+
+
+@query(f"""
+with {SUPPLIED},
+calls as (select 'n' || c_nationkey as caller, 'c' || o_custkey as interface, {METHOD} as method, min(o_orderkey) as ord from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where l_quantity > 42 group by 1, 2, 3)
+select caller, type_id || '.' || calls.method as callee, min(ord) as ord from calls join asked using (interface, method) join implement using (interface) group by 1, 2""")
+def interface_calls(spark, sf_dir):
+    """A nation calls what its customers buy; of the interface's methods only those that it buys much of."""
+    methods, interfaces = supplied_types(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 42").select(F.col("l_orderkey").alias("o_orderkey"), F.expr(METHOD).alias("method"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    calls = lines.join(orders, "o_orderkey").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("caller"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("interface"), "method", F.col("o_orderkey").alias("ord"))
+    return hierarchy.interface_calls(calls, methods, interfaces)
+
+
+@query("select event_type, count(*)::bigint as n, min(user_id) as least, sum(event_id % 7)::bigint as total from events join (select distinct event_type from events where value >= 99) using (event_type) group by 1")
+def hot_references(spark, sf_dir):
+    """Few types of events in many rows: the join is split from 500 rows a key on."""
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
+    targets = events.filter("value >= 99").select("event_type").distinct()
+    both = split_join(events, targets, ["event_type"], most=500)
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("least"), F.sum(F.col("event_id") % 7).alias("total"))
+
+
+@query("""
+with defs as (
+  select o_orderkey as start_line, o_orderkey + case when o_orderkey % 1000 < 4 then 20000 when o_orderkey % 100 < 4 then 700 else 6 end as end_line from orders where o_orderkey % 5 = 0)
+select l_returnflag as doc, start_line::int as start_line, count(*)::bigint as n_refs, max(l_orderkey)::int as last_ref from lineitem join defs on start_line <= l_orderkey and l_orderkey < end_line where l_linenumber = 1 group by 1, 2""")
+def nested_containment(spark, sf_dir):
+    """Three long documents, one for each flag: orders begin short, long and very long ranges in each, lines refer to what they lie in."""
+    refs = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("doc"), F.col("l_orderkey").cast("int").alias("line"), F.lit(0).alias("char"))
+    length = F.expr("case when o_orderkey % 1000 < 4 then 20000 when o_orderkey % 100 < 4 then 700 else 6 end")
+    spans = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("int").alias("start_line"), F.lit(0).alias("start_char"), (F.col("o_orderkey") + length).cast("int").alias("end_line"), F.lit(0).alias("end_char"))
+    defs = spans.crossJoin(F.broadcast(refs.select("doc").distinct()))
+    return ranges.contained(refs, defs).groupBy("doc", "start_line").agg(F.count(F.lit(1)).alias("n_refs"), F.max("line").alias("last_ref"))
 
 
 @query("""
@@ -205,6 +287,14 @@ def sibling_methods(spark, sf_dir):
     return others.join(second, "s_nationkey", "left").select("s_suppkey", (F.col("n") - 1).alias("n_siblings"), F.coalesce(F.when(F.col("s_suppkey") == F.col("one"), F.col("next")).otherwise(F.col("lo")), F.lit("")).alias("first_sibling"))
 
 
+@query("select a.o_orderkey, count(*)::bigint as n_siblings, min(b.o_orderkey) as least from orders a join orders b on b.o_custkey = a.o_custkey and b.o_orderkey <> a.o_orderkey group by 1")
+def order_siblings(spark, sf_dir):
+    """Orders as units whose type is their customer: the customer's other orders."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("member"))
+    others = lookups.siblings(orders, "o_custkey", "member", orders.withColumn("o_orderkey", F.col("member")), "o_orderkey")
+    return others.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_siblings"), F.min("member").alias("least"))
+
+
 @query("select distinct l_suppkey from lineitem where l_suppkey not in (select s_suppkey from supplier join nation on n_nationkey = s_nationkey where n_regionkey = 3)")
 def external_callees(spark, sf_dir):
     internal = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation").filter("n_regionkey = 3")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"))

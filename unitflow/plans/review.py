@@ -1,30 +1,37 @@
 """Reviews of units in callees-first order: summaries level by level, then all passes at once.
 
 Units of one level don't depend on each other, so a level is one distributed stage; its summaries are written before
-the next one reads them, and no lost executor repeats a finished level's calls. Issue passes need nothing but summaries and
-form one stage of units x passes. Known summaries come from the cache table by content hash.
+the next one reads them. Issue passes need nothing but summaries and form one stage of units x passes. Requests are dealt into small
+tasks, and each task's answers are committed when it ends, under a name of its own: a stage that fails keeps what was answered, and a
+restart asks the rest. Known summaries come from the cache table by content hash.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions import models
 from unitflow.functions import text as T
-from unitflow.functions.tables import written
+from unitflow.functions.tables import drop_written, shared_dir, written
 from unitflow.operators import graph, lookups
 from unitflow.plans import prompts
 from unitflow.plans.extract import Extracted
 from unitflow.plans.report import POSITION
 
 TOLD = "struct<purpose: string, behavior: string, invariants: array<string>, security: array<string>>"
-CACHE = "cache_key string, payload string"
+#: The cache is a table in so many parts by a hash of its keys; what isn't asked for is neither read nor rewritten.
+CACHE, CACHE_PARTS = "cache_key string, payload string, part int", 256
+ANSWERS = "id string, pass string, payload string"
 FOUND = "struct<issues: array<struct<function: string, line: long, code: string, severity: string, message: string, suggestion: string>>>"
 
 
@@ -48,7 +55,9 @@ class Pass:
 class Config:
     """state: a folder that all share, where finished levels and answers stay, so that a review that stopped goes on from there;
     empty for none. prompts: a folder that builtin prompts are read from instead. language: in place of the index's. progress: called
-    on the driver with a phase and its number of requests, before they are sent."""
+    on the driver with a phase and its number of requests, before they are sent. tally: called there with a phase and its issues so
+    far by severity whenever tasks have ended, the last time with all of them; answers that were there before don't count. step:
+    about so many requests are a task, whose answers are kept together."""
 
     llm: dict = field(default_factory=lambda: {"model": "", "max_tokens": 32768, "temperature": 0.1})
     passes: list[Pass] = field(default_factory=lambda: [Pass(name) for name in ("summary", "baseline")])
@@ -57,10 +66,23 @@ class Config:
     prompts: str = ""
     language: str = ""
     progress: Callable[[str, int], None] | None = None
+    tally: Callable[[str, dict[str, int]], None] | None = None
+    step: int = 50
 
 
-def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str) -> DataFrame:
-    """rows (id, pass, context as JSON) to (id, pass, payload): decoded answers as JSON. settings by pass: template, llm."""
+class _Counts(AccumulatorParam):
+    """Counters that tasks add to; Spark adds those of a task once, when it has succeeded."""
+
+    def zero(self, value):
+        return Counter()
+
+    def addInPlace(self, a, b):  # noqa: N802
+        return a + b
+
+
+def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str, counts=None) -> DataFrame:
+    """rows (id, pass, context as JSON) to (id, pass, payload): decoded answers as JSON. settings by pass: template, llm. counts: an
+    accumulator of issues by severity."""
 
     def work(batches):
         for batch in batches:
@@ -69,55 +91,112 @@ def _ask(rows: DataFrame, client: models.Client, settings: dict, kind: str) -> D
                 own = settings[name]
                 text = prompts.prompt(own["template"], json.loads(ctx), name == "type_summary")
                 request = own["llm"] | {"id": i, "pass": name, "prompt": text, "schema": models.SUMMARY if kind == "summary" else models.ISSUES}
-                out.append(json.dumps(models.decoded(client.complete(request), kind), ensure_ascii=False, separators=(",", ":")))
+                answer = models.decoded(client.complete(request), kind)
+                if counts is not None:
+                    counts.add(Counter(i["severity"] for i in answer.get("issues", ())))
+                out.append(json.dumps(answer, ensure_ascii=False, separators=(",", ":")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(out, pa.string())], ["id", "pass", "payload"])
 
-    return rows.select("id", "pass", "context").mapInArrow(work, "id string, pass string, payload string")
+    return rows.select("id", "pass", "context").mapInArrow(work, ANSWERS)
+
+
+def cache_part(key: str) -> Column:
+    return (F.crc32(F.col(key).cast("binary")) % CACHE_PARTS).cast("int")
+
+
+def remember(rows: DataFrame, cache: str) -> None:
+    """Adds rows (cache_key, payload) to the cache."""
+    rows.select("cache_key", "payload", cache_part("cache_key").alias("part")).repartition("part").write.mode("append").partitionBy("part").parquet(cache)
 
 
-def _known_or_asked(spark: SparkSession, rows: DataFrame, client: models.Client, settings: dict, cache: str) -> DataFrame:
-    """rows (id, pass, context, cache_key) to (id, payload), from the cache where it holds a readable summary."""
-    if not cache:
-        return _ask(rows, client, settings, "summary").select("id", "payload")
-    rows = written(rows)
-    held = read_cache(spark, cache).filter(F.from_json("payload", TOLD, {"mode": "PERMISSIVE"})["purpose"].isNotNull())
-    found = written(lookups.cached(rows, held, "cache_key", "payload"))
-    asked = written(_ask(found.filter("payload is null"), client, settings, "summary"))
-    rows.join(asked.select("id", "payload"), "id").select("cache_key", "payload").write.mode("append").parquet(cache)
-    return found.filter("payload is not null").select("id", "payload").unionByName(asked.select("id", "payload"))
+def read_cache(spark: SparkSession, cache: str, keys: DataFrame | None = None) -> DataFrame:
+    """The cache's rows (cache_key, payload), of the parts only that keys (cache_key) are in where these are given; a cache that isn't
+    there yet is empty."""
+    spark.createDataFrame([], CACHE).write.mode("append").partitionBy("part").parquet(cache)
+    held = spark.read.schema(CACHE).parquet(cache)
+    if keys is not None:
+        held = held.filter(F.col("part").isin(_parts(keys)))
+    return held.select("cache_key", "payload")
 
 
-def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The cache's rows; a cache that isn't there yet is empty."""
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    return spark.read.schema(CACHE).parquet(cache)
+def _parts(keys: DataFrame) -> list[int]:
+    """The cache's parts that the keys are in, at most CACHE_PARTS."""
+    return sorted(r[0] for r in keys.select(cache_part("cache_key")).distinct().collect() if r[0] is not None)
 
 
 def forget(spark: SparkSession, cache: str, keys: DataFrame) -> None:
-    """Deletes the entries of these keys (cache_key); keys that it doesn't hold change nothing."""
-    rest = written(read_cache(spark, cache).join(keys.select("cache_key").distinct(), "cache_key", "left_anti").select("cache_key", "payload"))
-    rest.write.mode("overwrite").parquet(cache)
+    """Deletes the entries of these keys (cache_key); keys that it doesn't hold change nothing. Other parts stay as they are."""
+    keys = keys.select("cache_key").distinct()
+    rest = written(read_cache(spark, cache, keys).join(keys, "cache_key", "left_anti").withColumn("part", cache_part("cache_key")))
+    rest.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(cache)
+    left = {r[0] for r in rest.select("part").distinct().collect()}
+    for part in set(_parts(keys)) - left:  # overwriting leaves parts alone that get no rows
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache.rstrip('/')}/part={part}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_written(rest)
 
 
 class State:
-    """Answers of finished steps by name. What a step's table holds is read, not asked again."""
-
-    def __init__(self, spark: SparkSession, folder: str, progress: Callable[[str, int], None] | None = None):
-        self.spark, self.folder, self.progress = spark, folder.rstrip("/"), progress
-
-    def keep(self, name: str, rows: DataFrame, key: list[str], ask) -> DataFrame:
-        """What ask makes of the rows, by key; only rows that aren't there are asked."""
-        if self.progress:
-            self.progress(name, rows.count())
-        if not self.folder:
-            return written(ask(rows))
-        path = f"{self.folder}/{name}"
-        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        there = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
-        rest = rows.join(self.spark.read.parquet(path).select(*key).distinct(), key, "left_anti") if there else rows
-        if not there or not rest.isEmpty():
-            ask(rest).write.mode("append").parquet(path)
-        return self.spark.read.parquet(path).join(rows.select(*key), key, "left_semi")
+    """Answers (id, pass, payload) by step, each step a table in the folder. What a table holds is read, not asked again."""
+
+    def __init__(self, spark: SparkSession, config: Config):
+        self.spark, self.config = spark, config
+        self.folder = config.state.rstrip("/") or f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, rows: DataFrame, ask: Callable, cache: str = "") -> DataFrame:
+        """The answers to rows (id, pass, context; cache_key with a cache); ask(rows, counts) makes those that neither the step's table
+        nor the cache has. Tasks commit their answers one by one into the table (the output committer's second algorithm, under a name
+        of the job and the task), so that those of ended tasks are there whatever happens to the others."""
+        path, key = f"{self.folder}/{name}", ["id", "pass"]
+        rows = written(rows)
+        if self.config.progress:
+            self.config.progress(name, rows.count())
+        self.spark.createDataFrame([], ANSWERS).write.mode("append").parquet(path)
+        done = lambda: self.spark.read.schema(ANSWERS).parquet(path).groupBy(*key).agg(F.max("payload").alias("payload"))
+        rest = rows.join(done().select(*key), key, "left_anti")
+        if cache:
+            held = read_cache(self.spark, cache, rest).filter(F.from_json("payload", TOLD, {"mode": "PERMISSIVE"})["purpose"].isNotNull())
+            found = lookups.cached(rest, held, "cache_key", "payload").filter("payload is not null")
+            found.select(*key, "payload").write.mode("append").parquet(path)
+            rest = rows.join(done().select(*key), key, "left_anti")
+        n = rest.count()
+        if n:
+            counts = self.spark.sparkContext.accumulator(Counter(), _Counts())
+            asked = ask(rest.repartition(-(-n // self.config.step), *key), counts)
+            with _Telling(self.config.tally, name, counts):
+                asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+        if cache:
+            new = rows.select(*key, "cache_key").join(done(), key).select("cache_key", "payload")
+            remember(new.join(read_cache(self.spark, cache, new).select("cache_key").distinct(), "cache_key", "left_anti").groupBy("cache_key").agg(F.max("payload").alias("payload")), cache)
+        return done().join(rows.select(*key), key, "left_semi")
+
+
+class _Telling:
+    """While it is open, tells the counts whenever they have changed, and once more at the end."""
+
+    def __init__(self, tell: Callable[[str, dict], None] | None, phase: str, counts, every: float = 0.5):
+        self.tell, self.phase, self.counts, self.every, self.over, self.last = tell, phase, counts, every, threading.Event(), None
+
+    def _watch(self) -> None:
+        while not self.over.wait(self.every):
+            self._say()
+
+    def _say(self) -> None:
+        now = dict(self.counts.value)
+        if now != self.last:
+            self.last = now
+            self.tell(self.phase, now)
+
+    def __enter__(self):
+        if self.tell:
+            self.thread = threading.Thread(target=self._watch, daemon=True)
+            self.thread.start()
+
+    def __exit__(self, *_):
+        if self.tell:
+            self.over.set()
+            self.thread.join()
+            self._say()
 
 
 def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Config, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +210,8 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     if "summary" not in settings:
         raise ValueError("summary prompt not loaded")
     settings["type_summary"] = {"template": templates["type_summary"], "llm": settings["summary"]["llm"]}
-    state = State(spark, config.state, config.progress)
+    state = State(spark, config)
+    summaries = lambda rows, counts: _ask(rows, client, settings, "summary")
     none = F.array()
 
     # types
@@ -143,7 +223,7 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     types = written(ex.types.drop("methods").join(methods, "type_id", "left"))
     signatures = F.array_join(F.transform(F.coalesce("methods", none.cast("array<struct<name: string, signature: string, doc: string>>")), lambda m: m["signature"]), "")
     asked = types.select(F.col("type_id").alias("id"), F.lit("type_summary").alias("pass"), F.to_json(F.struct(language, "kind", "name", "package", "signature", "body", "doc", "methods")).alias("context"), T.content_hash(F.col("body"), F.col("doc"), signatures).alias("cache_key"))
-    type_told = state.keep("types", asked, ["id"], lambda rest: _known_or_asked(spark, rest, client, settings, config.cache)).withColumnsRenamed({"id": "type_id", "payload": "type_payload"})
+    type_told = state.keep("types", asked, summaries, config.cache).drop("pass").withColumnsRenamed({"id": "type_id", "payload": "type_payload"})
 
     # what of a unit's context doesn't depend on callees
     of = fns.join(ex.members.select("fn_id", "scc"), "fn_id").join(type_told, F.col("receiver_type") == F.col("type_id"), "left")
@@ -176,13 +256,13 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
         rows = with_callees(base.filter(F.col("level") == level))
         parts = F.concat(F.flatten(F.transform("functions", lambda f: F.array(f["body"], f["told"]))), F.transform("called", lambda c: c["payload"]))
         asked = rows.select(F.col("unit_id").alias("id"), F.lit("summary").alias("pass"), F.to_json(F.struct(*shape)).alias("context"), T.content_hash(F.array_join(parts, "")).alias("cache_key"))
-        found = state.keep(f"level-{level}", asked, ["id"], lambda rest: _known_or_asked(spark, rest, client, settings, config.cache))
+        found = state.keep(f"level-{level}", asked, summaries, config.cache)
         told = written(told.unionByName(found.select(F.col("id").alias("unit_id"), "payload")))
 
     full = written(with_callees(base).join(told, "unit_id"))
     names = spark.createDataFrame([(p.name, k, p.enabled) for k, p in enumerate(config.passes)], "pass string, ord int, enabled boolean")
     asked = lookups.with_passes(full.select(F.col("unit_id").alias("id"), F.to_json(F.struct(*shape, F.from_json("payload", TOLD).alias("summary"))).alias("context")), names)
-    answers = state.keep("answers", asked, ["id", "pass"], lambda rest: _ask(rest, client, settings, "issues"))
+    answers = state.keep("answers", asked, lambda rows, counts: _ask(rows, client, settings, "issues", counts))
     passes = F.broadcast(names.select("pass", F.col("ord").alias("pass_ord")))  # as many rows as passes configured
     issues = answers.join(passes, "pass").select(F.col("id").alias("unit_id"), "pass", "pass_ord", F.posexplode(F.from_json("payload", FOUND)["issues"]).alias("at", "i")).join(full.select("unit_id", "functions"), "unit_id")
     named = F.filter("functions", lambda f: f["name"] == F.col("i.function"))
