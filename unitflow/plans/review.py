@@ -109,10 +109,22 @@ def remember(rows: DataFrame, cache: str) -> None:
     rows.select("cache_key", "payload", cache_part("cache_key").alias("part")).repartition("part").write.mode("append").partitionBy("part").parquet(cache)
 
 
+def _in_parts(spark: SparkSession, cache: str) -> None:
+    """Moves rows that lie in the cache's folder itself into parts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    flat = [f.getPath() for f in fs.listStatus(folder) if f.isFile() and f.getPath().getName().endswith(".parquet")]
+    if flat:
+        remember(spark.read.schema("cache_key string, payload string").parquet(*[f.toString() for f in flat]), cache)
+        for f in flat:
+            fs.delete(f, False)
+
+
 def read_cache(spark: SparkSession, cache: str, keys: DataFrame | None = None) -> DataFrame:
     """The cache's rows (cache_key, payload), of the parts only that keys (cache_key) are in where these are given; a cache that isn't
     there yet is empty."""
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("part").parquet(cache)
+    _in_parts(spark, cache)
     held = spark.read.schema(CACHE).parquet(cache)
     if keys is not None:
         held = held.filter(F.col("part").isin(_parts(keys)))
