@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -484,6 +487,31 @@ def review_issues(spark, sf_dir):
     return doc_review(spark, sf_dir)[1].select("unit_id", "category", "severity", F.col("position.Line").alias("line"))
 
 
+class CountingClient:
+    """Answers by what a prompt holds: purposes add up those of callees, 100 for each function from outside, 10,000 for the receiver's
+    type with its one method; issues tell the sum of all purposes that the prompt shows."""
+
+    def complete(self, request: dict) -> str:
+        text = request["prompt"]
+        told, types = (sum(map(int, re.findall(f"^Purpose: {c}([0-9]+)$", text, re.M))) for c in "pt")
+        if request["schema"]["name"] == "issues":
+            return json.dumps({"issues": [{"function": "", "line": 0, "code": "", "severity": "info", "message": f"m{told}"}]})
+        if request["pass"] == "type_summary":
+            return json.dumps({"purpose": f"t{len(re.findall('^- `sig [0-9]+`', text, re.M))}"})
+        return json.dumps({"purpose": f"p{1 + told + 100 * text.count('from outside of this project') + 10_000 * types}"})
+
+
+@query(INDEX + """,
+own as (
+  select u.unit_id, u.scc, 1 + 100 * (case when externals = '' then 0 else len(string_split(externals, ',')) end) + case when count(*) = 1 and min(f.spot) = 5 then 10000 else 0 end as n
+  from units u join scc s on s.scc = u.scc join fns f on f.fn_id = s.fn_id group by u.unit_id, u.scc, externals),
+deep as (select a.unit_id, a.n, coalesce(sum(b.n), 0)::bigint as below from own a left join inner_calls i on i.scc = a.scc left join own b on b.scc = i.callee_scc group by 1, 2)
+select unit_id, 'p' || (n + below) as purpose, 'm' || (n + 2 * below) as message from deep""")
+def review_contexts(spark, sf_dir):
+    units, issues = review(spark, doc_units(spark, sf_dir), CountingClient(), Config(passes=[Pass("summary"), Pass("security")]))
+    return units.select("unit_id", "purpose").join(issues.select("unit_id", "message"), "unit_id")
+
+
 LABELS = "case lang when 'de' then 'CPP' when 'en' then 'rust' when 'es' then '' else 'Zig' end"
 SUFFIX = "case when doc_id % 3 = 0 then 'ts' when doc_id % 3 = 1 then 'PY' else 'none' end"
 
