@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from unitflow.llm import bpe, common, fingerprints, language_id, line_dedup, near_dedup, packing, pii, quality, records, substring_dedup
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-HELPERS = ["_at", "_group", "_of", "_pii_id", "_rid", "_rof", "_spans", "_text", "added", "any_twice", "at", "base", "drop_at", "drop_id", "drop_of", "dropped", "found", "full", "h", "id", "keep", "kept", "known_id", "label", "lines", "n", "of", "own_text", "pack_group", "places", "pos", "row", "salt", "spans", "to_id", "twice", "w", "w1", "w8", "whole", "words"]
+HELPERS = ["_at", "_group", "_of", "_pii_id", "_rid", "_rof", "_spans", "_text", "added", "any_twice", "at", "base", "drop_at", "drop_id", "drop_of", "dropped", "found", "full", "h", "id", "keep", "kept", "known_id", "label", "lines", "n", "of", "own_text", "pack_group", "places", "pos", "row", "salt", "spans", "to_id", "twice", "w", "w1", "w8", "whole", "words", "_place", "_row", "place", "a.b", "N words"]
 
 
 def texts():
@@ -26,8 +26,9 @@ def test_any_helper_name_may_be_a_column(spark, name):
     want = f(plain)
     wide = plain.select("*", *[F.concat(F.lit(f"{h} "), F.col("doc_id").cast("string")).alias(h) for h in HELPERS])
     got = f(wide)
+    own = common.quoted(HELPERS)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    rows = got.select("doc_id", *HELPERS).collect()
+    rows = got.select("doc_id", *own).collect()
     assert len(rows) == 6 and all(r[h] == f"{h} {r.doc_id}" for r in rows for h in HELPERS)
 
 
@@ -290,3 +291,38 @@ def test_substring_buckets_follow_the_input(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 100)
     assert substring_dedup.bucket_count(df) > 10 * few and substring_dedup.substring_dedup(df).orderBy("doc_id").collect() == want
     assert substring_dedup.bucket_count(spark.createDataFrame([], "doc_id long, text string")) == few
+
+
+def test_columns_that_differ_from_measurements_by_case(spark):
+    df = spark.createDataFrame([(1, "one two three", 99)], "doc_id long, text string, N_words int")
+    assert quality.ledger(df).first()["n_words"] == 3
+
+
+def test_more_than_64_languages_are_learned(spark):
+    r = random.Random(2)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(k, " ".join(r.choice(words[lang]) for _ in range(25)), lang) for k in range(1400) for lang in [f"l{k % 70:03}"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = {x.lang: x["count"] for x in language_id.sampled(df).groupBy("lang").count().collect()}
+    assert len(n) == 70 and sum(n.values()) <= language_id.TOTAL
+    got = language_id.op2_language_id(df).filter("held_out").collect()
+    assert sum(x.lang_pred == f"l{x.doc_id % 70:03}" for x in got) >= 0.95 * len(got)
+
+
+def test_near_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(60))
+    df = spark.createDataFrame([(1, long, "U", 7, 1.5), (1, long + " more", "V", 8, 2.5), (2, "another text that stands alone", "W", 9, 3.5)], "doc_id long, text string, _place string, _row int, `a.b` double")
+    got = corpus_pipeline.near_stage(spark, df, "")
+    assert got.columns == df.columns and {tuple(r)[2:] for r in got.collect()} == {("U", 7, 1.5), ("W", 9, 3.5)}
+
+
+def test_shared_folder_without_a_setting(spark, monkeypatch):
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    session = type("Session", (), {"conf": Unset(), "sparkContext": spark.sparkContext})()
+    monkeypatch.setattr(common, "_LOCAL", {})
+    assert common.shared_dir(session) == common.shared_dir(session) != spark.conf.get("spark.checkpoint.dir")

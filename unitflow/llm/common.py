@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
+#: Per application the folder that stands in where spark.checkpoint.dir is unset in local mode.
+_LOCAL: dict[str, str] = {}
 #: A table may be broadcast only below this many bytes, by its counted rows and its fixed row width.
 BROADCAST_BYTES = 8 << 20
 
@@ -28,12 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in
     tests; on a cluster that is an error, since executors can't read each other's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="unitflow-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="unitflow-")
+    return _LOCAL[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -85,10 +89,27 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def quoted(names: list[str]) -> list[str]:
+    """The names as Spark reads them whatever they hold, dots too."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def map_rows(df: DataFrame, columns: list, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(work, schema)
 
 
+def map_whole_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: list[tuple[str, str]]) -> DataFrame:
+    """work over batches of all columns of df, to the given columns (name, type). Names may hold anything: underway columns go by number."""
+    names, out = df.columns, [f"c{k}" for k in range(len(columns))]
+
+    def numbered(batches):
+        for batch in work(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(out)
+
+    made = df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(numbered, ", ".join(f"{n} {kind}" for n, (_, kind) in zip(out, columns)))
+    return made.toDF(*[name for name, _ in columns])
+
+
 def text_bytes(name: str = "text"):
     """A text column as bytes: Python then neither decodes nor encodes it. Null is empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias("text")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from unitflow.llm.common import map_rows, slices, text_bytes, unused
+from unitflow.llm.common import map_rows, map_whole_rows, slices, text_bytes, unused
 
 #: Fixed: families of common languages; any other language is in the family "other".
 FAMILIES = {
@@ -28,8 +28,8 @@ FAMILIES = {
     **dict.fromkeys(("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"), "slavic"),
 }
 DIM = 1 << 12
-#: Bounds of the sample that the machines are fitted on: texts a language, texts in all, languages.
-SAMPLE, TOTAL, LANGUAGES = 800, 6_400, 64
+#: Bounds of the sample that the machines are fitted on: texts a language, texts in all. Every language gets an equal part of the total.
+SAMPLE, TOTAL = 800, 6_400
 SCALE = 64.0
 LETTER = re.compile(rb"[A-Za-z]")
 
@@ -145,11 +145,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
 
 
-def sampled(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> DataFrame:
-    """lang and text of at most `sample` labelled rows of each of the `languages` most frequent languages, `total` in all. A row is
-    chosen by a hash of doc_id and text: first by a threshold that spares the shuffle most rows, then by rank."""
+def sampled(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int | None = None) -> DataFrame:
+    """lang and text of at most `sample` labelled rows of each language, `total` in all, so of at most `total` languages, or of the
+    `languages` most frequent ones where that is asked for. A row is chosen by a hash of doc_id and text: first by a threshold that spares the shuffle most rows, then by rank."""
     rows = labelled(docs).select(F.col("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("pick"), "text")
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("pick").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("pick").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages or total)
     counts = {r["lang"]: r["texts"] for r in counted.collect()}
     if not counts:
         return rows.select("lang", "text").limit(0)
@@ -161,7 +161,7 @@ def sampled(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages
     return near.withColumn("place", place).filter(F.col("place") <= most).select("lang", "text")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL, languages: int | None = None) -> Model:
     """A model from the sampled rows. Their features, not their texts, meet in the one task that fits it."""
 
     def featured(batches):
@@ -201,9 +201,9 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 pred = model.value.predict(part.column(own_text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in (*names, "held_out")), pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())], [*names, "held_out", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     full = docs.withColumn("held_out", held_out()).withColumn(own_text, F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return full.mapInArrow(work, f"{fields}, held_out boolean, lang_pred string, score double")
+    fields = [(f.name, f.dataType.simpleString()) for f in docs.schema]
+    return map_whole_rows(full, work, [*fields, ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")])
 
 
 def op2_language_id(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import ASCII_SPACE, drop_written, join_small, unused, written
+from unitflow.llm.common import ASCII_SPACE, drop_written, join_small, quoted, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,7 +65,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     return (
         docs.join(dropped.select(F.struct("doc_id", "of", "at").alias(name)), F.col("doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.xxhash64(text) == F.col(f"{name}.of")), "left")
         .select(
-            *docs.columns,
+            *quoted(docs.columns),
             F.size(lines).cast("long").alias("n_lines"),
             F.when(found, F.size(drop)).otherwise(0).cast("long").alias("n_dropped"),
             F.when(found, _kept(lines, drop)).otherwise(text).alias("kept_text"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import drop_written, join_small, map_rows, text_bytes, unused, written
+from unitflow.llm.common import drop_written, join_small, map_rows, quoted, text_bytes, unused, written
 
 #: Fixed: the base kinds in the order of results; what the method finds comes after them.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -252,7 +252,7 @@ def redact(docs: DataFrame) -> DataFrame:
         F.struct(F.concat(a["out"], F.substring(F.col(whole), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), (-s["stop"]).alias("at"))
     )
     done = F.aggregate(F.col(f"{name}.spans"), zero, step, lambda a: F.concat(a["out"], F.substring(F.col(whole), a["at"] + 1, F.lit(2147483647))))
-    return full.withColumn("text", F.when(F.col(name).isNull(), F.col(whole)).otherwise(done)).select(*docs.columns)
+    return full.withColumn("text", F.when(F.col(name).isNull(), F.col(whole)).otherwise(done)).select(*quoted(docs.columns))
 
 
 def as_text(spans: str):

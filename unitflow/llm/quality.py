@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import SPACE_CLASS, unused
+from unitflow.llm.common import SPACE_CLASS, quoted, unused
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper", "n_exclaim"]
 
@@ -67,7 +67,7 @@ def measure(docs: DataFrame) -> DataFrame:
     n_repeat_words counts the words in eight-word windows found twice or more in the text, first included;
     n_dup_lines the lines with a word that equal an earlier line."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keep = [c for c in docs.columns if c not in MEASURES]
+    keep = quoted([c for c in docs.columns if c.lower() not in MEASURES])
     full, words, lines, w, twice = unused([*docs.columns, *MEASURES], "full", "words", "lines", "w", "twice")
     step = docs.select(*keep, text.alias(full))
     step = step.select("*", F.filter(F.split(full, SPACE_CLASS + "+", -1), lambda x: x != "").alias(words))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import map_rows, slices, text_bytes, unused, written
+from unitflow.llm.common import map_rows, map_whole_rows, quoted, slices, text_bytes, unused, written
 from unitflow.llm.hashing import hash_words, join, mix, step, windows
 
 WINDOW = 20
@@ -284,9 +284,9 @@ def substring_dedup(docs: DataFrame, broadcast_bytes: int = ANCHOR_BYTES) -> Dat
             columns += [pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, *types])
 
-    full = docs.join(repeats, own, "left").select(*names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own_text), F.col(f"{found}.at").alias(places))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in types.items())])
-    return full.mapInArrow(work, fields)
+    full = docs.join(repeats, own, "left").select(*quoted(names), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(own_text), F.col(f"{found}.at").alias(places))
+    fields = [*((f.name, f.dataType.simpleString()) for f in docs.schema), *types.items()]
+    return map_whole_rows(full, work, fields)
 
 
 def op10_substring_dedup(docs: DataFrame) -> DataFrame:
