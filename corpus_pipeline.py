@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import read_documents, written
+from unitflow.llm.common import quoted, read_documents, unused, written
 from unitflow.llm.language_id import labelled, language_id
 from unitflow.llm.line_dedup import line_dedup
 from unitflow.llm.near_dedup import near_components
@@ -21,7 +21,7 @@ from unitflow.llm.pii import redact
 def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     """docs with another text, and n_chars to go with it where the table has it."""
     docs = docs.withColumn("text", text)
-    return (docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else docs).select(*columns)
+    return (docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else docs).select(*quoted(columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if labelled(docs).isEmpty():
         return docs.filter(F.col("text").rlike("\\p{L}"))
     found = language_id(docs).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return found.withColumn("lang", F.col("lang_pred")).select(*quoted(docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kept = near_components(docs).filter("kept and doc_id is not null").select("doc_id")
         stay = known.join(kept, "doc_id", "left_semi")
     else:
-        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        others = quoted([c for c in docs.columns if c not in ("doc_id", "text")])
+        at, row = unused(docs.columns, "place", "row")
         place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*others or ["doc_id"]))
-        rows = known.withColumn("_place", place).filter("_place = 1").orderBy("doc_id", "text")
-        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pipeline-near-rows")
-        kept = near_components(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row"))
-        stay = rows.join(kept, "_row", "left_semi")
-    return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+        rows = known.withColumn(at, place).filter(F.col(at) == 1).orderBy("doc_id", "text")
+        rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "pipeline-near-rows")
+        kept = near_components(rows.select(F.col(row).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(row))
+        stay = rows.join(kept, row, "left_semi")
+    return stay.select(*quoted(docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
