@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from unitflow.functions import tables
 from unitflow.functions import text as T
 from unitflow.functions.tables import written
-from unitflow.operators import graph, hierarchy, joins, ranges
+from unitflow.operators import graph, hierarchy, joins, lookups, ranges
 
 
 def naive_reach(names, edges):
@@ -101,6 +101,27 @@ def test_labels_jump_ahead(spark, monkeypatch):
     assert graph.spread(edges).filter("label > 1").isEmpty() and len(made) < 60
 
 
+def test_positions_and_ordered_calls_against_naive(spark):
+    """One unit calls nearly all others: its callees are numbered over many range partitions, in first-seen order."""
+    r = random.Random(12)
+    names = ["hub", "hub2", *(f"n{k:04}" for k in range(1500))]
+    edges = [("hub", n, k) for k, n in enumerate(r.sample(names[2:], 1400))] + [("hub2", "hub", 5), ("hub", "hub2", 2000), ("hub2", "n0001", 0), ("n0003", "n0002", 0), ("n0003", "n0001", 7)]
+    scc = {n: "hub" if n == "hub2" else n for n in names}
+    title = {n: "hub+hub2" if scc[n] == "hub" else n for n in names}
+    want = {}
+    for a, b, k in sorted(edges, key=lambda e: (e[0], e[2])):
+        if scc[a] != scc[b] and title[b] not in want.setdefault(title[a], []):
+            want[title[a]].append(title[b])
+    members = spark.createDataFrame(list(scc.items()), "fn_id string, scc string")
+    got = graph.ordered_calls(members, spark.createDataFrame(edges, "caller string, callee string, ord long")).collect()
+    assert sorted((x.unit_id, x.ord, x.callee) for x in got) == sorted((u, k, c) for u, cs in want.items() for k, c in enumerate(cs))
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") * 7919 % 30_011).alias("o"))
+    found = lookups.positions(rows, ["k"], ["o"])
+    assert found.filter("k = -1").agg(F.min("ord"), F.max("ord"), F.countDistinct("ord")).first()[:] == (0, 26_999, 27_000)
+    assert found.filter("k <> -1 and ord <> 0").isEmpty()
+    assert found.filter("k = -1").alias("a").join(found.filter("k = -1").select(F.col("ord") - 1, F.col("o").alias("next")).toDF("ord", "next"), "ord").filter("next <= o").isEmpty()
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_split_join_is_a_join(spark, how):
     r = random.Random(9)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from unitflow.functions.tables import drop_written, written
+from unitflow.operators import lookups
 from unitflow.operators.joins import split_join
-from unitflow.operators.lookups import placed
 
 
 def _counted(df: DataFrame, **what) -> tuple[DataFrame, dict]:
@@ -159,21 +159,35 @@ def spread(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def unit_names(members: DataFrame) -> DataFrame:
+    """members (fn_id, scc) to scc, unit_id (sorted members joined by +) and n_members."""
+    return members.groupBy("scc").agg(F.array_join(F.array_sort(F.collect_set("fn_id")), "+").alias("unit_id"), F.countDistinct("fn_id").alias("n_members"))
+
+
+def unit_calls(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (fn_id, scc) and edges (caller, callee, ord) to scc, callee_scc and first (caller, ord), a row for two units of which one
+    calls the other: the first call over the caller's sorted members and each one's edge order."""
+    of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
+    named = written(edges.select("caller", "callee", "ord").join(of("caller", "scc"), "caller"))
+    both = split_join(named, of("callee", "callee_scc"), ["callee"]).filter("scc <> callee_scc")
+    return both.groupBy("scc", "callee_scc").agg(F.min(F.struct("caller", "ord")).alias("first"))
+
+
+def ordered_calls(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """unit_id, ord and callee: what a unit calls, numbered from 0 in first-seen order. A row a callee, so that a unit of any number of
+    callees lies over many tasks."""
+    names = unit_names(members).select("scc", "unit_id")
+    calls = lookups.positions(unit_calls(members, edges), ["scc"], ["first"]).drop("first")
+    calls = written(calls.join(names, "scc"))
+    return split_join(calls, names.select(F.col("scc").alias("callee_scc"), F.col("unit_id").alias("callee")), ["callee_scc"]).select("unit_id", F.col("ord").cast("int").alias("ord"), "callee")
+
+
 def units(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members (fn_id, scc) and edges to units: scc, unit_id (sorted members joined by +), n_members, and callees: unit ids in
-    first-seen order over the members' sorted ids and each one's edge order."""
-    named = members.groupBy("scc").agg(F.array_join(F.array_sort(F.collect_set("fn_id")), "+").alias("unit_id"), F.countDistinct("fn_id").alias("n_members"))
-    of = members.select("fn_id", "scc")
-    calls = (
-        edges.join(of.withColumnsRenamed({"fn_id": "caller"}), "caller")
-        .join(of.withColumnsRenamed({"fn_id": "callee", "scc": "to"}), "callee")
-        .filter("scc <> to")
-        .groupBy("scc", "to")
-        .agg(F.min(F.struct("caller", "ord")).alias("first"))
-        .join(named.select(F.col("scc").alias("to"), F.col("unit_id").alias("callee_unit")), "to")
-        .groupBy("scc")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "callee_unit"))), lambda x: x["callee_unit"]).alias("callees"))
-    )
+    """Units with their callees as arrays: scc, unit_id, n_members, callees in first-seen order."""
+    named = unit_names(members)
+    calls = written(unit_calls(members, edges))
+    calls = split_join(calls, named.select(F.col("scc").alias("callee_scc"), F.col("unit_id").alias("callee_unit")), ["callee_scc"])
+    calls = calls.groupBy("scc").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "callee_unit"))), lambda x: x["callee_unit"]).alias("callees"))
     return named.join(calls, "scc", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
 
 
@@ -256,7 +270,7 @@ def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda name, to: members.select(F.col("fn_id").alias(name), F.col("scc").alias(to))
     calls = edges.select("caller", "callee").join(of("caller", "unit_id"), "caller").join(of("callee", "to"), "callee").filter("unit_id <> to")
     deep = unit_levels(members.select(F.col("scc").alias("unit_id")), calls.select("unit_id", F.col("to").alias("callee")).distinct())
-    places = placed(deep, ["level", "unit_id"]).select(F.col("unit_id").alias("scc"), (F.col("place") - 1).alias("ordinal"))
+    places = lookups.placed(deep, ["level", "unit_id"]).select(F.col("unit_id").alias("scc"), (F.col("place") - 1).cast("int").alias("ordinal"))
     return members.join(places, "scc").select("fn_id", "scc", "ordinal")
 
 

@@ -71,4 +71,14 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
         starts.append((p["_part"], before - p["_from"]))
         before += p["n"]
     shift = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _shift long"))
-    return sized.join(shift, "_part").withColumn("place", (F.col("_at") + F.col("_shift") + 1).cast("int")).drop("_part", "_at", "_shift")
+    return sized.join(shift, "_part").withColumn("place", F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
+
+
+def positions(rows: DataFrame, key: list[str], order: list[str], name: str = "ord") -> DataFrame:
+    """rows with their position within their key, 0 and on, by order (which has no ties in a key). All rows are sorted together over range
+    partitions, and a key's first place is taken off: a key with most of the rows lies over many partitions."""
+    from unitflow.operators.joins import split_join
+
+    all_placed = placed(rows, [*key, *order])
+    first = all_placed.groupBy(*key).agg(F.min("place").alias("_first"))
+    return split_join(all_placed, first, key).withColumn(name, F.col("place") - F.col("_first")).drop("place", "_first")

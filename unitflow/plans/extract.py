@@ -44,6 +44,12 @@ class Extracted:
     def units(self) -> DataFrame:
         return self._units[1]
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        """unit_id, ord and callee, a row for what a unit calls among the units."""
+        inside = self.functions.select(F.col("fn_id").alias("callee"))
+        return written(graph.ordered_calls(self.members, self.edges.join(inside, "callee", "left_semi")))
+
 
 def receiver_of(descriptors: Column) -> Column:
     """The name of the type a callable belongs to; empty for free functions."""

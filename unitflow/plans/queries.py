@@ -105,6 +105,15 @@ def unit_callees(spark, sf_dir):
     return unit_table.select("unit_id", F.explode("callees").alias("callee"))
 
 
+@query("select 'u' || user_id as caller, (row_number() over (partition by user_id order by min(event_id)) - 1)::int as ord, 'e' || (value * 100)::bigint as callee from events group by user_id, (value * 100)::bigint")
+def ordered_callees(spark, sf_dir):
+    """Users as units that call what their events' values stand for, in first-seen order."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("caller"), F.concat(F.lit("e"), F.expr("cast(round(value * 100) as bigint)").cast("string")).alias("callee"), F.col("event_id").alias("ord"))
+    nodes = events.select(F.col("caller").alias("fn_id")).union(events.select("callee")).distinct()
+    calls = graph.ordered_calls(nodes.withColumn("scc", F.col("fn_id")), events)
+    return calls.select(F.col("unit_id").alias("caller"), "ord", "callee")
+
+
 @query("""
 with recursive steps as (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events),
 edges as (select distinct a, b from steps where b is not null), nodes as (select distinct event_type as fn_id from events),
@@ -380,7 +389,7 @@ def severity_counts(spark, sf_dir):
 @query("select user_id, row_number() over (order by min(epoch_us(ts)), user_id)::int as place from events where value < 20 group by user_id")
 def critical_units(spark, sf_dir):
     issues = table(spark, sf_dir, "events").select("user_id", "ts", F.expr(SEVERITY).alias("severity"))
-    return lookups.placed(lookups.critical_units(issues, "user_id", F.col("ts")), ["first", "user_id"]).select("user_id", "place")
+    return lookups.placed(lookups.critical_units(issues, "user_id", F.col("ts")), ["first", "user_id"]).select("user_id", F.col("place").cast("int").alias("place"))
 
 
 @query(f"select distinct event_type as rule, case {SEVERITY} when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level from events")

@@ -247,8 +247,8 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     receiver = owner.join(types.drop("methods"), "type_id").join(type_told, "type_id", "left").join(siblings, "unit_id", "left").select("unit_id", F.struct("name", "kind", "signature", "body", "doc", F.from_json("type_payload", TOLD).alias("summary"), "methods").alias("receiver"))
     outside = units.select("unit_id", F.posexplode("externals").alias("at", "ext_id")).join(ex.externals, "ext_id").withColumn("e", F.struct("package", "name", "signature", "doc"))
     outside = lookups.listed(outside, "unit_id", ["at"], "e", "outside")
-    base = written(units.join(receiver, "unit_id", "left").join(outside, "unit_id", "left").join(graph.levels(ex.units), "unit_id"))
-    calls = written(units.select("unit_id", F.posexplode("callees").alias("at", "callee")))
+    base = written(units.join(receiver, "unit_id", "left").join(outside, "unit_id", "left").join(graph.unit_levels(ex.units.select("unit_id"), ex.calls.select("unit_id", "callee")), "unit_id"))
+    calls = ex.calls.select("unit_id", F.col("ord").alias("at"), "callee")
 
     told = None
     if done is not None:
