@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_sources import index  # noqa: F401
 from unitflow.functions import models
 from unitflow.plans.extract import extract
-from unitflow.plans.review import CACHE_PARTS, Config, Pass, State, _ask, forget, read_cache, remember, review
+from unitflow.plans.review import CACHE_PARTS, Config, Pass, State, _ask, forget, read_cache, remember, review, summaries
 
 UNIT = "pkg/a.(Box).get+pkg/a.help"
 
@@ -82,6 +82,13 @@ def test_tally_ends_with_the_issues_found(spark, index):  # noqa: F811
     assert told[-1] == ("answers", {r.severity: r["count"] for r in found.groupBy("severity").count().collect()}) == ("answers", {"low": 4, "high": 2})
 
 
+def test_summaries_can_be_looked_up(spark, index, tmp_path):  # noqa: F811
+    answers = {("type_summary", "pkg/a.Box"): told("boxes"), ("summary", UNIT): told("helps")}
+    review(spark, extract(spark, index), models.KeyedClient(answers), Config(state=str(tmp_path)))
+    found = {(r.kind, r.id): r.purpose for r in summaries(spark, str(tmp_path)).collect()}
+    assert found["type", "pkg/a.Box"] == "boxes" and found["unit", UNIT] == "helps"
+
+
 def told_summary():
     return told("p")
 

@@ -183,6 +183,13 @@ class State:
         return done().join(rows.select(*key), key, "left_semi")
 
 
+def summaries(spark: SparkSession, state: str) -> DataFrame:
+    """What a review with this state folder has been told so far: kind (unit or type), id, purpose, behavior, invariants, security."""
+    held = spark.read.schema(ANSWERS).parquet(f"{state.rstrip('/')}/types", f"{state.rstrip('/')}/level-*")
+    held = held.groupBy("id", "pass").agg(F.max("payload").alias("payload")).withColumn("told", F.from_json("payload", TOLD))
+    return held.select(F.when(F.col("pass") == "type_summary", "type").otherwise("unit").alias("kind"), "id", "told.*")
+
+
 class _Telling:
     """While it is open, tells the counts whenever they have changed, and once more at the end."""
 
