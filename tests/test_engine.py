@@ -191,6 +191,30 @@ def test_interface_calls_against_naive(spark):
     assert [tuple(x) for x in hierarchy.signature_calls(asked, values).collect()] == [("a", "f", 1)]
 
 
+def test_code_from_tables_with_interfaces(spark):
+    """A call through an interface reaches the method of the types that implement it, one of them by embedding, and no other of its name."""
+    from unitflow.plans.packages import Dispatch, from_tables
+
+    place = "struct<Filename: string, Offset: long, Line: long, Column: long>"
+    rows = [(0, "p", "Read", "*File"), (1, "p", "Close", "*File"), (2, "p", "Read", "Text"), (3, "p", "Copy", ""), (4, "p", "Close", "Door"), (5, "p", "less", ""), (6, "p", "more", "")]
+    functions = spark.createDataFrame([(*r, "s", "", "", None) for r in rows], f"ord int, package string, name string, receiver string, signature string, body string, doc string, position {place}")
+    types = spark.createDataFrame([(k, "p", n, "struct", "", "", "", None) for k, n in enumerate(["File", "Text", "Door", "Log"])], f"ord int, package string, name string, kind string, signature string, body string, doc string, position {place}")
+    calls = spark.createDataFrame([("p.Copy", "p.less", 0)], "caller string, callee string, ord long")
+    symbols = spark.createDataFrame([], "package string, name string, receiver string, signature string, doc string")
+    imports = spark.createDataFrame([], "package string, import string")
+    asked = spark.createDataFrame([("p.Copy", "io.ReadCloser", "Read", 1), ("p.Copy", "io.ReadCloser", "Close", 2), ("p.Copy", "io.Seeker", "Seek", 3)], "caller string, interface string, method string, ord long")
+    told = Dispatch(
+        interfaces=spark.createDataFrame([("io.ReadCloser", "Read"), ("io.ReadCloser", "Close"), ("io.Seeker", "Seek")], "interface string, method string"),
+        calls=asked,
+        embeds=spark.createDataFrame([("p.Log", "p.Text"), ("p.Log", "p.Door")], "type_id string, embedded string"),
+        values=spark.createDataFrame([("p.less", "func(int) bool", False), ("p.more", "func(int) bool", True)], "fn_id string, signature string, used boolean"),
+        value_calls=spark.createDataFrame([("p.less", "func(int) bool", 0)], "caller string, signature string, ord long"),
+    )
+    made = from_tables(functions, types, calls, symbols, imports, dispatch=told)
+    assert {(e.caller, e.callee) for e in made.edges.collect()} == {("p.Copy", "p.less"), ("p.less", "p.more"), *(("p.Copy", f"p.({t}).{m}") for t, m in [("*File", "Read"), ("*File", "Close"), ("Text", "Read"), ("Door", "Close")])}
+    assert {u.unit_id: u.ord for u in made.calls.filter("callee = 'p.less'").collect()} == {"p.Copy": 0}
+
+
 def test_covering_is_short_and_exact(spark):
     r = random.Random(2)
     spans = [(0, 0), (63, 64), (0, 63), (5, 10_000_000), (0, 2_000_000_000)] + [(a, a + r.randrange(1 << r.randrange(1, 22))) for a in (r.randrange(100_000) for _ in range(200))]
