@@ -52,3 +52,10 @@ def test_sets_of_many_methods_against_naive(spark, monkeypatch, n_methods):
     methods = spark.createDataFrame([(t, m, f"{t}.{m}") for t, m in sorted(has)], "type_id string, method string, fn_id string")
     interfaces = spark.createDataFrame(sorted(asks), "interface string, method string")
     assert sorted(tuple(x) for x in hierarchy.implementations(methods, interfaces).collect()) == sorted(want)
+    calls = [(f"c{r.randrange(3)}", i, r.choice(sorted(sets[i])), k) for k, i in enumerate(r.choices(sorted(sets), k=300))]
+    edges = {}
+    for c, i, m, k in calls:
+        for t in (t for x, t in want if x == i):
+            edges[c, f"{t}.{m}"] = min(k, edges.get((c, f"{t}.{m}"), k))
+    got = hierarchy.interface_calls(spark.createDataFrame(calls, "caller string, interface string, method string, ord int"), methods, interfaces).collect()
+    assert len(got) == len(edges) and {(x.caller, x.callee): x.ord for x in got} == edges
