@@ -59,3 +59,38 @@ def test_sets_of_many_methods_against_naive(spark, monkeypatch, n_methods):
             edges[c, f"{t}.{m}"] = min(k, edges.get((c, f"{t}.{m}"), k))
     got = hierarchy.interface_calls(spark.createDataFrame(calls, "caller string, interface string, method string, ord int"), methods, interfaces).collect()
     assert len(got) == len(edges) and {(x.caller, x.callee): x.ord for x in got} == edges
+
+
+def shuffled(spark) -> int:
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().executorList(False)))
+
+
+def test_a_text_moves_once_however_many_functions_it_has(spark):
+    """One text of 400 kB that doesn't compress, with 100 functions: edges and units are made without it, bodies with one copy."""
+    from unitflow.plans.extract import extract_index
+
+    r = random.Random(2)
+    lines = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(130)) for _ in range(1000)]
+    docs = spark.createDataFrame([("i", 0, "a.x", "X", "\n".join(lines), "")], "path string, ord int, doc string, language string, text string, root string")
+    rows = spark.range(100).select(F.lit("i").alias("path"), F.lit("a.x").alias("doc"), F.lit(0).alias("doc_ord"), F.col("id").cast("int").alias("ord"), F.expr("'s m p v a/f' || id || '().'").alias("symbol"))
+    symbols = rows.select("*", F.lit("Function").alias("kind"), F.lit("").alias("display"), F.lit("s").alias("signature"), F.array(F.lit("d")).alias("documentation"))
+    none = F.array().cast("array<int>")
+    defined = rows.select("*", F.lit(1).alias("roles"), F.array(F.col("ord") * 10, F.lit(0), F.lit(1)).alias("range"), none.alias("enclosing"))
+    used = rows.select("path", "doc", "doc_ord", (F.col("ord") + 100).alias("ord"), F.expr("'s m p v a/f' || (99 - ord) || '().'").alias("symbol"), F.lit(0).alias("roles"), F.array(F.col("ord") * 10 + 1, F.lit(0), F.lit(1)).alias("range"), none.alias("enclosing"))
+    told = symbols.limit(0).select("path", "ord", "symbol", "kind", "display", "signature", "documentation")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        ex = extract_index(spark, {"documents": docs, "symbols": symbols, "occurrences": defined.unionByName(used), "external_symbols": told})
+        assert ex.edges.count() == 100
+        between = shuffled(spark)
+        bodies = {x["name"]: x["body"] for x in ex.functions.collect()}
+        after = shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert bodies == {f"f{k}": "\n".join(lines[k * 10 : k * 10 + 10]) for k in range(100)}
+    size = len("\n".join(lines).encode())
+    assert between - before < size and after - between < 2 * size

@@ -88,7 +88,11 @@ def content_hash(*parts: Column) -> Column:
 def slice_lines(text: Column, start: Column, end_line: Column, end_char: Column) -> Column:
     """Whole lines from start (from 0) to the end; an end at column 0 leaves its line out. The end is held between the start and the
     last line; a start past the text gives null; line breaks at the end go."""
-    lines = F.split(text, "\n", -1)
+    return slice_of(F.split(text, "\n", -1), start, end_line, end_char)
+
+
+def slice_of(lines: Column, start: Column, end_line: Column, end_char: Column) -> Column:
+    """slice_lines of a text whose lines are known."""
     last = F.when(end_char == 0, end_line - 1).otherwise(end_line)
     last = F.greatest(start, F.least(last, F.size(lines) - 1))
     return F.when((start >= 0) & (start < F.size(lines)), F.regexp_replace(F.array_join(F.slice(lines, start + 1, last - start + 1), "\n"), "\\n+$", ""))
