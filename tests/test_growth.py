@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitflow.functions import tables
-from unitflow.operators import hierarchy
+from unitflow.operators import graph, hierarchy
 
 
 @pytest.fixture
@@ -94,3 +94,17 @@ def test_a_text_moves_once_however_many_functions_it_has(spark):
     assert bodies == {f"f{k}": "\n".join(lines[k * 10 : k * 10 + 10]) for k in range(100)}
     size = len("\n".join(lines).encode())
     assert between - before < size and after - between < 2 * size
+
+
+def test_short_rings_take_few_rounds(spark, monkeypatch):
+    """2,000 rings of 1 to 5 nodes and chains beside them: rounds as their length asks for, not as their number does."""
+    tables_, edges, want = [], [], {}
+    monkeypatch.setattr(graph, "written", lambda df: tables_.append(1) or tables.written(df))
+    r = random.Random(3)
+    for k in range(2000):
+        nodes = [f"n{k:04}{c}" for c in r.sample("abcde", r.randrange(1, 6))]
+        edges += [(a, b) for a, b in zip(nodes, nodes[1:])] + ([(nodes[-1], nodes[0])] if k % 2 else [])
+        want |= {n: min(nodes) if k % 2 else n for n in nodes}
+    got = graph.components(spark.createDataFrame([(n,) for n in want], "fn_id string"), spark.createDataFrame(edges, "caller string, callee string"))
+    assert {x["fn_id"]: x["scc"] for x in got.collect()} == want
+    assert len(tables_) < 24

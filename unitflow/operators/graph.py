@@ -128,18 +128,24 @@ def contracted(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame], lis
 
 def jumped(links: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
     """links (id, prev, next) of n nodes to (id, head, tail), the first nodes before and behind that aren't among them, by doubling steps
-    on both sides; links that close a cycle come apart as (id, root), in a list of one table or none."""
+    on both sides; links that close a cycle come apart as (id, root), in a list of one table or none.
+
+    Every round fewer nodes of a chain point into it, and on a cycle some node learns of a lower one until all know the least. So a
+    round without either is the last: the logarithm of the longest chain or cycle counts, not that of n."""
     now = written(links.select("id", "prev", "next", F.col("id").alias("low"), F.lit(True).alias("open")))
+    inside = None
     for _ in range(n.bit_length() + 1):
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
         behind = now.select(F.col("id").alias("prev"), F.col("prev").alias("near"))
-        step = now.drop("open").join(ahead, "next", "left").join(behind, "prev", "left")
-        step = step.select("id", F.coalesce("near", "prev").alias("prev"), F.coalesce("far", "next").alias("next"), F.least("low", "far_low").alias("low"), (F.col("far").isNotNull() | F.col("near").isNotNull()).alias("open"))
+        step = now.select("id", "prev", "next", "low").join(ahead, "next", "left").join(behind, "prev", "left")
+        on, back = F.col("far").isNotNull(), F.col("near").isNotNull()
+        step = step.select("id", F.coalesce("near", "prev").alias("prev"), F.coalesce("far", "next").alias("next"), F.least("low", "far_low").alias("low"), (on | back).alias("open"), on.alias("on"), back.alias("back"), F.coalesce(F.col("far_low") < F.col("low"), F.lit(False)).alias("lower"))
         before = now
-        now, seen = _counted(step, open=F.sum(F.col("open").cast("int")))
+        now, seen = _counted(step, **{c: F.sum(F.col(c).cast("int")) for c in ("open", "on", "back", "lower")})
         drop_written(before)
-        if not seen["open"]:
+        if not seen["open"] or (inside == (seen["on"], seen["back"]) and not seen["lower"]):
             break
+        inside = seen["on"], seen["back"]
     ends = now.filter("not open").select("id", F.col("prev").alias("head"), F.col("next").alias("tail"))
     return ends, [now.filter("open").select("id", F.col("low").alias("root"))] if seen["open"] else []
 
