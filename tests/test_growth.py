@@ -108,3 +108,14 @@ def test_short_rings_take_few_rounds(spark, monkeypatch):
     got = graph.components(spark.createDataFrame([(n,) for n in want], "fn_id string"), spark.createDataFrame(edges, "caller string, callee string"))
     assert {x["fn_id"]: x["scc"] for x in got.collect()} == want
     assert len(tables_) < 24
+
+
+def test_requests_are_asked_without_writing_them_first(spark, tmp_path, monkeypatch):
+    from unitflow.plans import review as plan
+
+    monkeypatch.setattr(plan, "written", None)
+    state = plan.State(spark, plan.Config(state=str(tmp_path)))
+    rows = lambda *ids: spark.createDataFrame([(i, "summary", "{}") for i in ids], "id string, pass string, context string")
+    ask = lambda rows, counts: rows.select("id", "pass", F.concat("id", "context").alias("payload"))
+    for ids in ("a", "ab"):
+        assert sorted(tuple(r) for r in state.keep("x", rows(*ids), ask).collect()) == [(i, "summary", i + "{}") for i in ids]

@@ -155,26 +155,31 @@ class State:
         self.spark, self.config = spark, config
         self.folder = config.state.rstrip("/") or f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
 
+    def tasks(self, n: int) -> int:
+        return max(1, -(-n // self.config.step))
+
     def keep(self, name: str, rows: DataFrame, ask: Callable, cache: str = "") -> DataFrame:
-        """The answers to rows (id, pass, context; cache_key with a cache); ask(rows, counts) makes those that neither the step's table
+        """rows come dealt into tasks(), as long as all are asked; without a cache they aren't written. The answers to rows (id, pass, context; cache_key with a cache); ask(rows, counts) makes those that neither the step's table
         nor the cache has. Tasks commit their answers one by one into the table (the output committer's second algorithm, under a name
         of the job and the task), so that those of ended tasks are there whatever happens to the others."""
         path, key = f"{self.folder}/{name}", ["id", "pass"]
-        rows = written(rows)
+        if cache:
+            rows = written(rows)
         if self.config.progress:
             self.config.progress(name, rows.count())
         self.spark.createDataFrame([], ANSWERS).write.mode("append").parquet(path)
         done = lambda: self.spark.read.schema(ANSWERS).parquet(path).groupBy(*key).agg(F.max("payload").alias("payload"))
-        rest = rows.join(done().select(*key), key, "left_anti")
+        fresh = not cache and done().isEmpty()
+        rest = rows if fresh else rows.join(done().select(*key), key, "left_anti")
         if cache:
             held = read_cache(self.spark, cache, rest).filter(F.from_json("payload", TOLD, {"mode": "PERMISSIVE"})["purpose"].isNotNull())
             found = lookups.cached(rest, held, "cache_key", "payload").filter("payload is not null")
             found.select(*key, "payload").write.mode("append").parquet(path)
             rest = rows.join(done().select(*key), key, "left_anti")
-        n = rest.count()
+        n = rest.select(*key).count()
         if n:
             counts = self.spark.sparkContext.accumulator(Counter(), _Counts())
-            asked = ask(rest.repartition(-(-n // self.config.step), *key), counts)
+            asked = ask(rest if fresh else rest.repartition(self.tasks(n), *key), counts)
             with _Telling(self.config.tally, name, counts):
                 asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
         if cache:
@@ -234,27 +239,29 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     none = F.array()
 
     # types
-    fns = written(ex.functions)
+    fns = ex.functions
     shown = fns.select("fn_id", F.struct("name", "signature", "doc").alias("m"))
     listed = ex.types.select("type_id", F.posexplode("methods").alias("at", "fn_id")).join(shown, "fn_id")
     listed = written(listed.select("type_id", "at", "fn_id", "m"))
     methods = lookups.listed(listed, "type_id", ["at"], "m", "methods")
-    types = written(ex.types.drop("methods").join(methods, "type_id", "left"))
+    types = ex.types.drop("methods").repartition(state.tasks(ex.types.count()), "type_id").join(methods, "type_id", "left")
     signatures = F.array_join(F.transform(F.coalesce("methods", none.cast("array<struct<name: string, signature: string, doc: string>>")), lambda m: m["signature"]), "")
     asked = types.select(F.col("type_id").alias("id"), F.lit("type_summary").alias("pass"), F.to_json(F.struct(language, "kind", "name", "package", "signature", "body", "doc", "methods")).alias("context"), T.content_hash(F.col("body"), F.col("doc"), signatures).alias("cache_key"))
     type_told = state.keep("types", asked, summaries, config.cache).drop("pass").withColumnsRenamed({"id": "type_id", "payload": "type_payload"})
 
     # what of a unit's context doesn't depend on callees
-    of = fns.join(ex.members.select("fn_id", "scc"), "fn_id").join(type_told, F.col("receiver_type") == F.col("type_id"), "left")
-    grouped = of.groupBy("scc").agg(F.array_sort(F.collect_list(F.struct("fn_id", "name", "package", "receiver", "signature", "body", "doc", "position", F.coalesce("type_payload", F.lit("")).alias("told")))).alias("functions"), F.min("receiver_type").alias("lo"), F.max("receiver_type").alias("hi"))
-    units = written(ex.units.join(grouped, "scc").withColumn("type_id", F.when(F.col("lo") == F.col("hi"), F.nullif("lo", F.lit("")))))
-    owner = units.select("unit_id", "type_id").filter("type_id is not null")
-    own = units.select("unit_id", "type_id", F.explode("functions.fn_id").alias("fn_id")).filter("type_id is not null")
+    places = written(ex.members.select("fn_id", "scc").join(ex.units.select("scc", "unit_id"), "scc").join(fns.select("fn_id", "receiver_type"), "fn_id").drop("scc"))
+    owners = places.groupBy("unit_id").agg(F.min("receiver_type").alias("lo"), F.max("receiver_type").alias("hi"))
+    owner = written(owners.select("unit_id", F.when(F.col("lo") == F.col("hi"), F.nullif("lo", F.lit(""))).alias("type_id")).filter("type_id is not null"))
+    own = places.select("unit_id", "fn_id").join(owner, "unit_id")
+    # bodies move to their unit, and not before it and all that is told about it are known
+    told_of = places.join(type_told, F.col("receiver_type") == F.col("type_id"), "left").select("unit_id", "fn_id", F.coalesce("type_payload", F.lit("")).alias("told"))
+    grouped = fns.join(told_of, "fn_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("fn_id", "name", "package", "receiver", "signature", "body", "doc", "position", "told"))).alias("functions"))
     siblings = lookups.listed(lookups.siblings(listed, "type_id", "fn_id", own, "unit_id"), "unit_id", ["at"], "m", "methods")
-    receiver = owner.join(types.drop("methods"), "type_id").join(type_told, "type_id", "left").join(siblings, "unit_id", "left").select("unit_id", F.struct("name", "kind", "signature", "body", "doc", F.from_json("type_payload", TOLD).alias("summary"), "methods").alias("receiver"))
-    outside = units.select("unit_id", F.posexplode("externals").alias("at", "ext_id")).join(ex.externals, "ext_id").withColumn("e", F.struct("package", "name", "signature", "doc"))
+    receiver = owner.join(ex.types.drop("methods"), "type_id").join(type_told, "type_id", "left").join(siblings, "unit_id", "left").select("unit_id", F.struct("name", "kind", "signature", "body", "doc", F.from_json("type_payload", TOLD).alias("summary"), "methods").alias("receiver"))
+    outside = ex.units.select("unit_id", F.posexplode("externals").alias("at", "ext_id")).join(ex.externals, "ext_id").withColumn("e", F.struct("package", "name", "signature", "doc"))
     outside = lookups.listed(outside, "unit_id", ["at"], "e", "outside")
-    base = written(units.join(receiver, "unit_id", "left").join(outside, "unit_id", "left").join(graph.unit_levels(ex.units.select("unit_id"), ex.calls.select("unit_id", "callee")), "unit_id"))
+    base = written(grouped.join(receiver, "unit_id", "left").join(outside, "unit_id", "left").join(graph.unit_levels(ex.units.select("unit_id"), ex.calls.select("unit_id", "callee")), "unit_id"))
     calls = ex.calls.select("unit_id", F.col("ord").alias("at"), "callee")
 
     told = None
@@ -263,7 +270,9 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
         base = written(lookups.remaining(base, done, "unit_id"))
     told = written(told if told is not None else spark.createDataFrame([], "unit_id string, payload string"))
 
-    def with_callees(rows: DataFrame) -> DataFrame:
+    def with_callees(rows: DataFrame, passes: int = 1) -> DataFrame:
+        """rows dealt into the tasks that ask, so that their texts move once."""
+        rows = rows.repartition(state.tasks(passes * rows.count()), "unit_id")
         called = calls.join(told.withColumnRenamed("unit_id", "callee"), "callee").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("callee").alias("unit_id"), "payload"))).alias("called"))
         rows = rows.join(called, "unit_id", "left")
         return rows.withColumn("called", F.coalesce("called", none.cast("array<struct<at: int, unit_id: string, payload: string>>")))
@@ -278,12 +287,12 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
         found = state.keep(f"level-{level}", asked, summaries, config.cache)
         told = written(told.unionByName(found.select(F.col("id").alias("unit_id"), "payload")))
 
-    full = written(with_callees(base).join(told, "unit_id"))
+    full = with_callees(base, sum(p.enabled and p.name != "summary" for p in config.passes)).join(told, "unit_id")
     names = spark.createDataFrame([(p.name, k, p.enabled) for k, p in enumerate(config.passes)], "pass string, ord int, enabled boolean")
     asked = lookups.with_passes(full.select(F.col("unit_id").alias("id"), F.to_json(F.struct(*shape, F.from_json("payload", TOLD).alias("summary"))).alias("context")), names)
     answers = state.keep("answers", asked, lambda rows, counts: _ask(rows, client, settings, "issues", counts))
     passes = F.broadcast(names.select("pass", F.col("ord").alias("pass_ord")))  # as many rows as passes configured
-    issues = answers.join(passes, "pass").select(F.col("id").alias("unit_id"), "pass", "pass_ord", F.posexplode(F.from_json("payload", FOUND)["issues"]).alias("at", "i")).join(full.select("unit_id", "functions"), "unit_id")
+    issues = answers.join(passes, "pass").select(F.col("id").alias("unit_id"), "pass", "pass_ord", F.posexplode(F.from_json("payload", FOUND)["issues"]).alias("at", "i")).join(base.select("unit_id", "functions"), "unit_id")
     named = F.filter("functions", lambda f: f["name"] == F.col("i.function"))
     issues = issues.withColumn("f", F.coalesce(F.get(named, F.size(named) - 1), F.get("functions", F.lit(0))))
     start, line = F.col("f.position.Line"), F.col("i.line")
@@ -293,5 +302,5 @@ def review(spark: SparkSession, ex: Extracted, client: models.Client, config: Co
     position = F.struct(F.col("f.position.Filename").alias("Filename"), F.col("f.position.Offset").alias("Offset"), place.alias("Line"), F.col("f.position.Column").alias("Column")).cast(POSITION)
     issues = issues.select("unit_id", (F.col("pass_ord") * 1_000_000 + F.col("at")).cast("int").alias("ord"), position.alias("position"), F.col("i.severity").alias("severity"), F.col("pass").alias("category"), F.col("i.message").alias("message"), F.lit("").alias("snippet"), F.col("i.suggestion").alias("suggestion"))
     made = F.transform("functions", lambda f: F.struct(f["package"].alias("package"), f["name"].alias("name"), f["receiver"].alias("receiver"), f["signature"].alias("signature"), f["position"].alias("position")))
-    report_units = full.select("unit_id", F.col("level").alias("ordinal"), made.alias("functions"), F.from_json("payload", TOLD).alias("s")).select("unit_id", "ordinal", "functions", "s.*")
+    report_units = base.select("unit_id", F.col("level").alias("ordinal"), made.alias("functions")).join(told, "unit_id").select("unit_id", "ordinal", "functions", F.from_json("payload", TOLD).alias("s")).select("unit_id", "ordinal", "functions", "s.*")
     return written(report_units), written(issues)
