@@ -110,6 +110,72 @@ def test_short_rings_take_few_rounds(spark, monkeypatch):
     assert len(tables_) < 24
 
 
+def test_long_chains_are_followed_in_rows_that_grow_with_them(spark, monkeypatch):
+    """A chain of 3,000 nodes in no order: all tables together hold a few times its links, not log2(3,000) times as many."""
+    sizes = []
+
+    def kept(df):
+        out = tables.written(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", kept)
+    monkeypatch.setattr(graph, "FEW", 100, raising=False)
+    r = random.Random(4)
+    nodes = r.sample(range(10**6), 3000)
+    links = spark.createDataFrame([(a, 0, b, 1) for a, b in zip(nodes, nodes[1:])], "id long, base long, b long, w long")
+    got = graph.followed(links, 2999).collect()
+    assert {x["id"]: (x["b"], x["w"]) for x in got} == {a: (nodes[-1], 2999 - k) for k, a in enumerate(nodes[:-1])}
+    assert sum(sizes) < 8 * 2999
+
+
+@pytest.mark.parametrize("few", [10, 250_000])
+def test_forests_are_followed_like_naive(spark, monkeypatch, few):
+    """Chains, stars, bushes, single links, and several ends; links with bases and weights."""
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    r = random.Random(5)
+    names = r.sample(range(10**6), 700)
+    at = [(k, -1 - k % 3 if k % 97 == 0 else k - 1 if k < 300 else r.choice([299, k % 97 // 4 * 4, r.randrange(k)])) for k in range(700)]
+    node = lambda k: names[k] if k >= 0 else 10**7 - k
+    base, w = [r.randrange(0, 900) for _ in at], [r.randrange(1, 9) for _ in at]
+    want = {}
+    for k, to in at:
+        b, steps, least = want.get(to, (node(to), 0, 0))
+        want[k] = b, w[k] + steps, max(base[k], w[k] + least)
+    got = graph.followed(spark.createDataFrame([(node(k), base[k], node(to), w[k]) for k, to in at], "id long, base long, b long, w long"), 700).collect()
+    assert len(got) == 700 and {x["id"]: (x["b"], x["w"], x["base"]) for x in got} == {node(k): v for k, v in want.items()}
+
+
+def test_levels_of_layers_with_chains_between_them_against_naive(spark):
+    """Nodes of four layers call several lower ones, straight or through chains, some of which join."""
+    r = random.Random(6)
+    calls, layers, n = {}, [[f"n{k}" for k in range(8)]], 8
+    for _ in range(4):
+        lower = [x for layer in layers for x in layer]
+        for _ in range(12):
+            calls[f"n{n}"], n = {r.choice(lower)}, n + 1
+            lower.append(f"n{n - 1}")
+        layers.append([f"n{n + k}" for k in range(8)])
+        calls |= {x: set(r.choices(lower, k=r.randrange(1, 5))) for x in layers[-1]}
+        n += 8
+        layers[-1] += lower[-12:]
+    level = {}
+    for x in (f"n{k}" for k in range(n)):
+        level[x] = max((level[c] + 1 for c in calls.get(x, ())), default=0)
+    found = graph.unit_levels(spark.createDataFrame([(x,) for x in level], "unit_id string"), spark.createDataFrame([(x, c) for x, to in calls.items() for c in sorted(to)], "unit_id string, callee string"))
+    assert {x["unit_id"]: x["level"] for x in found.collect()} == level
+
+
+def test_a_table_of_rare_keys_is_not_shuffled_to_count_them(spark):
+    from unitflow.operators.joins import hot_keys
+
+    rare = tables.written(spark.range(200_000).select(F.xxhash64("id").alias("k")))
+    before = shuffled(spark)
+    assert hot_keys(rare, ["k"], most=5000) is None and shuffled(spark) - before < 400_000
+    both = tables.written(rare.unionByName(spark.range(9000).select(F.lit(7).cast("long").alias("k"))))
+    assert [tuple(x) for x in hot_keys(both, ["k"], most=5000)[0].collect()] == [(7, 2)]
+
+
 def test_requests_are_asked_without_writing_them_first(spark, tmp_path, monkeypatch):
     from unitflow.plans import review as plan
 

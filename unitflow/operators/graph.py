@@ -13,6 +13,9 @@ from unitflow.functions.tables import drop_written, written
 from unitflow.operators import lookups
 from unitflow.operators.joins import split_join
 
+#: So many links are followed by doubling steps, which move all of them in every round.
+FEW = 250_000
+
 
 def _counted(df: DataFrame, **what) -> tuple[DataFrame, dict]:
     """df as a written table with aggregates observed while it is written; n is the number of its rows."""
@@ -214,9 +217,9 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node with one open edge has the level max(base, steps + level of its end), and such functions put together are of the same form:
     chains and trees of them are followed by pointer jumping and leave the graph, edges to them go on to their ends. Edges to nodes
-    of known level become part of base. So a round takes out all that hangs by single edges, however deep."""
-    live = written(nodes.select("id", F.lit(0).cast("long").alias("base")))
-    open_edges, seen = _counted(edges.select("a", "b", F.lit(1).cast("long").alias("w")))
+    of known level become part of base. So a round takes out all that hangs by single edges, however deep. The edges are given up."""
+    live = nodes.select("id", F.lit(0).cast("long").alias("base"))
+    open_edges, n_open = edges.select("a", "b", F.lit(1).cast("long").alias("w")), edges.count()
     done, waiting = [], []
     while True:
         single = F.when(F.count(F.lit(1)) == 1, F.min(F.struct("b", "w")))
@@ -227,7 +230,7 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = now.filter("n = 1").select("id", "base", "b", "w")
         n = links.count()
         if n:
-            links = written(followed(links, n))
+            links = followed(links, n)
             # of what hangs by single edges, that which ends at a known level is known; the rest waits for its end
             ends = split_join(links, ready.select(F.col("id").alias("b"), "level"), ["b"], "left")
             ends = written(ends.withColumn("level", F.when(F.col("level").isNotNull(), F.greatest("base", F.col("w") + F.col("level")))))
@@ -236,21 +239,23 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         fresh = written(_union(fresh))
         done.append(fresh)
         many = now.filter("n > 1").select("id", "base")
-        if not seen["n"] or many.isEmpty():
+        if not n_open or many.isEmpty():
+            drop_written(open_edges, now)
             break
-        kept = open_edges.join(many.select(F.col("id").alias("a")), "a", "left_semi")
+        kept = written(open_edges.join(many.select(F.col("id").alias("a")), "a", "left_semi"))
+        # an edge leads to a node of known level, to one that waits for its end, or to one with several edges
+        none = F.lit(None).cast("long")
+        to = fresh.select(F.col("id").alias("b"), "level", none.alias("base"), none.alias("end"), none.alias("more"))
         if n:
-            kept = split_join(written(kept), waiting[-1].select(F.col("id").alias("b"), "base", F.col("b").alias("end"), F.col("w").alias("more")), ["b"], "left")
-            kept = kept.select("a", F.coalesce("end", "b").alias("b"), F.col("w") + F.coalesce("more", F.lit(0)), (F.col("w") + F.col("base")).alias("least")).toDF("a", "b", "w", "least")
-        else:
-            kept = kept.select("a", "b", "w", F.lit(None).cast("long").alias("least"))
-        told = split_join(written(kept), fresh.select(F.col("id").alias("b"), "level"), ["b"], "left")
-        told = written(told.withColumn("least", F.greatest("least", F.when(F.col("level").isNotNull(), F.col("w") + F.col("level")))))
+            to = to.unionByName(waiting[-1].select(F.col("id").alias("b"), none.alias("level"), "base", F.col("b").alias("end"), F.col("w").alias("more")))
+        told = split_join(kept, to, ["b"], "left")
+        told = told.select("a", F.coalesce("end", "b").alias("b"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("w") + F.coalesce("level", "base")).alias("least"), F.col("level").isNotNull().alias("known"))
+        told, seen = _counted(told.groupBy("a", "b", "known").agg(F.max("w").alias("w"), F.max("least").alias("least")), known=F.sum(F.col("known").cast("int")))
         before = open_edges
-        open_edges, seen = _counted(told.filter("level is null").groupBy("a", "b").agg(F.max("w").alias("w")))
-        base = told.groupBy(F.col("a").alias("id")).agg(F.max("least").alias("least"))
+        open_edges, n_open = told.filter("not known").select("a", "b", "w"), seen["n"] - seen["known"]
+        base = told.filter("least is not null").groupBy(F.col("a").alias("id")).agg(F.max("least").alias("least"))
         live = written(many.join(base, "id", "left").select("id", F.greatest("base", "least").alias("base")))
-        drop_written(before, now, told)
+        drop_written(before, now, kept)
     for table in reversed(waiting):
         known = _union(done).select(F.col("id").alias("b"), F.col("level").alias("to"))
         done.append(written(split_join(table, known, ["b"]).select("id", F.greatest("base", F.col("w") + F.col("to")).alias("level"))))
@@ -258,17 +263,50 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def followed(links: DataFrame, n: int) -> DataFrame:
-    """links (id, base, b, w) of n nodes without a cycle, each standing for x -> max(base, w + x) of b: the same with b outside them."""
-    now = links
+    """links (id, base, b, w) of n nodes without a cycle, each standing for x -> max(base, w + x) of b: the same with b outside them.
+
+    Steps that double would move every link in each of as many rounds as the logarithm of the longest chain. So while there are over
+    FEW, nodes are left out instead: in every round a hash makes half of the nodes odd; odd ones before even ones are left out, and
+    links to these go on to the even one. That takes out a fourth of the links a round and two nodes in a row never, so all rounds
+    together move a few times n rows. A link found to be at its end is left out where it is odd. The rest is followed by doubling, and
+    then round by round, the last first, the nodes left out go on from where they lead."""
+    odd = lambda name, k: F.pmod(F.xxhash64(F.col(name), F.lit(k)), F.lit(2)) == 1
+    rounds, now = [], links.withColumn("ended", F.lit(False))
+    while n > FEW:
+        k = len(rounds)
+        asks = ~F.col("ended") & odd("b", k)
+        out = odd("id", k) & (F.col("ended") | ~odd("b", k))
+        # only links to odd nodes ask: whether these are left out, stay, or are none of the nodes
+        ahead = now.filter(odd("id", k)).select(F.col("id").alias("b"), *[F.when(out, F.col(c)).alias(f"{c}2") for c in ("base", "b", "w")], (out & F.col("ended")).alias("ended2"))
+        asked = split_join(now.filter(asks), ahead, ["b"], "left").select(*_on(), F.coalesce("ended2", F.lit(True)).alias("ended"))
+        rounds.append((now, out))
+        now, seen = _counted(asked.unionByName(now.filter(~asks & ~out)))
+        n = seen["n"]
+    passed = [before for before, _ in rounds[1:]] + [now] * bool(rounds)
+    left_out = [before.filter(out).filter("ended").drop("ended") for before, out in rounds]
+    now = now.drop("ended")
+    doubled = []
     for _ in range(n.bit_length() + 1):
-        ahead = now.select(F.col("id").alias("b"), F.col("base").alias("base2"), F.col("b").alias("b2"), F.col("w").alias("w2"))
-        step = split_join(now, ahead, ["b"], "left")
-        step = step.select("id", F.greatest("base", F.col("w") + F.col("base2")).alias("base"), F.coalesce("b2", "b").alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.col("b2").isNotNull().alias("open"))
-        now, seen = _counted(step, open=F.sum(F.col("open").cast("int")))
+        step = split_join(now, now.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("base", "b", "w")]), ["b"], "left")
+        now, seen = _counted(step.select(*_on(), F.col("b2").isNotNull().alias("open")), open=F.sum(F.col("open").cast("int")))
+        doubled.append(now)
         now = now.drop("open")
         if not seen["open"]:
             break
-    return now
+    drop_written(*doubled[:-1])
+    found = [*left_out, now]
+    for k, (before, out) in reversed(list(enumerate(rounds))):
+        # what a node left out leads to is even
+        known = _union(found).filter(~odd("id", k)).select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("base", "b", "w")])
+        found.append(written(split_join(before.filter(out).filter("not ended").drop("ended"), known, ["b"], "left").select(*_on())))
+    table = written(_union(found))
+    drop_written(*passed, *found[len(left_out) :])
+    return table
+
+
+def _on() -> list:
+    """A link put together with that of its end (base2, b2, w2), where there is one."""
+    return ["id", F.greatest("base", F.col("w") + F.col("base2")).alias("base"), F.coalesce("b2", "b").alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")]
 
 
 def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
