@@ -185,3 +185,18 @@ def test_requests_are_asked_without_writing_them_first(spark, tmp_path, monkeypa
     ask = lambda rows, counts: rows.select("id", "pass", F.concat("id", "context").alias("payload"))
     for ids in ("a", "ab"):
         assert sorted(tuple(r) for r in state.keep("x", rows(*ids), ask).collect()) == [(i, "summary", i + "{}") for i in ids]
+
+
+def test_a_stage_has_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    """However many requests there are: 20 of them at one a task would be 20 tasks and 20 files, 10 million would be 10 million."""
+    from unitflow.plans import review as plan
+
+    monkeypatch.setattr(plan, "TASKS", 3, raising=False)
+    state = plan.State(spark, plan.Config(state=str(tmp_path), step=1))
+    rows = lambda n: spark.createDataFrame([(f"u{k}", "summary", "{}") for k in range(n)], "id string, pass string, context string")
+    seen = []
+    ask = lambda rows, counts: seen.append(rows.rdd.getNumPartitions()) or rows.select("id", "pass", F.concat("id", "context").alias("payload"))
+    state.keep("x", rows(1), ask)
+    got = state.keep("x", rows(20), ask).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"u{k}", "summary", f"u{k}{{}}") for k in range(20))
+    assert seen[-1] == 3 and state.tasks(10_000_000) == 3 and state.tasks(2) == 2

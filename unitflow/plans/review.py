@@ -31,6 +31,8 @@ from unitflow.plans.report import POSITION
 TOLD = "struct<purpose: string, behavior: string, invariants: array<string>, security: array<string>>"
 #: The cache is a table in so many parts by a hash of its keys; what isn't asked for is neither read nor rewritten.
 CACHE, CACHE_PARTS = "cache_key string, payload string, part int", 256
+#: A stage has at most so many tasks: each is a part of a shuffle and a file of answers, of which the driver holds the list.
+TASKS = 1000
 ANSWERS = "id string, pass string, payload string"
 FOUND = "struct<issues: array<struct<function: string, line: long, code: string, severity: string, message: string, suggestion: string>>>"
 
@@ -57,7 +59,7 @@ class Config:
     empty for none. prompts: a folder that builtin prompts are read from instead. language: in place of the index's. progress: called
     on the driver with a phase and its number of requests, before they are sent. tally: called there with a phase and its issues so
     far by severity whenever tasks have ended, the last time with all of them; answers that were there before don't count. step:
-    about so many requests are a task, whose answers are kept together."""
+    about so many requests are a task, whose answers are kept together; more where a stage would have over TASKS tasks."""
 
     llm: dict = field(default_factory=lambda: {"model": "", "max_tokens": 32768, "temperature": 0.1})
     passes: list[Pass] = field(default_factory=lambda: [Pass(name) for name in ("summary", "baseline")])
@@ -156,7 +158,7 @@ class State:
         self.folder = config.state.rstrip("/") or f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
 
     def tasks(self, n: int) -> int:
-        return max(1, -(-n // self.config.step))
+        return max(1, min(TASKS, -(-n // self.config.step)))
 
     def keep(self, name: str, rows: DataFrame, ask: Callable, cache: str = "") -> DataFrame:
         """rows come dealt into tasks(), as long as all are asked; without a cache they aren't written. The answers to rows (id, pass, context; cache_key with a cache); ask(rows, counts) makes those that neither the step's table
@@ -176,8 +178,8 @@ class State:
             found = lookups.cached(rest, held, "cache_key", "payload").filter("payload is not null")
             found.select(*key, "payload").write.mode("append").parquet(path)
             rest = rows.join(done().select(*key), key, "left_anti")
-        n = rest.select(*key).count()
-        if n:
+        n = None if fresh and not self.config.tally else rest.select(*key).count()
+        if n != 0:
             counts = self.spark.sparkContext.accumulator(Counter(), _Counts())
             asked = ask(rest if fresh else rest.repartition(self.tasks(n), *key), counts)
             with _Telling(self.config.tally, name, counts):
@@ -185,7 +187,7 @@ class State:
         if cache:
             new = rows.select(*key, "cache_key").join(done(), key).select("cache_key", "payload")
             remember(new.join(read_cache(self.spark, cache, new).select("cache_key").distinct(), "cache_key", "left_anti").groupBy("cache_key").agg(F.max("payload").alias("payload")), cache)
-        return done().join(rows.select(*key), key, "left_semi")
+        return done() if fresh else done().join(rows.select(*key), key, "left_semi")
 
 
 def summaries(spark: SparkSession, state: str) -> DataFrame:
