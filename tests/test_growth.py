@@ -215,3 +215,13 @@ def test_lines_and_symbols_are_cut_and_parsed_once(spark, tmp_path):
     ex = queries.doc_units(spark, str(tmp_path))
     assert "MapInArrow" not in plan(ex.language) and [r[0] for r in ex.language.collect()] == ["en"]
     assert ex.functions.count() == 8 and ex.types.count() == 5  # the empty text is one line, which defines a type
+
+
+def test_cells_grow_where_their_number_would_grow_with_pairs(spark, monkeypatch):
+    """n interfaces and n types with one method: rows are dealt to as many cells at twice n, not to twice as many each."""
+    monkeypatch.setattr(hierarchy, "SIDE", 10)
+    rows = lambda n, letter, bits, name: spark.range(n).select(F.concat(F.lit(letter), "id").alias(name), F.lit("m").alias("method"), F.expr(bits).alias(f"{'a' if letter == 'I' else 'h'}0"))
+    for n in (300, 600):
+        met = hierarchy._meeting(rows(n, "I", "1L", "interface"), rows(n, "T", "id % 2", "type_id"), 1)
+        assert met.rdd.getNumPartitions() <= 64
+        assert met.count() == met.distinct().count() == n * n // 2
